@@ -10,3 +10,13 @@ g as (select doc_id, sha256(bare) as text_sha256,
              count(*) over (partition by bare) as group_size from t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """
+
+ORACLES["op4_warc"] = r"""
+with p as (select page_id, encode(coalesce(html, '')) as data from pages),
+d as (select page_id, octet_length(data)::bigint as payload_bytes, sha256(data) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
+from f
+"""

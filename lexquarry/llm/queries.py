@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, secret_scan, sharding, wavelet
+from . import exact_dedup, mixing, ngram_join, packing, quality, secret_scan, sharding, substring_dedup, warc, wavelet
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.query,
     "op2_mixing": mixing.query,
+    "op3_ngram_join": ngram_join.query,
+    "op4_warc": warc.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op6_packing": packing.query,
     "op7_wavelet": wavelet.query,
     "op8_quality": quality.query,
