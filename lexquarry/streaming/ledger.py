@@ -60,12 +60,16 @@ def streaks(events: DataFrame, user: str = "user_id", value: str = "value") -> D
     return events.groupBy(user).applyInPandasWithState(step, f"{user} long, now long, longest long", state, "update", "NoTimeout")
 
 
-def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Drive a stream over what is there now, into a table in memory."""
     name = f"out_{uuid.uuid4().hex}"
-    to = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        to = to.option("checkpointLocation", checkpoint)
-    q = to.start()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def append_new(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append what has come since the checkpoint to a Parquet table, exactly once, and return the table."""
+    to = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    to.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path)
