@@ -45,6 +45,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str = "__row") -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of docs whose number by monotonically_increasing_id() is in rids (one column), with the columns of docs. Over files,
+    rows are numbered alike in every pass."""
+    row = free_name(docs)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(rids.toDF(row), row).select(*docs.columns)
+
+
 def normal_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

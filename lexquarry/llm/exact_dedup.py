@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, normal_text, shared_path, table
+from .common import SPACE, kept_rows, normal_text, shared_path, table
 
 RUNS = 8
 
@@ -75,8 +75,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    kept = dedup(docs).filter("kept").select("rid")
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(kept, "rid").select(*docs.columns)
+    return kept_rows(docs, dedup(docs).filter("kept").select("rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

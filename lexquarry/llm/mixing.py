@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, normal_text, permuted, stored, table
+from .common import WORD, free_name, normal_text, permuted, stored, table
 
 WEIGHTS = (5, 2, 1)  # fixed values
 MOST = 3
@@ -135,11 +135,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row per pass in which a document has words. Taken whole, its text stays as
     it is; taken in part, its text is the taken words, in their order, joined by a space. n_chars follows the text."""
     got = mix(docs).filter("taken is not null").groupBy("rid", "pass").agg(F.sum("taken").alias("n"), F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("word", "taken"))).alias("runs"))
+    row, runs = free_name(docs), free_name(docs, "__runs")
     whole = F.col("n") == F.col("size")
-    texts = docs.withColumn("rid", F.monotonically_increasing_id())
+    texts = docs.withColumn(row, F.monotonically_increasing_id())
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["word"] + 1).cast("int"), r["taken"].cast("int")))), " ")
-    out = texts.join(got.select("rid", F.when(~whole, F.col("runs")).alias("runs")), "rid").withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(part))
+    part = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(words, (r["word"] + 1).cast("int"), r["taken"].cast("int")))), " ")
+    out = texts.join(got.select(F.col("rid").alias(row), F.when(~whole, F.col("runs")).alias(runs)), row)
+    out = out.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

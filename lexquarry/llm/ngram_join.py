@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, gram_hashes, hashed_words, normal_text, paired, stored, table
+from .common import bytes_of, gram_hashes, hashed_words, kept_rows, normal_text, paired, stored, table
 from .components import components
 
 GRAM = 5
@@ -197,8 +197,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    kept = near_duplicates(docs, similar).filter("keep").select(F.col("rid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").select(*docs.columns)
+    return kept_rows(docs, near_duplicates(docs, similar).filter("keep").select("rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, normal_text, portions, table
+from .common import hashed_words, kept_rows, normal_text, portions, table
 
 LEAST_WORDS = 20
 COVERED = 30  # per cent
 REPEAT = 8
 LONGEST = 200
-MARKS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"  # fixed values
+MARKS = b"#*$%&|<>"  # fixed values
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
 
 
@@ -136,9 +136,8 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with the columns of docs: the verdict comes first, by row number, and then meets the rows again."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = measured(numbered, "__row").filter("kept").select("__row")
-    return numbered.join(kept, "__row").select(*docs.columns)
+    row = F.monotonically_increasing_id().alias("rid")
+    return kept_rows(docs, measured(docs.select(row, "text"), "rid").filter("kept").select("rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,10 +92,10 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The exchange itself: documents in shard folders, each in slot order."""
+    """The exchange itself: documents (as the struct doc) in shard folders, each in slot order."""
     put = shard_rows(docs, shards).select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "shard", "slot").dropDuplicates(["id", "crc"])
-    crc = F.crc32(F.encode(normal_text(F.col("text")), "UTF-8"))
-    both = docs.join(put, F.col("doc_id").eqNullSafe(F.col("id")) & (crc == F.col("crc"))).drop("id", "crc")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), F.crc32(F.encode(normal_text(F.col("text")), "UTF-8")).alias("own_crc"))
+    both = rows.join(put, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_crc") == F.col("crc"))).select("shard", "slot", "doc")
     both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
