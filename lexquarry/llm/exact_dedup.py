@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import SPACE, kept_rows, normal_text, shared_path, table
 
@@ -31,11 +32,12 @@ def _best() -> Column:
     return F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
 
 
-def flush(rows: DataFrame, path: str, runs: int = RUNS, level: int = 0) -> None:
-    """Write sorted runs with filters under path. A memtable folds its copies before they are shuffled, so one digest with a third of all rows is one entry per run."""
+def flush(rows: DataFrame, path: str, runs: int = RUNS, level: int = 0) -> StructType:
+    """Write sorted runs with filters under path, and return their schema. A memtable folds its copies before they are shuffled, so one digest with a third of all rows is one entry per run."""
     run = F.pmod(F.xxhash64("rid"), F.lit(runs)).cast("int")
     memtables = rows.groupBy(run.alias("run"), "digest").agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
     write_runs(memtables, path, level)
+    return memtables.schema
 
 
 def write_runs(runs: DataFrame, path: str, level: int) -> None:
@@ -44,12 +46,11 @@ def write_runs(runs: DataFrame, path: str, level: int) -> None:
     to.partitionBy("run").parquet(f"{path}/level={level}")
 
 
-def compact(spark: SparkSession, path: str, level: int = 0) -> DataFrame:
+def compact(spark: SparkSession, path: str, schema: StructType, level: int = 0) -> DataFrame:
     """Merge a level's runs into one run of the next level, and return it: digest, best, n."""
-    merged = spark.read.parquet(f"{path}/level={level}").groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    schema = merged.schema
+    merged = spark.read.schema(schema).parquet(f"{path}/level={level}").groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
     merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{path}/level={level + 1}")
-    return spark.read.schema(schema).parquet(f"{path}/level={level + 1}")
+    return spark.read.schema(merged.schema).parquet(f"{path}/level={level + 1}")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -59,8 +60,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts; should two texts share a digest, the query fails rather than drop one."""
     spark = docs.sparkSession
     path = shared_path(spark, "lsm")
-    flush(entries(docs), path)
-    index = compact(spark, path)
+    index = compact(spark, path, flush(entries(docs), path))
     found = entries(docs).join(index, "digest")
     hit = (F.col("n") > 1) & (F.col("rid") != F.col("best.rid"))
     # Only texts of groups meet again, hits with the kept one; skewed groups are split by the join.
