@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, ordered, search, streams, text  # noqa: F401
+from . import aggregates, graphs, ordered, search, streams, text, upkeep  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
