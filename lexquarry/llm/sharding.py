@@ -21,6 +21,8 @@ SHARDS = 24
 SEED = 51
 #: Rows in a bucket, on average.
 ROWS = 8192
+#: Buckets at most: bounds the matrix on the driver (some 50 MB an array); beyond, buckets grow with the input.
+BUCKETS = 1 << 18
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -66,13 +68,13 @@ def communication_matrix(sizes: list[int], shards: int = SHARDS, seed: int = SEE
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has no growing).
 
-    Only bucket sizes reach the driver: a number for every ROWS rows. One shuffle, of rows without text, by bucket; ranks are taken
+    Only bucket sizes reach the driver: a number for every ROWS rows, BUCKETS numbers at most. One shuffle, of rows without text, by bucket; ranks are taken
     inside buckets and never inside a shard. Null text is empty; repeated rows each get a slot of their own."""
     spark = docs.sparkSession
     data = F.encode(normal_text(F.col("text")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32(data)).alias("dice"))
     total = docs.count()
-    buckets = max(1, -(-total // ROWS))
+    buckets = min(BUCKETS, max(1, -(-total // ROWS)))
     rows = rows.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
     sizes = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([sizes.get(b, 0) for b in range(buckets)], shards, seed)
