@@ -2,13 +2,14 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or (isinstance(v, float) and np.isnan(v)) else (list(v) if isinstance(v, (np.ndarray, list, tuple)) else v)
+    plain = lambda v: list(v) if isinstance(v, (np.ndarray, list, tuple)) else None if pd.isna(v) else v
     return list(df.columns), sorted(repr(tuple(map(plain, r))) for r in df.itertuples(index=False, name=None))
 
 
