@@ -7,10 +7,19 @@ import pandas as pd
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def _plain(v):
+    if isinstance(v, (np.ndarray, list, tuple)):
+        return [_plain(x) for x in v]
+    if pd.isna(v):
+        return None
+    if isinstance(v, (float, np.floating)) and float(v).is_integer():
+        return int(v)  # pandas makes floats of whole numbers where some are missing
+    return v.item() if isinstance(v, np.generic) else v
+
+
 def _rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: list(v) if isinstance(v, (np.ndarray, list, tuple)) else None if pd.isna(v) else v
-    return list(df.columns), sorted(repr(tuple(map(plain, r))) for r in df.itertuples(index=False, name=None))
+    return list(df.columns), sorted(repr(tuple(map(_plain, r))) for r in df.itertuples(index=False, name=None))
 
 
 def same_rows(spark, folder, run, sql):
