@@ -15,9 +15,10 @@ RUN = re.compile(r"\s\s").search
 #: White space to Python's patterns, but not to the tokenizer's: such texts are encoded in one piece.
 ODD = re.compile(r"[\x1c-\x1f]").search
 ODD_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
+#: Letters, then ASCII marks: each part is one word of the pattern, so the model alone gives its ids. (A contraction has letters last.)
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]*)([!-/:-@\[-`{-~]*)").fullmatch
 #: Entries kept; one is about 200 bytes.
-KEPT = 700_000
+KEPT = 1_500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,48 +38,62 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kept: dict[str, bytes] = {}
-        self.ends = {c: self._slow(c) for c in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        self.data = np.arange(self.whole.get_vocab_size(), dtype="<u4").tobytes()
+        self.line = self._slow("\n")
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Letters only: one word of the pattern, so the model alone gives its ids."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize("Ġ" + word)], "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """One word of the pattern, spelled for the model."""
+        data, out = self.data, b""
+        for t in self.model.tokenize(piece):
+            i = 4 * t.id
+            out += data[i : i + 4]
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that follows a space, or of one that begins with a newline."""
-        if chunk[:1] != "\n":
-            if PLAIN(chunk):
-                return self._letters(chunk)
-            if chunk[-1:] in self.ends and PLAIN(chunk[:-1]):
-                return self._letters(chunk[:-1]) + self.ends[chunk[-1]]
-            return self._slow(" " + chunk)
-        return self._slow(chunk)
+        """Ids of a chunk that follows a space, or of one that begins with a newline or (marked by NUL) a text."""
+        lead = chunk[:1]
+        m = PLAIN(chunk, 1 if lead in ("\n", "\0") else 0)
+        if m is None:
+            return self._slow(chunk[1:] if lead == "\0" else chunk if lead == "\n" else " " + chunk)
+        word, marks = m.groups()
+        space = "" if lead in ("\n", "\0") else "Ġ"
+        head = self.line if lead == "\n" else b""
+        if word:
+            known = self.kept.get(word) if space and marks else None
+            if known is None:
+                known = self._piece(space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
+            head, space = head + known, ""
+        elif not marks:
+            return head + (self._piece(space) if space else b"")
+        if marks:
+            tail = self.marks.get(space + marks)
+            if tail is None:
+                tail = self._piece(space + marks)
+                if len(self.marks) < 10_000:
+                    self.marks[space + marks] = tail
+            return head + tail
+        return head
 
     def encode(self, text: str) -> bytes:
+        if ODD(text) or "\0" in text:
+            return self._slow(text)
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        if ODD(text):
-            return self._slow(text)
         if RUN(text):
-            chunks = [("\0", x) for x in ODD_CHUNK(text)]
-            head = b""
-            make = lambda c: self._slow(c[1])
-        else:
-            first, *chunks = text.replace("\n", " \n").split(" ")
-            head = self._slow(first)
-            make = self._chunk
+            return b"".join(map(self._slow, ODD_CHUNK(text)))
+        chunks = ("\0" + text.replace("\n", " \n")).split(" ")
         try:
-            return head + b"".join(map(kept.__getitem__, chunks))
+            return b"".join(map(kept.__getitem__, chunks))
         except KeyError:
             for c in set(chunks).difference(kept):
-                kept[c] = make(c)
-            return head + b"".join(map(kept.__getitem__, chunks))
+                kept[c] = self._chunk(c)
+            return b"".join(map(kept.__getitem__, chunks))
 
 
 @functools.cache
