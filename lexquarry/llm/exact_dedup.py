@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, kept_rows, normal_text, shared_path, table
+from .common import SPACE, kept_rows, normal_text, shared_path, stored, table
 
 RUNS = 8
 
@@ -61,16 +61,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = shared_path(spark, "lsm")
     index = compact(spark, path, flush(entries(docs), path))
-    found = entries(docs).join(index, "digest")
-    hit = (F.col("n") > 1) & (F.col("rid") != F.col("best.rid"))
-    # Only texts of groups meet again, hits with the kept one; skewed groups are split by the join.
-    groups = index.filter("n > 1").select("digest", F.col("best.rid").alias("keeper"))
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), bare(F.col("text")).alias("bare")).withColumn("digest", F.sha2("bare", 256)).join(groups, "digest")
-    kept = texts.filter("rid = keeper").select("digest", F.col("bare").alias("kept_bare"))
-    checked = texts.filter("rid != keeper").join(kept, "digest").select("rid", (F.col("bare") == F.col("kept_bare")).alias("same"))
+    found = stored(entries(docs).join(index, "digest").select("rid", "doc_id", "digest", "n", F.col("best.rid").alias("keeper"), F.col("best.doc_id").alias("keep_id")), "lsm-found")
+    # Texts are fetched by row number, a key without skew, for groups only; each hit then meets its keeper's text. Both sides of
+    # that join are shuffled for it, so that a hot keeper's hits can be split over tasks.
+    groups = found.filter("n > 1").select("rid", "keeper")
+    members = stored(docs.select(F.monotonically_increasing_id().alias("rid"), bare(F.col("text")).alias("bare")).join(groups, "rid"), "lsm-members")
+    kept = members.filter("rid = keeper").select("keeper", F.col("bare").alias("kept_bare"))
+    checked = members.filter("rid != keeper").join(kept, "keeper").select("rid", (F.col("bare") == F.col("kept_bare")).alias("same"))
     found = found.join(checked, "rid", "left")
+    hit = F.col("rid") != F.col("keeper")
     sure = F.when(~hit | F.col("same"), F.col("digest")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("string"))
-    return found.select("rid", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (~hit).alias("kept"), sure.alias("text_sha256"))
+    return found.select("rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (~hit).alias("kept"), sure.alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
