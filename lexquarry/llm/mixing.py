@@ -21,8 +21,8 @@ MOST = 3
 BLOCK = 512
 SHARD = 1024
 SEED = 20240229
-#: Rows of a source that one window sorts, on average.
-ROWS = 4096
+#: Rows of a source that one window sorts, about.
+ROWS = 2048
 #: Slots that one row makes.
 RUN = 16384
 
@@ -32,7 +32,7 @@ def _lit(x: int) -> Column:
 
 
 def target_sources(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size) to (source, src, source_size, weight, target): src numbers sources by code point, null last.
+    """(source, source_size) to (source, src, source_size, weight, target), and any other columns: src numbers sources by code point, null last.
 
     Targets by filling up: in order of most*size/weight, a source is at its limit if that is no more than an equal share by
     weight of what those before leave. One row per source meets in one task here: sums, never documents."""
@@ -54,7 +54,7 @@ def target_sources(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     free = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everyone)
     left = F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("limit"))).over(everyone), _lit(0))
     share = (F.col("weight") * left).cast("double") / free.cast("double")
-    return r.withColumn("target", F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(share)).select("source", "src", "source_size", "weight", "target")
+    return r.withColumn("target", F.when(F.col("capped"), F.col("limit").cast("double")).otherwise(share)).select("source", "src", "source_size", "weight", "target", *(c for c in sources.columns if c not in ("source", "source_size")))
 
 
 def plan_sources(targets: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
@@ -92,10 +92,9 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 def placed(sizes: DataFrame) -> DataFrame:
     """Adds each row's first word in its source's stream. The stream's order is by a hash of doc_id, so that the sums run over
-    buckets of about ROWS rows, however many rows one source has, and then over buckets."""
-    most = sizes.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    buckets = max(1, -(-most // ROWS))
-    s = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(buckets)).cast("int"))
+    buckets of about ROWS rows, however many rows (column rows) a source has, and then over its buckets."""
+    buckets = F.ceil(F.col("rows") / ROWS).cast("long")
+    s = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rid"), buckets))
     sums = s.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("src", "bucket", (F.sum("words").over(before) - F.col("words")).alias("ahead"))
@@ -112,9 +111,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     Null text has size 0, null source is a source. Repeated rows count each for itself."""
     sizes = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(normal_text(F.col("text")), F.lit(WORD)).cast("long").alias("size"))
     sizes = stored(sizes, "mix-sizes")
-    plan = stored(plan_sources(target_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), block), "mix-plan")
+    plan = stored(plan_sources(target_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), block), "mix-plan")
     slots = draw_slots(plan, block, shard, seed)
-    numbered = sizes.join(plan.select(F.col("source").alias("s"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    numbered = sizes.join(plan.select(F.col("source").alias("s"), "src", "source_size", "target", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = placed(numbered)
     last = F.col("first") + F.col("size") - 1
     number = lambda c: ((c - c % block) / block).cast("long")
