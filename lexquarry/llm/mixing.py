@@ -120,7 +120,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     pieces = rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(number(F.col("first")), number(last)))).alias("block"))
     begin = F.col("block") * block
     pieces = pieces.withColumn("lo", F.greatest(F.col("first") - begin, _lit(0))).withColumn("hi", F.least(F.col("first") + F.col("size") - begin, _lit(block))).withColumn("word", F.greatest(begin - F.col("first"), _lit(0)))
-    met = pieces.join(slots, ["src", "block"], "left")
+    # Spark's size estimate does not see that slots are made by explode, and would broadcast them: the join is to shuffle.
+    met = pieces.join(slots.hint("merge"), ["src", "block"], "left")
     taken = F.least("hi", "take") - F.col("lo")
     return met.select("rid", "doc_id", "size", "source", "source_size", "target", "pass", "shard", "slot", F.col("lo").alias("at"), "word", F.when(F.col("take").isNotNull() & (taken > 0), taken).alias("taken"))
 
