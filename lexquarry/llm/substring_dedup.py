@@ -188,6 +188,8 @@ def verdicts(rows: DataFrame) -> DataFrame:
     owner = F.min(F.struct("doc_id", "rid", "first", "windows")).alias("o")
     contents = found.groupBy("anchor", "content").agg(owner, F.max("doc_id").alias("last")).select("anchor", "content", F.col("o.doc_id").alias("owner"), F.col("o.rid").alias("rid"), F.col("o.first").alias("first"), F.col("o.windows").alias("windows"), "last")
     several = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("last").alias("last")).filter("last > low")
+    # Stored before it is joined, as facts below: the joins then shuffle both sides and can split a hot anchor or content.
+    several = stored(several, "several")
     # Only contents that another document has, or whose anchor has other contents of other documents.
     contents = stored(contents.join(several.select("anchor", "n", "low", "high"), "anchor").filter("last > owner or n > 1"), "contents")
     divided = F.ceil(F.col("n") / SHARD).cast("int")
@@ -204,6 +206,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     more = windows.join(least, ["anchor", "window"]).filter("low < owner").groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("more"))
     masks = judged.join(more, ["anchor", "content"], "left").select("anchor", "content", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask"))
     facts = contents.join(masks, ["anchor", "content"], "left").select("anchor", "content", "owner", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), "last").filter("last > owner or mask != 0")
+    facts = stored(facts, "facts")
     every = F.expr("shiftleft(1L, windows) - 1")
     hits = found.join(facts.select("anchor", "content", "owner", "mask"), ["anchor", "content"]).withColumn("mask", F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.col("mask"))).filter("mask != 0")
     return hits.groupBy("rid").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
