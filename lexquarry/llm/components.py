@@ -11,10 +11,11 @@ from .common import stored
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each node's larger neighbours are hung on the smallest of it and its neighbours. Small star: its smaller ones, and itself.
 
-    The smallest neighbour is a map-side minimum and is then joined back, so a hub's neighbours never meet in one task."""
+    The smallest neighbour is a map-side minimum. It is stored before it is joined back: both sides are then shuffled for the join,
+    so that a hub's many edges can be split over tasks."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-    joined = both.join(least, F.col("a") == F.col("node"))
+    joined = both.join(stored(least, "least"), F.col("a") == F.col("node"))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

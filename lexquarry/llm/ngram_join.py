@@ -140,7 +140,8 @@ def _tile(similar: float):
 def similar_classes(classes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """classes: key, bands, rep_rid; texts: rid, text. Returns (key, links) and link edges (a, b) that join what all links join."""
     members = classes.select("key", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).filter("size > 1")
+    # Stored, so that the join shuffles both sides and can split a hot bucket's members.
+    buckets = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).filter("size > 1"), "buckets")
     members = stored(members.join(buckets, "bucket"), "members")
 
     large = members.filter(F.col("size") > PAIRS)
