@@ -17,10 +17,14 @@ g as (select a, b from n qualify row_number() over (partition by a order by roun
 u as (select a, b from g union select b, a from g)"""
 
 
-def near_graph(t: Tables, k: int = 2) -> DataFrame:
-    """A sparse graph: each of the first vectors with its nearest ones."""
-    e = t.embeddings.filter("vec_id < 150")
-    return S.knn(e, e, "vec_id", "embedding", k).select("a", "b")
+def near_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
+    """A sparse graph: each vector with its nearest ones."""
+    return S.knn(vectors, vectors, "vec_id", "embedding", k).select("a", "b")
+
+
+def near_sql(t: Tables) -> DataFrame:
+    """The graph of NEAR, which holds only the first vectors; queries without SQL take the whole table."""
+    return near_graph(t.embeddings.filter("vec_id < 150"))
 
 
 @query("edge_degree_importance", "G6 G10 G25", "with " + EDGES + """,
@@ -35,7 +39,7 @@ def edge_degree_importance(t: Tables) -> DataFrame:
 r as (select a as node, a as other from u union select r.node, u.b from r join u on u.a = r.other)
 select node, min(other) as root from r group by node""")
 def connected_components(t: Tables) -> DataFrame:
-    return G.components(near_graph(t))
+    return G.components(near_sql(t))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -47,14 +51,14 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank_fixed_rounds", "G7", _pagerank_sql(8))
 def pagerank_fixed_rounds(t: Tables) -> DataFrame:
-    return G.pagerank(near_graph(t), 8).withColumn("rank", F.round("rank", 9))
+    return G.pagerank(near_sql(t), 8).withColumn("rank", F.round("rank", 9))
 
 
 @query("shortest_distances", "G11 G12", "with recursive " + NEAR + """,
 r as (select 0::bigint as source, 0::bigint as node, 0 as hops union select r.source, u.b, r.hops + 1 from r join u on u.a = r.node where r.hops < 6)
 select source, node, min(hops) as hops from r group by all""")
 def shortest_distances(t: Tables) -> DataFrame:
-    return G.distances(near_graph(t), t.spark.sql("select 0L as node"), 6)
+    return G.distances(near_sql(t), t.spark.sql("select 0L as node"), 6)
 
 
 @query("shortest_paths", "G11 G12 G19", "with recursive " + NEAR + """,
@@ -62,7 +66,7 @@ r as (select 0::bigint as source, 0::bigint as node, [0::bigint] as path union a
 b as (select *, row_number() over (partition by node order by len(path), path) as i from r)
 select source, node as target, (len(path) - 1)::int as hops, array_to_string(path, '>') as path from b where i = 1 and node % 3 = 1""")
 def shortest_paths(t: Tables) -> DataFrame:
-    e = near_graph(t)
+    e = near_sql(t)
     nodes = e.select(F.explode(F.array("a", "b")).alias("target")).distinct().filter("target % 3 = 1")
     got = G.shortest_paths(e, nodes.select(F.lit(0).cast("long").alias("source"), "target"), 5)
     return got.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
@@ -72,7 +76,7 @@ def shortest_paths(t: Tables) -> DataFrame:
 near as (select 3::bigint as n union select b from u where a = 3)
 select distinct a, b from g where a in (select n from near) and b in (select n from near)""")
 def ego_subgraph(t: Tables) -> DataFrame:
-    return G.ego(near_graph(t), F.lit(3))
+    return G.ego(near_sql(t), F.lit(3))
 
 
 @query("two_hop_paths", "G15 G16 O13", "with " + EDGES + """,
@@ -91,12 +95,12 @@ def two_hop_paths(t: Tables) -> DataFrame:
 
 @query("betweenness_exact", "G9", None)
 def betweenness_exact(t: Tables) -> DataFrame:
-    return G.betweenness(near_graph(t, 2))
+    return G.betweenness(near_graph(t.embeddings))
 
 
 @query("label_communities", "G8 G10", None)
 def label_communities(t: Tables) -> DataFrame:
-    return G.communities(near_graph(t, 3))
+    return G.communities(near_graph(t.embeddings, 3))
 
 
 @query("alias_resolve", "G1 G17", """
