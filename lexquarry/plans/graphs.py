@@ -145,12 +145,13 @@ RUN = """l as (select source as query, doc_id, row_number() over (partition by s
 q as (select d.source as query, doc_id, (l.quality + l.quality * (1 - l.toxic))::int as relevance from labels l join documents d using (doc_id) where doc_id % 3 = 0)"""
 
 
-def _run(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _run(t: Tables, gold: str = "doc_id % 3 = 0") -> tuple[DataFrame, DataFrame]:
+    """A run and its judgements, those of RUN unless `gold` says otherwise."""
     from ..operators.ranking import top_k
 
     run = top_k(t.documents, ["source"], [F.desc("n_chars"), F.col("doc_id")], 20).select(F.col("source").alias("query"), "doc_id", "rank")
     rel = (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).cast("int").alias("relevance")
-    qrels = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").filter("doc_id % 3 = 0").select(F.col("source").alias("query"), "doc_id", rel)
+    qrels = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").filter(gold).select(F.col("source").alias("query"), "doc_id", rel)
     return run, qrels
 
 
@@ -200,7 +201,7 @@ def full_gold_found(t: Tables) -> DataFrame:
 
 @query("bootstrap_interval", "E6", None)
 def bootstrap_interval(t: Tables) -> DataFrame:
-    run, qrels = _run(t)
+    run, qrels = _run(t, "true")
     m = E.metrics(run, qrels, "query", "doc_id").select((F.col("recall_20") - F.col("recall_5")).alias("delta"))
     got = E.bootstrap(m, "delta")
     return got.select(*(F.round(c, 6).alias(c) for c in got.columns))

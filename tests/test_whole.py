@@ -59,3 +59,16 @@ def test_communities_of_all_vectors(spark):
             changed, parts[i] = changed or least != parts[i], least
     root = {int(ids[i]): p for i, p in parts.items()}
     assert all(root[n] == root[c] for n, c in got.items())
+
+
+def test_bootstrap_counts_all_judgements(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    gold = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        if r["doc_id"] in docs and int(r["quality"] + r["quality"] * (1 - r["toxic"])) > 0:
+            gold.setdefault(docs[r["doc_id"]]["source"], set()).add(r["doc_id"])
+    deltas = []
+    for source, ids in gold.items():
+        run = [d["doc_id"] for d in sorted((d for d in docs.values() if d["source"] == source), key=lambda d: (-d["n_chars"], d["doc_id"]))][:20]
+        deltas.append((len(ids & set(run)) - len(ids & set(run[:5]))) / len(ids))
+    assert abs(rows(spark, "bootstrap_interval")[0]["mean"] - sum(deltas) / len(deltas)) < 2e-6
