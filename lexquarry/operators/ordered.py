@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import top_k
+
 
 def carried(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """The last known value up to this row (as-of within a group)."""
@@ -69,19 +71,33 @@ def greedy_quota(rows: Column, each: int, total: int) -> Column:
     kind = "array<struct<g:string,k:bigint,h:string>>"
 
     def step(kept: Column, x: Column) -> Column:
-        same = F.size(F.filter(kept, lambda y: y["g"] == x["g"]))
+        same = F.size(F.filter(kept, lambda y: y["g"].eqNullSafe(x["g"])))
         seen = F.exists(kept, lambda y: y["h"] == x["h"])
         return F.when((F.size(kept) >= total) | (same >= each) | seen, kept).otherwise(F.array_append(kept, x))
 
     return F.aggregate(rows, F.array().cast(kind), step)
 
 
-def degree_capped(edges: Column, most: int) -> Column:
-    """Fold over an array of edges (a, b) in order: an edge goes only if both its ends are full."""
-    kind = "array<struct<a:string,b:string>>"
+def quota_candidates(df: DataFrame, by: str, group: str, key: str, size: str, digest: str, each: int, total: int) -> DataFrame:
+    """The rows that decide greedy_quota over all rows in order of size, then key: (by, group, key, size, digest, rank).
 
-    def step(kept: Column, x: Column) -> Column:
-        full = lambda n: F.size(F.filter(kept, lambda y: (y["a"] == n) | (y["b"] == n))) >= most
-        return F.when(full(x["a"]) & full(x["b"]), kept).otherwise(F.array_append(kept, x))
+    A row left out is one the fold never takes, so leaving it out changes nothing: a second row of one group and digest; of a digest,
+    what comes after as many groups as can be full and one more; of a group, what comes after each + total rows, as at most total
+    digests are taken. Then the fold is done before it has passed over every row that full groups and taken digests can refuse."""
+    order = [F.desc(size), F.col(key)]
+    alone = F.when(F.col(digest).isNull(), F.monotonically_increasing_id())  # rows without a text are no copies of one another
+    first = F.min(F.struct(F.col(size).isNull(), -F.col(size), F.col(key).alias("key"), F.col(size).alias("size")))
+    got = df.groupBy(by, group, digest, alone.alias("__alone")).agg(first.alias("__first")).select(by, group, F.col("__first.key").alias(key), F.col("__first.size").alias(size), digest, "__alone")
+    full = total // each
+    got = top_k(got, [by, digest, "__alone"], order, full + 1).drop("rank", "__alone")
+    got = top_k(got, [by, group], order, each + total).drop("rank")
+    return top_k(got, [by], order, total + full * (each + total) + total * (full + 1))
+
+
+def degree_capped(edges: DataFrame, by: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """Edges (a, b) in order, without those whose ends are both full when they come.
 
-    return F.aggregate(edges, F.array().cast(kind), step)
+    The first `most` edges of a node are always taken, as it isn't full before; so an edge goes only if it is later than that at both
+    ends, which ranks tell without a fold."""
+    ends = edges.withColumn("__node", F.explode(F.array_distinct(F.array("a", "b"))))
+    return top_k(ends, [*by, "__node"], order, most).drop("__node", "rank").distinct()

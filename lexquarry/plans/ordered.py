@@ -89,7 +89,7 @@ def last_attr_from_history(t: Tables) -> DataFrame:
 @query("greedy_quota", "W18 E9", None)
 def greedy_quota(t: Tables) -> DataFrame:
     """Per language, in order of length: at most 2 of a source, 12 in all, no text twice."""
-    cand = R.top_k(t.documents.select("lang", "source", "doc_id", "n_chars", F.md5("text").alias("h")), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 400)
+    cand = O.quota_candidates(t.documents.select("lang", "source", "doc_id", "n_chars", F.md5("text").alias("h")), "lang", "source", "doc_id", "n_chars", "h", 2, 12)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "source", "doc_id", "h"))), lambda x: F.struct(x["source"].alias("g"), x["doc_id"].alias("k"), x["h"].alias("h")))
     folded = cand.groupBy("lang").agg(rows.alias("rows")).select("lang", F.posexplode(O.greedy_quota(F.col("rows"), 2, 12)).alias("place", "x"))
     return folded.select("lang", "place", F.col("x.k").alias("doc_id"), F.col("x.g").alias("source"))
@@ -98,7 +98,9 @@ def greedy_quota(t: Tables) -> DataFrame:
 @query("greedy_topics", "A31", None)
 def greedy_topics(t: Tables) -> DataFrame:
     """Of the most frequent part names, those whose characters differ enough from the names before."""
-    top = t.part.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_name").limit(40)
+    named = t.part.groupBy("p_name").agg(F.count("*").alias("n"))
+    # Names of the same characters are alike to the same names: all but the first of them go in any case.
+    top = R.keep_best(named.withColumn("chars", F.array_sort(F.array_distinct(F.split("p_name", "")))), ["chars"], [F.desc("n"), F.col("p_name")])
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p_name"))), lambda x: x["p_name"])
     return top.agg(names.alias("names")).select(F.posexplode(O.greedy_distinct(F.col("names"), 0.7)).alias("place", "p_name"))
 
@@ -107,9 +109,9 @@ def greedy_topics(t: Tables) -> DataFrame:
 def degree_capped_edges(t: Tables) -> DataFrame:
     """Edges of each return flag in order of weight, until both ends have eight."""
     e = t.lineitem.filter("l_partkey % 40 != l_suppkey % 40").groupBy("l_returnflag", (F.col("l_partkey") % 40).cast("string").alias("a"), (F.col("l_suppkey") % 40).cast("string").alias("b")).agg(F.count("*").alias("n"))
-    top = R.top_k(e, ["l_returnflag"], [F.desc("n"), F.col("a"), F.col("b")], 300)
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "a", "b"))), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    return top.groupBy("l_returnflag").agg(rows.alias("rows")).select("l_returnflag", F.posexplode(O.degree_capped(F.col("rows"), 8)).alias("place", "e")).select("l_returnflag", "place", "e.a", "e.b")
+    order = [F.desc("n"), F.col("a"), F.col("b")]
+    kept = R.ranked(O.degree_capped(e, ["l_returnflag"], order, 8), ["l_returnflag"], order)
+    return kept.select("l_returnflag", (F.col("rank") - 1).alias("place"), "a", "b")
 
 
 @query("locf_chapter", "J10", """
