@@ -53,11 +53,9 @@ def compact(spark: SparkSession, path: str, schema: StructType, level: int = 0)
     return spark.read.schema(merged.schema).parquet(f"{path}/level={level + 1}")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Per row: rid, doc_id, keep_id, group_size, kept, text_sha256.
-
-    Null text equals empty text. Of repeated rows that tie in everything, one stays. The byte check compares whole normalised
-    texts; should two texts share a digest, the query fails rather than drop one."""
+def compared(docs: DataFrame) -> DataFrame:
+    """Per row: rid, doc_id, keep_id, n, digest, hit, same. A hit is a row whose digest another row keeps; same tells of a hit
+    whether its whole normalised text is the keeper's, and is null for other rows."""
     spark = docs.sparkSession
     path = shared_path(spark, "lsm")
     index = compact(spark, path, flush(entries(docs), path))
@@ -68,15 +66,22 @@ def dedup(docs: DataFrame) -> DataFrame:
     members = stored(docs.select(F.monotonically_increasing_id().alias("rid"), bare(F.col("text")).alias("bare")).join(groups, "rid"), "lsm-members")
     kept = members.filter("rid = keeper").select("keeper", F.col("bare").alias("kept_bare"))
     checked = members.filter("rid != keeper").join(kept, "keeper").select("rid", (F.col("bare") == F.col("kept_bare")).alias("same"))
-    found = found.join(checked, "rid", "left")
-    hit = F.col("rid") != F.col("keeper")
-    sure = F.when(~hit | F.col("same"), F.col("digest")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("string"))
-    return found.select("rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (~hit).alias("kept"), sure.alias("text_sha256"))
+    return found.join(checked, "rid", "left").select("rid", "doc_id", "keep_id", "n", "digest", (F.col("rid") != F.col("keeper")).alias("hit"), "same")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """Per row: rid, doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null text equals empty text. Of repeated rows that tie in everything, one stays. The byte check compares whole normalised
+    texts; should two texts share a digest, a query that reads text_sha256 fails."""
+    sure = F.when(~F.col("hit") | F.col("same"), F.col("digest")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("string"))
+    return compared(docs).select("rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (~F.col("hit")).alias("kept"), sure.alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of docs."""
-    return kept_rows(docs, dedup(docs).filter("kept").select("rid"))
+    """The rows that stay, with the columns of docs: a row goes only if its text was compared with its keeper's and is the same."""
+    copy = F.col("hit") & F.coalesce("same", F.lit(False))
+    return kept_rows(docs, compared(docs).filter(~copy).select("rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

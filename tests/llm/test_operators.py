@@ -329,6 +329,17 @@ def test_exact_dedup(table, local):
     assert exact_dedup.without_copies(table).columns == table.columns
 
 
+def test_texts_that_share_a_digest(spark, tmp_path, monkeypatch):
+    docs = [(1, "one text"), (2, "another"), (3, "one  text"), (4, "alone")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    table, real = spark.read.parquet(str(tmp_path / "d")), exact_dedup.entries
+    clash = F.when(F.col("doc_id") == 4, F.col("digest")).otherwise("clash")
+    monkeypatch.setattr(exact_dedup, "entries", lambda d: real(d).withColumn("digest", clash))
+    assert sorted(r["doc_id"] for r in exact_dedup.without_copies(table).collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="share a digest"):
+        exact_dedup.dedup(table).collect()
+
+
 def test_sharding(table, local, spark, tmp_path):
     got = sharding.shard_rows(table).collect()
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((d, len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t, _ in local)
