@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, where one machine does all, gets a folder of its own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lexquarry-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -37,12 +42,68 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lexquarry-{what}-{uuid.uuid4().hex}"
 
 
+#: Frees a job's shuffle files when it ends: what it wrote is in the shared folder, so nothing reads them again.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again. Survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables of which all that was wanted is stored elsewhere."""
+    for t in tables:
+        removed(t.sparkSession, t.stored_at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+ROW_ID = "struct<file:bigint,row:bigint>"
+
+
+def _row_id(df: DataFrame) -> Column:
+    meta = df.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row"))
+
+
+def on_files(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows are rows of Parquet files, each once; else docs stored."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            docs.select(_row_id(docs))
+            return docs
+        except AnalysisException:  # files of another format
+            pass
+    return stored(docs, "rows")
+
+
+def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """docs, which is on_files(), with a column that tells rows apart, repeated ones too: the file and the place in it. It is the
+    same in every pass, however Spark splits the files, so rows can be fetched again by it."""
+    return docs.withColumn(name, _row_id(docs))
 
 
 def free_name(df: DataFrame, name: str = "__row") -> str:
@@ -54,10 +115,9 @@ def free_name(df: DataFrame, name: str = "__row") -> str:
 
 
 def kept_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of docs whose number by monotonically_increasing_id() is in rids (one column), with the columns of docs. Over files,
-    rows are numbered alike in every pass."""
+    """The rows of docs whose row id is in rids (one column), with the columns of docs."""
     row = free_name(docs)
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(rids.toDF(row), row).select(*docs.columns)
+    return with_row_id(docs, row).join(rids.toDF(row), row).select(*docs.columns)
 
 
 def normal_text(text: Column) -> Column:
