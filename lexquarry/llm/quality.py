@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, kept_rows, normal_text, portions, table
+from .common import hashed_words, kept_rows, normal_text, on_files, portions, table, with_row_id
 
 LEAST_WORDS = 20
 COVERED = 30  # per cent
@@ -135,9 +135,9 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with the columns of docs: the verdict comes first, by row number, and then meets the rows again."""
-    row = F.monotonically_increasing_id().alias("rid")
-    return kept_rows(docs, measured(docs.select(row, "text"), "rid").filter("kept").select("rid"))
+    """The rows that the rules keep, with the columns of docs: the verdict comes first, by row id, and then meets the rows again."""
+    docs = on_files(docs)
+    return kept_rows(docs, measured(with_row_id(docs).select("rid", "text"), "rid").filter("kept").select("rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
