@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, gram_hashes, hashed_words, normal_text, paired, stored, table
+from .common import ROW_ID, bytes_of, dropped, gram_hashes, hashed_words, normal_text, on_files, paired, stored, table, with_row_id
 
 WINDOW = 50
 ANCHOR = 16
@@ -62,12 +62,12 @@ def segments(w: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rids, docs = batch["rid"].to_numpy(), batch["doc_id"].to_numpy(zero_copy_only=False)
+        rids, docs = batch["rid"], batch["doc_id"].to_numpy(zero_copy_only=False)
         got = [segments(hashed_words(t)) for t in bytes_of(batch["text"])]
         sizes = [len(x[0]) for x in got]
         anchor, content, first, size = (np.concatenate(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(rids, sizes)), pa.array(np.repeat(docs, sizes), pa.int64()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
+            [rids.take(pa.array(np.repeat(np.arange(len(rids)), sizes))), pa.array(np.repeat(docs, sizes), pa.int64()), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
             names=["rid", "doc_id", "anchor", "content", "first", "windows"],
         )
 
@@ -184,7 +184,7 @@ def _cleaned(with_text: bool):
 
 def verdicts(rows: DataFrame) -> DataFrame:
     """rid and hits (first window, mask) of the rows (rid, doc_id, text) that lose words."""
-    found = stored(rows.filter("doc_id is not null").mapInArrow(_segmented, "rid long, doc_id long, anchor long, content long, first int, windows int"), "segments")
+    found = stored(rows.filter("doc_id is not null").mapInArrow(_segmented, f"rid {ROW_ID}, doc_id long, anchor long, content long, first int, windows int"), "segments")
     owner = F.min(F.struct("doc_id", "rid", "first", "windows")).alias("o")
     contents = found.groupBy("anchor", "content").agg(owner, F.max("doc_id").alias("last")).select("anchor", "content", F.col("o.doc_id").alias("owner"), F.col("o.rid").alias("rid"), F.col("o.first").alias("first"), F.col("o.windows").alias("windows"), "last")
     several = contents.groupBy("anchor").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("last").alias("last")).filter("last > low")
@@ -202,22 +202,25 @@ def verdicts(rows: DataFrame) -> DataFrame:
     words = words.withColumn("part", part).withColumn("home", home)
     judged = stored(words.groupBy("home", "part").applyInPandas(_shard, "anchor long, content long, owner long, mask long, open array<long>"), "judged")
     windows = judged.filter("open is not null").select("anchor", "content", "owner", F.posexplode("open").alias("i", "window"))
-    least = windows.groupBy("anchor", "window").agg(F.min("owner").alias("low"))
+    least = stored(windows.groupBy("anchor", "window").agg(F.min("owner").alias("low")), "least")
     more = windows.join(least, ["anchor", "window"]).filter("low < owner").groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("more"))
     masks = judged.join(more, ["anchor", "content"], "left").select("anchor", "content", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask"))
     facts = contents.join(masks, ["anchor", "content"], "left").select("anchor", "content", "owner", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), "last").filter("last > owner or mask != 0")
     facts = stored(facts, "facts")
+    dropped(several, contents, judged, least)
     every = F.expr("shiftleft(1L, windows) - 1")
     hits = found.join(facts.select("anchor", "content", "owner", "mask"), ["anchor", "content"]).withColumn("mask", F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.col("mask"))).filter("mask != 0")
-    return hits.groupBy("rid").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
+    out = stored(hits.groupBy("rid").agg(F.collect_list(F.struct("first", "mask")).alias("hits")), "hits")
+    dropped(found, facts)
+    return out
 
 
 def dedup_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A window counts as seen if a smaller doc_id has it. Rows without doc_id are no one's reference and lose nothing; rows of one
-    doc_id are no reference to each other. Null text has no words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), normal_text(F.col("text")).alias("text"))
+    doc_id are no reference to each other. doc_id is cast to long. Null text has no words."""
+    rows = with_row_id(on_files(docs)).select("rid", F.col("doc_id").cast("long").alias("doc_id"), normal_text(F.col("text")).alias("text"))
     judged = rows.join(verdicts(rows), "rid", "left").select("doc_id", "text", "hits")
     return judged.mapInArrow(_cleaned(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
