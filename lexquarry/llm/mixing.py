@@ -4,9 +4,11 @@ Method: the words of a source form one stream, cut into blocks of BLOCK words. E
 sources these come from is drawn at random for the shard. A source's n-th slot takes the block that the source's pseudorandom
 permutation of block indices names, a new permutation for each pass over the source, and slots join blocks by that index.
 
-The draw is multinomial given its totals: a free multinomial draw would miss the targets by its variance, and would take a source
-that stands at its limit (three times its size) a fourth time. So all slots of all sources are put in one pseudorandom order and
-cut into shards, which is the multinomial law given that each source gets exactly the slots that its target needs.
+The draw: every slot of a shard draws a source with the targets' odds, so a shard's counts are multinomial. Summed over shards such
+counts miss the targets by their variance, and would take a source that stands at its limit (three times its size) a fourth time.
+So a source that was drawn too often gives up slots picked by its permutation, and these go, permuted, to the sources that were
+drawn too seldom. Every step treats all slots alike, so what results is the multinomial law given that each source gets exactly the
+slots that its target needs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, normal_text, permuted, stored, table
+from .common import WORD, dropped, free_name, normal_text, on_files, permuted, stored, table, with_row_id
 
 WEIGHTS = (5, 2, 1)  # fixed values
 MOST = 3
@@ -23,8 +25,11 @@ SHARD = 1024
 SEED = 20240229
 #: Rows of a source that one window sorts, about.
 ROWS = 2048
-#: Slots that one row makes.
-RUN = 16384
+#: Shards of which one task makes the slots, about, and tasks at most.
+PART = 8
+PARTS = 8192
+#: Shards whose counts one window sums.
+GROUP = 4096
 
 
 def _lit(x: int) -> Column:
@@ -70,24 +75,65 @@ def plan_sources(targets: DataFrame, block: int = BLOCK, most: int = MOST) -> Da
     return p.withColumn("base", F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots")).withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(1))))
 
 
-def draw_slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """One row per slot: src, pass, block, take (words of the block that the mix takes), shard, slot.
+def _located(points: DataFrame, at: str, ranges: DataFrame, total: int, cells: int) -> DataFrame:
+    """points with the columns of the one range (lo, hi exclusive) that holds their number `at`: both sides meet in cells of equal
+    width, of which a range has one row each. The hint keeps Spark from broadcasting points, whose number it can't see."""
+    width = max(1, -(-total // max(1, cells)))
+    ranges = ranges.filter("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    met = points.withColumn("cell", F.floor(F.col(at) / width)).join(ranges.hint("shuffle_hash"), "cell")
+    return met.filter((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi"))).drop("cell", "lo", "hi")
+
+
+def shard_counts(drawn: DataFrame) -> DataFrame:
+    """The drawn matrix (shard, src, n), and `before`: n over all earlier shards, summed in groups of shards and over groups."""
+    counts = drawn.groupBy("shard", "src").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("shard") / GROUP))
+    up = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    groups = counts.groupBy("src", "part").agg(F.sum("n").alias("in_part"))
+    groups = groups.select("src", "part", (F.sum("in_part").over(up("src").orderBy("part")) - F.col("in_part")).alias("ahead"))
+    inside = F.sum("n").over(up("src", "part").orderBy("shard")) - F.col("n")
+    return counts.withColumn("inside", inside).join(groups, ["src", "part"]).select("shard", "src", "n", (F.col("ahead") + F.col("inside")).alias("before"))
+
+
+def draw_sources(plan: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """The multinomial draw: shard, slot, src, as many slots as the plan has."""
+    spark = plan.sparkSession
+    total, n_sources = plan.agg(F.coalesce(F.sum("slots"), _lit(0)), F.count("*")).first()
+    shards = -(-total // shard)
+    rows = spark.range(0, shards, 1, max(1, min(PARTS, -(-shards // PART)))).withColumnRenamed("id", "shard")
+    begin = F.col("shard") * shard
+    slots = rows.select("shard", F.explode(F.sequence(_lit(0), F.least(_lit(shard), _lit(total) - begin) - 1)).alias("slot"))
+    slots = slots.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), begin + F.col("slot")), _lit(max(1, total))))
+    ranges = plan.select("src", F.col("base").alias("lo"), (F.col("base") + F.col("slots")).alias("hi"))
+    return _located(slots, "draw", ranges, total, max(n_sources, shards)).select("shard", "slot", "src")
 
-    A large source's slots are made from runs of RUN slots that are dealt over all tasks first."""
-    runs = plan.filter("slots > 0").select("*", F.explode(F.sequence(_lit(0), F.col("slots") - 1, _lit(RUN))).alias("run")).repartition("src", "run")
-    s = runs.select("*", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("slots")) - 1)).alias("k"))
+
+def draw_slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """One row per slot: src, pass, block, take (words of the block that the mix takes), shard, slot. Stored."""
+    drawn = stored(draw_sources(plan, shard, seed), "mix-drawn")
+    matrix = stored(shard_counts(drawn), "mix-counts")
+    up = Window.partitionBy(F.lit(1)).orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+    got = plan.join(matrix.groupBy("src").agg(F.sum("n").alias("got")), "src", "left").withColumn("got", F.coalesce("got", _lit(0)))
+    got = got.withColumn("over", F.greatest(F.col("got") - F.col("slots"), _lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("got"), _lit(0)))
+    got = stored(got.withColumn("over_base", F.sum("over").over(up) - F.col("over")).withColumn("under_base", F.sum("under").over(up) - F.col("under")), "mix-got")
+    moved, n_sources = got.agg(F.coalesce(F.sum("over"), _lit(0)), F.count("*")).first()
+
+    # The n-th slot of a source in the order of shards becomes number `no` by the source's permutation.
+    by_slot = F.row_number().over(Window.partitionBy("shard", "src").orderBy("slot")) - 1
+    numbered = drawn.withColumn("n", by_slot).join(matrix.select("shard", "src", "before"), ["shard", "src"]).join(got.select("src", "got", "slots", "over_base"), "src")
+    numbered = numbered.withColumn("no", permuted(F.col("before") + F.col("n"), F.col("got"), F.lit(seed), F.lit("order"), F.col("src")))
+    numbered = stored(numbered.select("shard", "slot", "src", "no", (F.col("over_base") + F.col("no") - F.col("slots")).alias("given"), (F.col("no") < F.col("slots")).alias("stays")), "mix-numbered")
+    given = numbered.filter("not stays").select("shard", "slot", permuted(F.col("given"), _lit(moved), F.lit(seed), F.lit("moved")).alias("to"))
+    ranges = got.select("src", "got", "under_base", F.col("under_base").alias("lo"), (F.col("under_base") + F.col("under")).alias("hi"))
+    to = _located(given, "to", ranges, moved, max(n_sources, -(-moved // shard))).select("shard", "slot", "src", (F.col("got") + F.col("to") - F.col("under_base")).alias("no"))
+    s = numbered.filter("stays").select("shard", "slot", "src", F.col("no").alias("k")).union(to).join(plan, "src")
     s = s.withColumn("pass", ((F.col("k") - F.col("k") % F.col("blocks")) / F.col("blocks")).cast("long")).withColumn("j", F.col("k") % F.col("blocks"))
     inner = F.col("j") < F.col("full")
     s = s.withColumn("block", F.when(inner, permuted(F.col("j"), F.col("full"), F.lit(seed), F.col("src"), F.col("pass"))).otherwise(F.col("full")))
     whole = F.when(inner, _lit(block)).otherwise(F.col("tail"))
     s = s.withColumn("take", F.when(F.col("pass") < F.col("passes"), whole).otherwise(F.least(whole, F.col("rest") - F.col("j") * block)))
-    s = s.withColumn("place", permuted(F.col("base") + F.col("k"), F.col("all_slots"), F.lit(seed), F.lit("shards")))
-    return s.select("src", "pass", "block", "take", F.floor(F.col("place") / shard).cast("long").alias("shard"), (F.col("place") % shard).cast("int").alias("slot"))
-
-
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn matrix: shard, src, n."""
-    return slots.groupBy("shard", "src").agg(F.count("*").alias("n"))
+    slots = stored(s.select("src", "pass", "block", "take", "shard", F.col("slot").cast("int").alias("slot")), "mix-slots")
+    dropped(drawn, matrix, got, numbered)
+    return slots
 
 
 def placed(sizes: DataFrame) -> DataFrame:
@@ -108,8 +154,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
 
     Columns: rid (the document's row), doc_id, size, source, source_size, target, pass, shard, slot, at (the first word's place
     in the slot), word (the first word's place in the document), taken (how many words; null: none).
-    Null text has size 0, null source is a source. Repeated rows count each for itself."""
-    sizes = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(normal_text(F.col("text")), F.lit(WORD)).cast("long").alias("size"))
+    Null text has size 0, null source is a source. Repeated rows count each for itself. Stored."""
+    docs = on_files(docs)
+    sizes = with_row_id(docs).select("rid", "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(normal_text(F.col("text")), F.lit(WORD)).cast("long").alias("size"))
     sizes = stored(sizes, "mix-sizes")
     plan = stored(plan_sources(target_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), block), "mix-plan")
     slots = draw_slots(plan, block, shard, seed)
@@ -120,10 +167,11 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     pieces = rows.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(number(F.col("first")), number(last)))).alias("block"))
     begin = F.col("block") * block
     pieces = pieces.withColumn("lo", F.greatest(F.col("first") - begin, _lit(0))).withColumn("hi", F.least(F.col("first") + F.col("size") - begin, _lit(block))).withColumn("word", F.greatest(begin - F.col("first"), _lit(0)))
-    # Spark's size estimate does not see that slots are made by explode, and would broadcast them: the join is to shuffle.
-    met = pieces.join(slots.hint("merge"), ["src", "block"], "left")
+    met = pieces.join(slots, ["src", "block"], "left")
     taken = F.least("hi", "take") - F.col("lo")
-    return met.select("rid", "doc_id", "size", "source", "source_size", "target", "pass", "shard", "slot", F.col("lo").alias("at"), "word", F.when(F.col("take").isNotNull() & (taken > 0), taken).alias("taken"))
+    out = stored(met.select("rid", "doc_id", "size", "source", "source_size", "target", "pass", "shard", "slot", F.col("lo").alias("at"), "word", F.when(F.col("take").isNotNull() & (taken > 0), taken).alias("taken")), "mix")
+    dropped(sizes, plan, slots)
+    return out
 
 
 def mixed_counts(docs: DataFrame) -> DataFrame:
@@ -134,10 +182,11 @@ def mixed_counts(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row per pass in which a document has words. Taken whole, its text stays as
     it is; taken in part, its text is the taken words, in their order, joined by a space. n_chars follows the text."""
+    docs = on_files(docs)
     got = mix(docs).filter("taken is not null").groupBy("rid", "pass").agg(F.sum("taken").alias("n"), F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("word", "taken"))).alias("runs"))
     row, runs = free_name(docs), free_name(docs, "__runs")
     whole = F.col("n") == F.col("size")
-    texts = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = with_row_id(docs, row)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(words, (r["word"] + 1).cast("int"), r["taken"].cast("int")))), " ")
     out = texts.join(got.select(F.col("rid").alias(row), F.when(~whole, F.col("runs")).alias(runs)), row)
