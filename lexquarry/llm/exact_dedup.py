@@ -1,20 +1,29 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame functions only.
 
-Memtables: rows are dealt into runs, each run keeps one entry per digest (how many, and which row stays), and is flushed as a
-Parquet file sorted by digest, with Parquet's Bloom filter and column statistics on the digest. Compaction merges runs, keeping
-of each digest the row with the most code points, then the smallest identifier. A hit (a row whose digest another row keeps) is
-then compared byte by byte with the kept row's text.
+Memtables: rows are dealt into runs of about MEMTABLE rows, each run keeps one entry per digest (how many, and which row stays), and
+is flushed as Parquet files sorted by digest. Compaction: while a level has over FANOUT runs, they are merged in groups of FANOUT
+into runs of the next level, all groups at once, so levels grow with the logarithm of the input. Of each digest the row with the
+most code points stays, then the smallest identifier.
+
+Filters: every batch that is added leaves a Bloom filter, as rows (word_no, bits) of 64-bit words, made by bit_or. A later batch is
+probed against the filters by an equality join on word_no, which reads two bytes or so an entry; only digests that some filter
+may hold are looked up in the runs. A hit (a row whose digest another row keeps) is then compared byte by byte with the kept text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import SPACE, kept_rows, normal_text, shared_path, stored, table
+from .common import SPACE, dropped, kept_rows, normal_text, on_files, removed, shared_path, shuffles_freed, stored, table, with_row_id
 
-RUNS = 8
+MEMTABLE = 1_000_000
+FANOUT = 8
+#: Entries a filter word, and bits set for each: with 10 bits an entry a blocked filter passes some 2 % of strangers.
+PER_WORD = 6
+BITS = 4
 
 
 def bare(text: Column) -> Column:
@@ -23,50 +32,137 @@ def bare(text: Column) -> Column:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """What the index holds of each row. rid numbers the rows of the scan and tells repeated rows apart."""
+    """What the index holds of each row of docs, which is on_files()."""
     text = normal_text(F.col("text"))
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length(text).cast("long").alias("points"), F.sha2(bare(F.col("text")), 256).alias("digest"))
+    return with_row_id(docs).select("rid", "doc_id", F.length(text).cast("long").alias("points"), F.sha2(bare(F.col("text")), 256).alias("digest"))
 
 
 def _best() -> Column:
     return F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
 
 
-def flush(rows: DataFrame, path: str, runs: int = RUNS, level: int = 0) -> StructType:
-    """Write sorted runs with filters under path, and return their schema. A memtable folds its copies before they are shuffled, so one digest with a third of all rows is one entry per run."""
-    run = F.pmod(F.xxhash64("rid"), F.lit(runs)).cast("int")
-    memtables = rows.groupBy(run.alias("run"), "digest").agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
-    write_runs(memtables, path, level)
-    return memtables.schema
-
-
-def write_runs(runs: DataFrame, path: str, level: int) -> None:
-    sorted_runs = runs.repartition("run", F.substring("digest", 1, 2)).sortWithinPartitions("run", "digest")
-    to = sorted_runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000")
-    to.partitionBy("run").parquet(f"{path}/level={level}")
-
-
-def compact(spark: SparkSession, path: str, schema: StructType, level: int = 0) -> DataFrame:
-    """Merge a level's runs into one run of the next level, and return it: digest, best, n."""
-    merged = spark.read.schema(schema).parquet(f"{path}/level={level}").groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{path}/level={level + 1}")
-    return spark.read.schema(merged.schema).parquet(f"{path}/level={level + 1}")
+def _merged(runs: DataFrame, *by: str) -> DataFrame:
+    return runs.groupBy(*by, "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
+def _word(words: Column) -> Column:
+    return F.pmod(F.xxhash64("digest"), words)
+
+
+def _mask() -> Column:
+    """BITS bits of a word, by one hash."""
+    h = F.xxhash64("digest", F.lit("bits"))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    out = one(0)
+    for i in range(1, BITS):
+        out = out.bitwiseOR(one(i))
+    return out
+
+
+class Index:
+    """A log-structured merge index under a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str, memtable: int = MEMTABLE, fanout: int = FANOUT):
+        self.spark, self.path, self.memtable, self.fanout = spark, path, memtable, fanout
+        self.levels: list[list[str]] = []  # of each level, its folders of runs
+        self.runs: list[int] = []  # of each level, how many runs
+        self.filters: list[tuple[str, int]] = []  # folder and number of words
+
+    def _write(self, runs: DataFrame, level: int, count: int) -> None:
+        path = f"{self.path}/level={level}-{uuid.uuid4().hex}"
+        with shuffles_freed(self.spark):
+            runs.sortWithinPartitions("run", "digest").write.parquet(path)
+        while len(self.levels) <= level:
+            self.levels.append([])
+            self.runs.append(0)
+        self.levels[level].append(path)
+        self.runs[level] += count
+
+    def _read(self, level: int) -> DataFrame:
+        return self.spark.read.parquet(*self.levels[level])
+
+    def add(self, rows: DataFrame, count: int) -> None:
+        """Flush a batch of `count` entries, write its filter, and compact what is due. A memtable folds its copies before they are
+        shuffled, so a digest with a third of all rows is one entry of each run."""
+        new = max(1, -(-count // self.memtable))
+        run = F.pmod(F.xxhash64("rid"), F.lit(new)).cast("int") + (self.runs[0] if self.runs else 0)
+        memtables = rows.groupBy(run.alias("run"), "digest").agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
+        before = len(self.levels[0]) if self.levels else 0
+        self._write(memtables, 0, new)
+        words = max(1, -(-count // PER_WORD))
+        flushed = self.spark.read.parquet(self.levels[0][before])
+        path = f"{self.path}/filter={len(self.filters)}"
+        with shuffles_freed(self.spark):
+            flushed.groupBy(_word(F.lit(words)).alias("word_no")).agg(F.bit_or(_mask()).alias("bits")).write.parquet(path)
+        self.filters.append((path, words))
+        level = 0
+        while self.runs[level] > self.fanout:
+            self.compact(level)
+            level += 1
+
+    def compact(self, level: int) -> None:
+        """Merge a level's runs in groups of FANOUT into runs of the next level."""
+        count = -(-self.runs[level] // self.fanout)
+        after = self.runs[level + 1] if len(self.runs) > level + 1 else 0
+        to = (F.floor(F.col("run") / self.fanout) + after).cast("int")
+        old = self.levels[level]
+        self._write(_merged(self._read(level).withColumn("run", to), "run"), level + 1, count)
+        self.levels[level], self.runs[level] = [], 0
+        for path in old:
+            removed(self.spark, path)
+
+    def everything(self) -> DataFrame:
+        """digest, best, n over all runs."""
+        paths = [p for level in self.levels for p in level]
+        return _merged(self.spark.read.parquet(*paths))
+
+    def maybe(self, rows: DataFrame) -> DataFrame:
+        """The rows (with a digest) that some filter may hold: all that the index has, and a few strangers."""
+        found = None
+        for path, words in self.filters:
+            bits = self.spark.read.parquet(path).select("word_no", "bits")
+            hit = rows.withColumn("word_no", _word(F.lit(words))).withColumn("mask", _mask()).join(bits, "word_no")
+            hit = hit.filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select(*rows.columns)
+            found = hit if found is None else found.union(hit)
+        return rows.limit(0) if found is None else found.distinct()
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """digest, best, n of those digests (one column, each once) that the index has. Runs are read only for what passes a filter."""
+        return self.maybe(digests).join(self.everything(), "digest")
+
+    def drop(self) -> None:
+        removed(self.spark, self.path)
+
+
+def known(index: Index, docs: DataFrame) -> DataFrame:
+    """Of a new batch: its rows whose digest an index of earlier batches has: rid, doc_id, digest, keep_id (of the row kept there), n."""
+    rows = stored(entries(on_files(docs)), "lsm-batch")
+    met = rows.join(index.lookup(rows.select("digest").distinct()), "digest")
+    return met.select("rid", "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "n")
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Per row: rid, doc_id, keep_id, n, digest, hit, same. A hit is a row whose digest another row keeps; same tells of a hit
-    whether its whole normalised text is the keeper's, and is null for other rows."""
+    """Per row of docs, which is on_files(): rid, doc_id, keep_id, n, digest, hit, same. A hit is a row whose digest another row keeps;
+    same tells of a hit whether its whole normalised text is the keeper's, and is null for other rows. Stored."""
     spark = docs.sparkSession
-    path = shared_path(spark, "lsm")
-    index = compact(spark, path, flush(entries(docs), path))
-    found = stored(entries(docs).join(index, "digest").select("rid", "doc_id", "digest", "n", F.col("best.rid").alias("keeper"), F.col("best.doc_id").alias("keep_id")), "lsm-found")
-    # Texts are fetched by row number, a key without skew, for groups only; each hit then meets its keeper's text. Both sides of
+    rows = stored(entries(docs), "lsm-rows")
+    index = Index(spark, shared_path(spark, "lsm"))
+    index.add(rows, rows.count())
+    # Only digests that the index has seen more than once are joined back. They are stored first, so that a hot digest can be split.
+    often = stored(index.everything().filter("n > 1").select("digest", "n", F.col("best.rid").alias("keeper"), F.col("best.doc_id").alias("keep_id")), "lsm-often")
+    found = stored(rows.select("rid", "doc_id", "digest").join(often, "digest", "left"), "lsm-found")
+    index.drop()
+    # Texts are fetched by row id, a key without skew, for groups only; each hit then meets its keeper's text. Both sides of
     # that join are shuffled for it, so that a hot keeper's hits can be split over tasks.
     groups = found.filter("n > 1").select("rid", "keeper")
-    members = stored(docs.select(F.monotonically_increasing_id().alias("rid"), bare(F.col("text")).alias("bare")).join(groups, "rid"), "lsm-members")
+    members = stored(with_row_id(docs).select("rid", bare(F.col("text")).alias("bare")).join(groups, "rid"), "lsm-members")
     kept = members.filter("rid = keeper").select("keeper", F.col("bare").alias("kept_bare"))
-    checked = members.filter("rid != keeper").join(kept, "keeper").select("rid", (F.col("bare") == F.col("kept_bare")).alias("same"))
-    return found.join(checked, "rid", "left").select("rid", "doc_id", "keep_id", "n", "digest", (F.col("rid") != F.col("keeper")).alias("hit"), "same")
+    checked = stored(members.filter("rid != keeper").join(kept, "keeper").select("rid", (F.col("bare") == F.col("kept_bare")).alias("same")), "lsm-checked")
+    alone = F.col("keeper").isNull()
+    out = found.join(checked, "rid", "left").select("rid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n"), "digest", (~alone & (F.col("rid") != F.col("keeper"))).alias("hit"), "same")
+    out = stored(out, "lsm-compared")
+    dropped(rows, often, found, members, checked)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -75,11 +171,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     Null text equals empty text. Of repeated rows that tie in everything, one stays. The byte check compares whole normalised
     texts; should two texts share a digest, a query that reads text_sha256 fails."""
     sure = F.when(~F.col("hit") | F.col("same"), F.col("digest")).otherwise(F.raise_error(F.lit("two texts share a digest")).cast("string"))
-    return compared(docs).select("rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (~F.col("hit")).alias("kept"), sure.alias("text_sha256"))
+    return compared(on_files(docs)).select("rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (~F.col("hit")).alias("kept"), sure.alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs: a row goes only if its text was compared with its keeper's and is the same."""
+    docs = on_files(docs)
     copy = F.col("hit") & F.coalesce("same", F.lit(False))
     return kept_rows(docs, compared(docs).filter(~copy).select("rid"))
 
