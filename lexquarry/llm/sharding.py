@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import normal_text, permuted, table
+from .common import normal_text, on_files, permuted, table, with_row_id
 
 SHARDS = 24
 SEED = 51
@@ -65,14 +65,16 @@ def communication_matrix(sizes: list[int], shards: int = SHARDS, seed: int = SEE
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has no growing).
+def placed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """rid (of docs, which is on_files()), doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has no growing).
 
     Only bucket sizes reach the driver: a number for every ROWS rows, BUCKETS numbers at most. One shuffle, of rows without text, by bucket; ranks are taken
-    inside buckets and never inside a shard. Null text is empty; repeated rows each get a slot of their own."""
+    inside buckets and never inside a shard. Null text is empty; repeated rows each get a slot of their own, and lie in buckets by
+    their places in their files, so many repeats of one row share no bucket."""
     spark = docs.sparkSession
     data = F.encode(normal_text(F.col("text")), "UTF-8")
-    rows = docs.select("doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32(data)).alias("dice"))
+    rows = with_row_id(docs).select("rid", "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "rid.row"))
     total = docs.count()
     buckets = min(BUCKETS, max(1, -(-total // ROWS)))
     rows = rows.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
@@ -82,7 +84,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("upto", T.ArrayType(T.LongType())), T.StructField("before", T.ArrayType(T.LongType()))])
     plan = spark.createDataFrame([(b, upto[b].tolist(), before[b].tolist()) for b in range(buckets)], schema)
     room = F.array(*(F.lit(int(x)).cast("long") for x in matrix.sum(0)))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("dice", F.lit("local")), "doc_id", "text_crc32")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("dice", F.lit("local")), "doc_id", "text_crc32", "rid")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(plan, "bucket")
     shard = F.size(F.filter("upto", lambda x: x <= F.col("rank")))
     ranked = ranked.withColumn("shard", shard.cast("int"))
@@ -90,14 +92,19 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     begin = F.when(s > 0, F.element_at("upto", F.greatest(s, F.lit(1)))).otherwise(F.lit(0).cast("long"))
     place = F.element_at("before", s + 1) + F.col("rank") - begin
     slot = permuted(place, F.element_at(room, s + 1), F.lit(seed), s)
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranked.select("rid", "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """placed_rows() without rid."""
+    return placed_rows(on_files(docs), shards, seed).drop("rid")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """The exchange itself: documents (as the struct doc) in shard folders, each in slot order."""
-    put = shard_rows(docs, shards).select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "shard", "slot").dropDuplicates(["id", "crc"])
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), F.crc32(F.encode(normal_text(F.col("text")), "UTF-8")).alias("own_crc"))
-    both = rows.join(put, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_crc") == F.col("crc"))).select("shard", "slot", "doc")
+    docs = on_files(docs)
+    rows = with_row_id(docs.select(F.struct("*").alias("doc")))
+    both = rows.join(placed_rows(docs, shards).select("rid", "shard", "slot"), "rid").select("shard", "slot", "doc")
     both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
