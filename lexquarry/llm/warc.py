@@ -2,8 +2,8 @@
 
 Writing is Spark's own text writer with the record terminator as line separator: records are text up to their end, and the commit
 protocol takes care of lost executors and of any store. Archives are gzip files of at most RECORDS records each. Reading parses by
-Content-Length, so payloads may hold anything. Transactions are assembled through WARC-Concurrent-To: request and metadata name
-their response, and the three meet by that identifier in one nested row.
+Content-Length, so payloads may hold anything. Transactions are assembled through WARC-Concurrent-To, of which a record may have
+several: records that name a response, or that it names, meet it by that identifier in one nested row.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import normal_text, shared_path, stored, table
+from .common import normal_text, on_files, removed, shared_path, stored, table, with_row_id
 
 LEAST = 100
 RECORDS = 3000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
-RECORD = "record_id string, kind string, concurrent_to string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
+#: archive and at: where the record lies, so that a capture can list its records in that order.
+RECORD = "archive string, at long, record_id string, kind string, concurrent_to array<string>, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
 def _record_id(role: str, page: Column, rid: Column) -> Column:
@@ -47,7 +48,7 @@ def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
     revisit it. Null html is the empty payload, white space and controls in a url become %20. Repeated rows are captures of their own."""
     html = normal_text(F.col("html"))
     uri = F.regexp_replace(normal_text(F.col("url")), r"[\x00-\x20\x7f]", "%20")
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", uri.alias("uri"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    rows = with_row_id(on_files(pages)).select("rid", "page_id", uri.alias("uri"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     order = F.struct(F.col("page_id").isNull(), "page_id", "rid")
     firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.rid").alias("first_rid"))
     rows = rows.join(firsts, "digest", "left")
@@ -69,21 +70,24 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     out.option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record."""
+def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
+    """Of each record: headers (lower-case names; of repeated ones the last), all values of WARC-Concurrent-To in their order, block."""
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a record: {line[:60]!r}")
         headers: dict[str, str] = {}
+        concurrent: list[str] = []
         while (line := stream.readline()).strip():
             name, _, value = line.decode().partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers["content-length"]))
+            headers[key := name.strip().lower()] = value.strip()
+            if key == "warc-concurrent-to":
+                concurrent.append(value.strip())
+        yield headers, concurrent, stream.read(int(headers["content-length"]))
 
 
-def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+def _row(headers: dict[str, str], concurrent: list[str], block: bytes, with_payload: bool) -> tuple:
     kind, digest, size, payload, fields = headers["warc-type"], None, None, None, None
     if kind in ("response", "revisit"):
         head, _, payload = block.partition(b"\r\n\r\n")
@@ -95,11 +99,11 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
         payload = payload if with_payload and kind == "response" else None
     elif kind == "metadata":
         fields = [tuple(map(str.strip, x.split(":", 1))) for x in block.decode().split("\r\n") if ":" in x]
-    return headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), digest, size, payload, fields
+    return headers["warc-record-id"], kind, concurrent, headers.get("warc-target-uri"), headers.get("warc-refers-to"), digest, size, payload, fields
 
 
 def _record_reader(with_payload: bool):
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,10 +111,10 @@ def _record_reader(with_payload: bool):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 rows, held = [], 0
-                for headers, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
-                    rows.append(_row(headers, block, with_payload))
+                for at, (headers, concurrent, block) in enumerate(parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))))):
+                    rows.append((path, at, *_row(headers, concurrent, block, with_payload)))
                     held += 500 + len(block) * with_payload
                     if held > 4_000_000:
                         yield made(rows)
@@ -122,23 +126,40 @@ def _record_reader(with_payload: bool):
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_record_reader(with_payload), RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, request, response, metadata (structs; null where such a record is missing).
-
-    The join by concurrent-to identifiers, done by grouping: a response's own identifier is the key that the others name."""
-    part = F.struct("record_id", "kind", "uri", "refers_to", "payload_digest", "payload_bytes", "payload", "fields")
-    of = lambda *kinds: F.first(F.when(F.col("kind").isin(*kinds), part), ignorenulls=True)
-    key = F.coalesce("concurrent_to", "record_id").alias("capture_id")
-    return records.groupBy(key).agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata")).filter("response is not null")
+    """One nested row per capture: capture_id, response (null where there is none), requests, metadata, others (arrays of structs, in
+    the order of archives).
+
+    A response or revisit makes a capture, named by its record id. Other records belong to every capture whose response they name or
+    are named by, in any of their concurrent-to identifiers. Records without such a response make captures without one: together if
+    they first name the same record, else alone, named by that or their own id. Of several responses with one id the first is
+    response and the rest are in others, as are records of further kinds. No record is lost."""
+    head = F.col("kind").isin("response", "revisit")
+    ids = stored(records.select("record_id", head.alias("is_head"), "concurrent_to"), "warc-ids")
+    named = ids.select("record_id", "is_head", F.explode("concurrent_to").alias("other"))
+    heads = ids.filter("is_head").select(F.col("record_id").alias("capture_id")).distinct()
+    ends = named.select("record_id", F.col("other").alias("capture_id")).union(named.filter("is_head").select(F.col("other").alias("record_id"), F.col("record_id").alias("capture_id")))
+    joined = ends.join(heads, "capture_id").distinct()
+    rows = records.withColumn("is_head", head).join(joined.select("record_id", F.col("capture_id").alias("of")), "record_id", "left")
+    own = F.when(F.col("is_head"), F.col("record_id")).otherwise(F.coalesce("of", F.try_element_at("concurrent_to", F.lit(1)), "record_id"))
+    rows = rows.withColumn("capture_id", own).dropDuplicates(["capture_id", "archive", "at"])
+    part = F.struct("archive", "at", "record_id", "kind", "concurrent_to", "uri", "refers_to", "payload_digest", "payload_bytes", "payload", "fields")
+    grouped = rows.groupBy("capture_id").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(F.struct(a["archive"], a["at"]) < F.struct(b["archive"], b["at"]), -1).otherwise(1)).alias("all"))
+    of = lambda test: F.filter("all", test)
+    is_head = lambda x: x["kind"].isin("response", "revisit")
+    found = of(is_head)
+    others = F.concat(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), of(lambda x: ~x["kind"].isin("response", "revisit", "request", "metadata")))
+    return grouped.select("capture_id", F.try_element_at(found, F.lit(1)).alias("response"), of(lambda x: x["kind"] == "request").alias("requests"), of(lambda x: x["kind"] == "metadata").alias("metadata"), others.alias("others"))
 
 
 def page_rows(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of captures."""
-    page = F.element_at(F.col("metadata.fields"), "page-id").try_cast("long")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the captures that have a response."""
+    page = F.try_element_at(F.try_element_at("metadata", F.lit(1))["fields"], F.lit("page-id")).try_cast("long")
+    found = found.filter("response is not null")
     flat = stored(found.select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target")), "captures")
     origin = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
     return flat.join(origin, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -147,4 +168,6 @@ def page_rows(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return page_rows(captures(read_records(spark, path, with_payload=False)))
+    records = stored(read_records(spark, path, with_payload=False), "warc-records")
+    removed(spark, path)
+    return page_rows(captures(records))
