@@ -37,6 +37,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -80,7 +81,8 @@ class Encoder:
         return head
 
     def encode(self, text: str) -> bytes:
-        if ODD(text) or "\0" in text:
+        # The library cuts at added tokens first, so white space before one ends a text there.
+        if ODD(text) or "\0" in text or any(t in text for t in self.added):
             return self._slow(text)
         kept = self.kept
         if len(kept) > KEPT:
