@@ -87,12 +87,16 @@ with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as x f
 f as ({_PARTS}),
 p as (select *, sum(length(g) + length(m)) over (partition by rid, no order by i rows unbounded preceding)::bigint as e from f),
 q as (select rid, no, e - length(m) as s, e from p where case when rule = 'mixed' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') else length(v) >= rule::int end),
-n as (select *, no < 3 as base, coalesce(max(case when no < 3 then e end) over a > s, false) or coalesce(min(case when no < 3 then s end) over b < e, false) as over,
+d as (select *, coalesce(max(case when no < 3 then e end) over a > s, false) or coalesce(min(case when no < 3 then s end) over b < e, false) as over_base,
+  coalesce(max(case when no = 3 then e end) over a > s, false) or coalesce(min(case when no = 3 then s end) over b < e, false) as over_id,
+  coalesce(max(case when no = 5 then e end) over a > s, false) or coalesce(min(case when no = 5 then s end) over b < e, false) as over_url
+  from q window a as (partition by rid order by s, no rows between unbounded preceding and 1 preceding), b as (partition by rid order by s desc, no desc rows between unbounded preceding and 1 preceding)),
+n as (select *, no < 3 as base,
   coalesce(max(case when no in (1, 3) then e end) over a >= s - 200, false) or coalesce(min(case when no in (1, 3) then s end) over b <= e + 200, false) as near_ident,
   coalesce(max(case when no in (0, 2, 4) then e end) over a >= s - 200, false) or coalesce(min(case when no in (0, 2, 4) then s end) over b <= e + 200, false) as near_secret
-  from q window a as (partition by rid order by s, no rows between unbounded preceding and 1 preceding), b as (partition by rid order by s desc, no desc rows between unbounded preceding and 1 preceding)),
+  from (select * from d where no < 3 or not (over_base or (no >= 4 and over_id) or (no = 4 and over_url))) window a as (partition by rid order by s, no rows between unbounded preceding and 1 preceding), b as (partition by rid order by s desc, no desc rows between unbounded preceding and 1 preceding)),
 k as (select rid, no, s, (['assign', 'access', 'hex', 'ident', 'opaque', 'endpoint'])[no + 1] || ':' || s || ':' || e as said from n
-  where base or (not over and case no when 3 then near_secret when 4 then near_ident else near_ident and near_secret end)),
+  where base or (case no when 3 then near_secret when 4 then near_ident else near_ident and near_secret end)),
 a as (select rid, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex, count(*) filter (no > 2) as n_linked,
   string_agg(said, ',' order by s, no) filter (no < 3) as base, string_agg(said, ',' order by s, no) as spans from k group by rid)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,

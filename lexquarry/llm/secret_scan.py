@@ -22,52 +22,78 @@ WEAK = (
 KINDS = [k for k, *_ in BASE + WEAK]
 #: How far apart, in code points, parts of one credential may lie.
 SCOPE = 200
+PARTS = "array<struct<no:int,i:int,gap:bigint,long:bigint,good:boolean>>"
+#: Strings of which a text with such a part has one at least (in lower case): most texts need no pattern.
+HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "ident": ("user", "login", "client", "account"), "endpoint": ("://",)}
+#: Patterns of a run of one class of characters: only whole runs of the least length match, so other words are passed over at once.
+RUNS = {"hex": "[0-9a-f]", "opaque": "[A-Za-z0-9+/]"}
 
 
-def _found(text: Column, no: int) -> Column:
-    """Of one kind, all leftmost non-overlapping matches with the text length before each; failing ones are marked, as they too take up text."""
+def _pattern(no: int) -> str:
+    kind, pattern, _, least = (BASE + WEAK)[no]
+    return f"(?<!{RUNS[kind]}){RUNS[kind]}{{{least},}}+" if kind in RUNS else pattern
+
+
+def _matches(text: Column, low: Column, no: int) -> Column:
+    """All leftmost non-overlapping matches of one kind; null where no hint is in the text."""
+    some = F.lit(False)
+    for hint in HINTS.get(KINDS[no], ("",)):
+        some = some | F.contains(low, F.lit(hint))
+    return F.when(some, F.regexp_extract_all(text, F.lit(_pattern(no)), F.lit(0)))
+
+
+def _found(text: Column, whole: Column, no: int) -> Column:
+    """The matches with the text length before each; failing ones are marked, as they too take up text."""
     kind, pattern, group, least = (BASE + WEAK)[no]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    good = lambda v: F.length(v) >= least
-    if kind == "opaque":
-        good = lambda v: (F.length(v) >= least) & v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
-    if kind in ("hex", "opaque"):  # most matches are letters of words: keep the gaps, drop what can't be a secret early
-        pattern = pattern[:-1] + "{%d,}" % least
-        whole = value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("m"), value.alias("v"))
-    return F.transform(both, lambda x, i: F.struct(F.lit(no).alias("no"), i.alias("i"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("long"), good(x["v"]).alias("good")))
+
+    def good(m: Column) -> Column:
+        if kind == "opaque":
+            return m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+        return F.length(F.regexp_extract(m, pattern, group) if group else m) >= least
+
+    both = F.arrays_zip(F.slice(F.split(text, _pattern(no), -1), 1, F.size(whole)).alias("g"), whole.alias("m"))
+    part = lambda x, i: F.struct(F.lit(no).alias("no"), i.alias("i"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("long"), good(x["m"]).alias("good"))
+    return F.when(F.size(whole) > 0, F.transform(both, part))
 
 
 def secret_parts(docs: DataFrame) -> DataFrame:
     """One row per part found (all base parts, and weak parts with the verdict of the join) and at least one per document.
 
     Columns: rid, doc_id, no, start, end (code points, end exclusive), kept. no is null for documents without any part.
+    Parts of one credential are disjoint: an identifier that overlaps a base part, an endpoint that overlaps one of these, and an
+    opaque string that overlaps any of the three are no parts of their own, neither reported nor evidence.
     The interval join: every weak part [s, e) meets the parts whose interval lies within SCOPE of it in the same document.
     As only existence counts, the nearest part of a class on each side decides: the largest end before and the least start
     after, which one sort a direction gives, with no pairs. A weak part counts if its complement is there: an identifier needs a
-    secret, an opaque string needs an identifier, an endpoint needs both. Weak parts that overlap base parts are those parts.
+    secret, an opaque string needs an identifier, an endpoint needs both.
     One shuffle, of parts without text, by row. Null texts are empty; repeated rows are scanned each for itself."""
-    text = normal_text(F.col("text"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.concat(*(_found(text, no) for no in range(len(KINDS)))).alias("parts"))
-    parts = rows.select("rid", "doc_id", F.explode_outer("parts").alias("p")).select("rid", "doc_id", "p.*").repartition("rid")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", normal_text(F.col("text")).alias("text")).withColumn("low", F.lower("text"))
+    rows = rows.select("rid", "doc_id", "text", *(_matches(F.col("text"), F.col("low"), no).alias(f"m{no}") for no in range(len(KINDS))))
+    found = F.concat(*(F.coalesce(_found(F.col("text"), F.col(f"m{no}"), no), F.array().cast(PARTS)) for no in range(len(KINDS))))
+    parts = rows.select("rid", "doc_id", F.explode_outer(found).alias("p")).select("rid", "doc_id", "p.*").repartition("rid")
     by_kind = Window.partitionBy("rid", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(by_kind)).withColumn("start", F.col("end") - F.col("long"))
     parts = parts.filter(F.col("no").isNull() | F.col("good") | (F.col("i") == 0))
-    good = F.coalesce(F.col("good"), F.lit(False))
+    good, never = F.coalesce(F.col("good"), F.lit(False)), F.lit(False)
     before = Window.partitionBy("rid").orderBy("start", "no").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("no")).rowsBetween(Window.unboundedPreceding, -1)
-    of = {"base": F.col("no") < len(BASE), "ident": F.col("no").isin(1, 3), "secret": F.col("no").isin(0, 2, 4)}
-    for name, which in of.items():
-        parts = parts.withColumn(f"{name}_end", F.max(F.when(good & which, F.col("end"))).over(before))
-    for name, which in of.items():
-        parts = parts.withColumn(f"{name}_start", F.min(F.when(good & which, F.col("start"))).over(after))
-    never = F.lit(False)
-    near = {k: F.coalesce(F.col(f"{k}_end") >= F.col("start") - SCOPE, never) | F.coalesce(F.col(f"{k}_start") <= F.col("end") + SCOPE, never) for k in of}
-    over = F.coalesce(F.col("base_end") > F.col("start"), never) | F.coalesce(F.col("base_start") < F.col("end"), never)
-    linked = F.when(F.col("no") == 3, near["secret"]).when(F.col("no") == 4, near["ident"]).otherwise(near["ident"] & near["secret"])
-    return parts.select("rid", "doc_id", "no", "start", "end", (good & (of["base"] | (linked & ~over))).alias("kept"))
+
+    def extremes(parts: DataFrame, of: dict[str, Column]) -> DataFrame:
+        for name, which in of.items():
+            parts = parts.withColumn(f"{name}_end", F.max(F.when(which, F.col("end"))).over(before))
+        for name, which in of.items():
+            parts = parts.withColumn(f"{name}_start", F.min(F.when(which, F.col("start"))).over(after))
+        return parts
+
+    no = F.col("no")
+    parts = extremes(parts, {"base": good & (no < len(BASE)), "id": good & (no == 3), "url": good & (no == 5)})
+    over = {k: F.coalesce(F.col(f"{k}_end") > F.col("start"), never) | F.coalesce(F.col(f"{k}_start") < F.col("end"), never) for k in ("base", "id", "url")}
+    part_of = F.when(no == 3, over["base"]).when(no == 5, over["base"] | over["id"]).when(no == 4, over["base"] | over["id"] | over["url"]).otherwise(never)
+    parts = parts.withColumn("good", good & ~part_of)
+    parts = extremes(parts, {"ident": F.col("good") & no.isin(1, 3), "secret": F.col("good") & no.isin(0, 2, 4)})
+    near = {k: F.coalesce(F.col(f"{k}_end") >= F.col("start") - SCOPE, never) | F.coalesce(F.col(f"{k}_start") <= F.col("end") + SCOPE, never) for k in ("ident", "secret")}
+    linked = F.when(no == 3, near["secret"]).when(no == 4, near["ident"]).otherwise(near["ident"] & near["secret"])
+    return parts.select("rid", "doc_id", "no", "start", "end", (F.col("good") & ((no < len(BASE)) | linked)).alias("kept"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
