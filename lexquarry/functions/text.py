@@ -87,6 +87,36 @@ def script_variants(text: Column, simple: str, traditional: str) -> Column:
     return F.array_distinct(F.array(text, F.translate(text, traditional, simple), F.translate(text, simple, traditional)))
 
 
+def routed_regions(text: Column, regions: dict[str, Sequence[str]]) -> Column:
+    """The members of every region whose name a text has, each once, in the order of regions; empty if none."""
+    none = F.array().cast("array<string>")
+    named = [F.when(F.contains(F.lower(text), F.lit(k.lower())), F.array(*map(F.lit, v))).otherwise(none) for k, v in regions.items()]
+    return F.array_distinct(F.concat(*named))
+
+
+def canonical_group(name: Column, aliases: dict[str, str]) -> Column:
+    """An alias's canonical name; else the name itself, in upper case unless it has CJK characters."""
+    bare = F.trim(name)
+    known = F.coalesce(*(F.when(F.lower(bare) == k.lower(), F.lit(v)) for k, v in aliases.items()))
+    return F.coalesce(known, F.when(bare.rlike("[\u4e00-\u9fff]"), bare).otherwise(F.upper(bare)))
+
+
+def cut_text(text: Column, most: int, mark: str = "...(cut)") -> Column:
+    """At most `most` characters, marked if more were there."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def step_text(a: Column, relation: Column, b: Column, forward: Column) -> Column:
+    """A hop with an arrow that shows its direction."""
+    return F.when(forward, F.concat(a, F.lit(" —"), relation, F.lit("→ "), b)).otherwise(F.concat(a, F.lit(" ←"), relation, F.lit("— "), b))
+
+
+def summary_text(side: Column, laws: Column, clauses: Column, titles: Column) -> Column:
+    """A sentence from counts and the first three titles."""
+    named = F.array_join(F.transform(F.slice(titles, 1, 3), lambda x: F.concat(F.lit("《"), x, F.lit("》"))), "、")
+    return F.when(laws > 0, F.format_string("%s: %s, %d laws, %d clauses", side, named, laws, clauses)).otherwise(F.concat(side, F.lit(": nothing found")))
+
+
 def normalised_query(text: Column, names: Sequence[str], phrases: Sequence[str]) -> Column:
     """Without jurisdiction names, scaffold phrases, punctuation and doubled spaces; left as it is if nothing remains."""
     drop = "|".join(re.escape(x) for x in sorted([*names, *phrases], key=len, reverse=True))
@@ -150,9 +180,10 @@ def bigram_overlap(a: Column, b: Column) -> Column:
     return F.round(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)), 6)
 
 
-def first_sentences(text: Column, n: int = 2, most: int = 200) -> Column:
+def first_sentences(text: Column, n: int = 2) -> Column:
+    """The first n sentences, whole."""
     parts = F.filter(F.split(text, r"(?<=[。.!?！？])"), lambda x: F.trim(x) != "")
-    return F.substring(F.trim(F.array_join(F.slice(parts, 1, n), "")), 1, most)
+    return F.trim(F.array_join(F.slice(parts, 1, n), ""))
 
 
 def midpoint_split(text: Column, mark: str = "。") -> Column:
@@ -189,8 +220,8 @@ def entity_name(name: Column) -> Column:
 
 
 def _windows(text: str, size: int, overlap: int, marks: str) -> list[str]:
-    """Windows of `size`, cut at the last mark in a window's second half if there is one."""
-    out, at = [], 0
+    """Windows of `size`, cut at the last mark in a window's second half if there is one. At most half a window overlaps."""
+    out, at, overlap = [], 0, max(0, min(overlap, size // 2))
     while at < len(text):
         end = min(at + size, len(text))
         if end < len(text):
@@ -199,7 +230,9 @@ def _windows(text: str, size: int, overlap: int, marks: str) -> list[str]:
         out.append(text[at:end])
         if end == len(text):
             break
-        at = max(end - overlap, at + 1)
+        if end <= at + overlap:
+            out[-1], end = text[at : at + size], at + size
+        at = end - overlap
     return out
 
 
@@ -248,8 +281,14 @@ def merged_lines(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n"), F.struct(F.lit("").alias("text"), F.lit(False).alias("short")), step, lambda a: a["text"])
 
 
-_REF = re.compile(r"第([0-9０-９零〇一二三四五六七八九十百千两]+)[条條]")
-_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
+#: Fixed values of the domain: numerals, the kinds of law whose number an article may follow, marks that end a reference.
+_REF = re.compile(r"第\s*([0-9０-９]{1,4}|[零〇一二三四五六七八九十百千兩两]{1,8})\s*[條条]")
+_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2, "兩": 2}
+_FOREIGN = re.compile(r"號\s*(?:法律|法令|行政法規|行政命令|批示|訓令|決議|規章)[^。；;]{0,60}$")
+_MACAU = re.compile(r"第\s*(\d{1,4})\s*/\s*(\d{4})\s*號\s*(法律|行政法規)")
+_KIND = {"法律": "LEI", "行政法規": "REG"}
+_CHAPTER = re.compile(r"第\s*(\d{1,4})\s*章")
+_BREAK = re.compile("[，,、。；;：:！？!?…]")
 
 
 def number_of(s: str) -> int:
@@ -261,34 +300,37 @@ def number_of(s: str) -> int:
     for c in s:
         unit = {"十": 10, "百": 100, "千": 1000}.get(c)
         if unit:
-            total, digit = total + (1 if digit is None else digit) * unit, None
+            total, digit = total + (digit or 1) * unit, None
         else:
             digit = int(c) if c.isdigit() else _DIGITS.get(c, 0)
     return total + (digit or 0)
 
 
 def own_references(text: str, article: int | None) -> list[int]:
-    """Articles of the same law that a text names: not its own number, not the one just after a closed title (another law's)."""
-    out: list[int] = []
+    """Articles of the same law that a text names, each once: not its own number, and none that belongs to another law, as its
+    number stands in an open title, just after a closed one, or in the clause after another law's number."""
+    found: dict[int, None] = {}
+    seen = depth = 0
     for m in _REF.finditer(text):
-        n = number_of(m[1])
-        if n != article and text[m.start() - 1 : m.start()] != "》" and n not in out:
-            out.append(n)
-    return out
-
-
-_CROSS = re.compile(r"第([0-9]+)/([0-9]{4})號(法律|行政法規|法令)")
-_KIND = {"法律": "LEI", "行政法規": "RA", "法令": "DL"}
-
-
-def cross_references(text: str, prefix: str = "MAC", gap: int = 8) -> list[tuple[str, int]]:
-    """(law id, article) for a numbered law that an article follows within `gap` characters without punctuation."""
-    out = []
-    for m in _CROSS.finditer(text):
-        r = _REF.search(text, m.end(), m.end() + gap + 12)
-        if r and r.start() - m.end() <= gap and not re.search(r"[，。；、,.;]", text[m.end() : r.start()]):
-            out.append((f"{prefix}_{_KIND[m[3]]}_{int(m[1])}_{m[2]}", number_of(r[1])))
-    return out
+        depth += text.count("《", seen, m.start()) - text.count("》", seen, m.start())
+        seen = m.start()
+        before = text[max(0, seen - 200) : seen].rstrip()
+        if depth <= 0 and not before.endswith("》") and not _FOREIGN.search(before[-80:]):
+            found[number_of(m[1])] = None
+    return [n for n in found if n > 0 and n != article]
+
+
+def cross_references(text: str, law: str = "", article: int | None = None, gap: int = 8) -> list[tuple[str, int]]:
+    """(law id, article), each once, for a numbered law or chapter that an article follows within `gap` characters without a mark
+    between. A law's references to itself, and to the number of the article they stand in, are none."""
+    laws = [(m.end(), f"MAC_{_KIND[m[3]]}_{int(m[1])}_{m[2]}") for m in _MACAU.finditer(text)]
+    laws += [(m.end(), f"HK_CAP_{int(m[1])}") for m in _CHAPTER.finditer(text)]
+    found: dict[tuple[str, int], None] = {}
+    for at, target in laws:
+        r = _REF.search(text, at, at + gap)
+        if r and target != law and not _BREAK.search(text, at, r.start()) and number_of(r[1]) not in (0, article):
+            found[target, number_of(r[1])] = None
+    return list(found)
 
 
 def _own_lists(texts: pd.Series, articles: pd.Series) -> pd.Series:

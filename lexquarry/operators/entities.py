@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def representatives(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return roots.join(best, "root").select("name", "canonical")
 
 
+def clean_triples(triples: DataFrame, relations: Sequence[str], default: str, most: int = 100) -> DataFrame:
+    """Triples with both ends: names cut at `most`, relations off the list become the default, confidences lie within 0 and 1 (none: 0)."""
+    ends = {c: F.substring(F.trim(F.col(c)), 1, most) for c in ("head", "tail")}
+    kind = F.when(F.col("relation").isin(*relations), F.col("relation")).otherwise(default)
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    return triples.withColumns({**ends, "relation": kind, "confidence": sure}).filter("head != '' and tail != ''")
+
+
 def canonical_triples(triples: DataFrame, canon: DataFrame) -> DataFrame:
     """Replace both ends of (head, relation, tail, confidence) by their canonical names; of equal triples the surest stays."""
     side = lambda c: canon.select(F.col("name").alias(c), F.col("canonical").alias(f"{c}_to"))

@@ -1,6 +1,6 @@
 """Graph analytics on edge tables: components, PageRank, paths, centrality, communities.
 
-Iterations write what they carry to checkpoints (or, where no checkpoint folder is set, keep it in the plan), never to one executor only."""
+Iterations write what they carry to checkpoints in the folder that all executors share, never to one executor only."""
 
 from __future__ import annotations
 
@@ -11,16 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .ranking import top_k
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, in the folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexquarry-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -119,6 +116,25 @@ def two_hop_paths(edges: DataFrame, seeds: DataFrame, weights: dict[str, float],
     return top_k(one.union(two), ["seed"], [F.desc(F.round("score", 9)), F.col("mid"), F.col("end"), F.col("via")], keep)
 
 
+def beam_paths(edges: DataFrame, seeds: DataFrame, beam: int = 4, fanout: int = 3, rounds: int = 2, reverse: float = 0.6, least: float = 0.05) -> DataFrame:
+    """(seed, path, score) of simple paths that grow from seeds (node) over (head, tail, confidence): in each round the best `beam`
+    paths of a seed are followed over their last node's best `fanout` edges. All paths found are returned; a path's score is the
+    product of max(confidence, least), times `reverse` for each hop against its direction. Seeds x rounds x beam x fanout bounds them."""
+    sure = F.greatest(F.col("confidence"), F.lit(least))
+    ahead = edges.select(F.col("head").alias("x"), F.col("tail").alias("y"), sure.alias("s"))
+    back = edges.select(F.col("tail").alias("x"), F.col("head").alias("y"), (sure * reverse).alias("s"))
+    hops = ahead.union(back).filter("x != y").groupBy("x", "y").agg(F.max("s").alias("s"))
+    hops = settled(top_k(hops, ["x"], [F.desc(F.round("s", 9)), F.col("y")], fanout).drop("rank"))
+    front = seeds.select(F.col("node").alias("seed"), F.array("node").alias("path"), F.lit(1.0).alias("score"))
+    every = None
+    for _ in range(rounds):
+        best = top_k(front, ["seed"], [F.desc(F.round("score", 9)), F.col("path")], beam).drop("rank")
+        step = best.join(hops, F.element_at("path", -1) == F.col("x")).filter(~F.array_contains("path", F.col("y")))
+        front = step.select("seed", F.concat("path", F.array("y")).alias("path"), (F.col("score") * F.col("s")).alias("score"))
+        every = front if every is None else every.union(front)
+    return every
+
+
 def path_level(levels: Column) -> Column:
     """The weakest step decides: the largest of L1 < L2 < L3."""
     return F.array_max(levels)

@@ -58,6 +58,22 @@ def joined_text(df: DataFrame, by: Sequence[str], order: str, text: str, least:
     return trimmed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias(text))
 
 
+def containing(long: DataFrame, text: str, short: DataFrame, name: str) -> DataFrame:
+    """(text, name): which texts contain which names, of columns that are distinct in their tables. Names meet texts on their first
+    three characters (all, if shorter) among the texts' runs of that length, and only these pairs are compared."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    keyed = long.select(text, F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("__key"))
+    head = F.substring(name, 1, 3)
+    met = keyed.join(short.filter(F.col(name) != "").select(name, head.alias("__key")), "__key").filter(F.contains(F.col(text), F.col(name)))
+    return met.select(text, name)
+
+
+def prefixed(long: DataFrame, text: str, short: DataFrame, prefix: str) -> DataFrame:
+    """Rows of long with each row of short whose prefix the text begins with: an equality join on all beginnings of a text."""
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), F.lit(1), i))
+    return long.withColumn("__start", F.explode(starts)).join(short, F.col("__start") == F.col(prefix)).drop("__start")
+
+
 def greedy_distinct(items: Column, most_alike: float) -> Column:
     """Fold over an array of strings in order: keep one if its characters' Jaccard with every kept one is under the limit."""
     chars = lambda s: F.array_distinct(F.split(s, ""))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .graph import settled
 from .ranking import rrf, top_k
 
 K1, B = 1.2, 0.75  # fixed values
@@ -20,77 +22,216 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, score) of every document that shares a term with a query.
+#: Query terms times queries of one pass: bounds what goes to every task (8 bytes each).
+CELLS = 8_000_000
 
-    Only terms that some query has are counted per document: the term list meets the exploded tokens before they are grouped, so the
-    shuffle carries matches and not the corpus. Lengths, the mean length and document frequencies are of all documents."""
-    terms = queries.select(F.col(query), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    vocabulary = terms.select("term").distinct()
-    split = docs.select(F.col(doc), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    sizes = split.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    tf = split.select(doc, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(vocabulary, "term").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(sizes).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    return tf.join(idf, "term").join(terms, "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
 
+def _batches(queries: DataFrame, query: str, text: str) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Queries in batches: their ids, their distinct terms, and which query has which term (terms by queries)."""
+    held: list[tuple[object, list[str]]] = []
+    terms: dict[str, int] = {}
 
-def bm25_best_field(docs: DataFrame, queries: DataFrame, fields: dict[str, float], doc: str = "doc_id", query: str = "query_id") -> DataFrame:
-    """Each field is searched by itself; a document has the best boosted score of any field."""
-    each = (bm25(docs, queries, doc=doc, text=f).select(query, doc, (F.col("score") * boost).alias("score")) for f, boost in fields.items())
-    return reduce(DataFrame.union, each).groupBy(query, doc).agg(F.max("score").alias("score"))
+    def made() -> tuple[list, list[str], np.ndarray]:
+        has = np.zeros((len(terms), len(held)))
+        for j, (_, words) in enumerate(held):
+            has[[terms[w] for w in words], j] = 1
+        return [q for q, _ in held], list(terms), has
 
+    for row in queries.select(F.col(query).alias("q"), F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("t")).toLocalIterator():
+        if held and (len(terms) + len(row["t"])) * (len(held) + 1) > CELLS:
+            yield made()
+            held, terms = [], {}
+        for w in row["t"]:
+            terms.setdefault(w, len(terms))
+        held.append((row["q"], row["t"]))
+    if terms:
+        yield made()
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+
+def _indexed(vocabulary: list[str], n: int):
+    """Of each document and field: length, and numbers and counts of the terms that the vocabulary has."""
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            out, names = [batch["doc"], batch["grp"]], ["doc", "grp"]
+            for f in range(n):
+                lists = batch[f"f{f}"]
+                sizes = np.diff(lists.offsets.to_numpy())
+                found = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), sizes)[found >= 0]
+                both, count = np.unique(row * len(words) + found[found >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(both, np.arange(batch.num_rows + 1) * len(words)), pa.int32())
+                out += [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(both % len(words), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(count, pa.int32()))]
+                names += [f"dl{f}", f"t{f}", f"c{f}"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return index
+
+
+def _scored(ids: list, has: np.ndarray, boosts: list[float], idf: list[np.ndarray], mean: list[float], k: int, k1: float, b: float, kind: pa.DataType, rows: int = 512):
+    """The k best documents of each query and group, with all that tie, of a slice of documents."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(ids, kind)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                best = np.zeros((batch.num_rows, len(ids)))
+                for f, boost in enumerate(boosts):
+                    lists = batch[f"t{f}"]
+                    doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                    term, tf = lists.flatten().to_numpy(), batch[f"c{f}"].flatten().to_numpy()
+                    dl = batch[f"dl{f}"].to_numpy()
+                    use = np.unique(term)
+                    w = np.zeros((batch.num_rows, len(use)))
+                    norm = k1 * (1 - b + b * dl / max(mean[f], 1e-9))
+                    w[doc, np.searchsorted(use, term)] = idf[f][term] * tf * (k1 + 1) / (tf + norm[doc])
+                    best = np.maximum(best, boost * (w @ has[use]))
+                best = np.round(best, 6)
+                groups = np.unique(np.array(batch["grp"].to_pylist(), object).astype(str), return_inverse=True)[1]
+                hit = np.zeros(best.shape, bool)
+                for g in range(int(groups.max()) + 1 if len(groups) else 0):
+                    mine = np.flatnonzero(groups == g)
+                    part = best[mine]
+                    least = np.sort(part, 0)[max(0, len(mine) - k)]
+                    hit[mine] = (part >= least) & (part > 0)
+                r, q = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch["doc"].take(pa.array(r)), batch["grp"].take(pa.array(r)), pa.array(best[r, q])], names=["query", "doc", "grp", "score"])
+
+    return score
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float] | None = None, doc: str = "doc_id", query: str = "query_id", query_text: str = "query", group: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query (and of each group, with the group's column), ties by doc.
+
+    Fields are searched each by itself, a document has its best boosted score. Documents are tokenised once: what is kept of each
+    is its length and its counts of the queries' terms. Scores are matrix products of slices of documents with all queries of a
+    batch, and only the k best of each slice leave it: the pairs of a query and a document that share a frequent term are never rows.
+    Queries are taken in batches whose terms fit CELLS; each batch is a pass over the documents."""
+    fields = fields or {"text": 1.0}
+    types = {f.name: f.dataType for f in docs.schema} | {"__q": queries.schema[query].dataType}
+    said = lambda t: t.simpleString()
+    out = None
+    for ids, vocabulary, has in _batches(queries, query, query_text):
+        split = docs.select(F.col(doc).alias("doc"), (F.col(group) if group else F.lit("")).alias("grp"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)))
+        head = f"doc {said(types[doc])}, grp {said(types[group]) if group else 'string'}"
+        shape = ", ".join(f"dl{i} int, t{i} array<int>, c{i} array<int>" for i in range(len(fields)))
+        index = settled(split.mapInArrow(_indexed(vocabulary, len(fields)), f"{head}, {shape}"))
+        n, *means = index.agg(F.count("*"), *(F.avg(f"dl{i}") for i in range(len(fields)))).first()
+        idf = []
+        for i in range(len(fields)):
+            df = np.zeros(len(vocabulary))
+            for r in index.select(F.explode(f"t{i}").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # one row a query term
+                df[r["t"]] = r["df"]
+            idf.append(np.log(1 + (n - df + 0.5) / (df + 0.5)))
+        kind = to_arrow_type(types["__q"])
+        kernel = _scored(ids, has, list(fields.values()), idf, [m or 0.0 for m in means], k, k1, b, kind)
+        got = index.mapInArrow(kernel, f"query {said(types['__q'])}, doc {said(types[doc])}, grp {said(types[group]) if group else 'string'}, score double")
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"query {said(types['__q'])}, doc {said(types[doc])}, grp {said(types[group]) if group else 'string'}, score double")
+    best = top_k(out, ["query", "grp"], [F.desc("score"), F.col("doc")], k)
+    return best.select(F.col("query").alias(query), *([F.col("grp").alias(group)] if group else []), F.col("doc").alias(doc), "score", "rank")
+
+
+def _blocks(df: DataFrame, key: str, vector: str, group: Column, rows: int) -> DataFrame:
     """Vectors in blocks of about `rows`, a block in one row."""
     block = F.floor(F.monotonically_increasing_id() / rows)
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    held = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), group.cast("string").alias("g"), block.alias("block"))
+    return held.groupBy("block").agg(F.collect_list(F.struct("id", "v", "g")).alias("rows"))
 
 
-def _nearest(k: int | None, same: bool):
+def _nearest(k: int, skip_self: bool, same: bool | None):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
-                a_id, b_id = (np.array([x["id"] for x in side]) for side in (left, right))
-                a, b = (np.array([x["v"] for x in side]) for side in (left, right))
+            for left, right in zip(batch["left"], batch["right"], strict=True):
+                sides = [(x.values.field("id").to_numpy(), x.values.field("v"), x.values.field("g")) for x in (left, right)]
+                (a_id, a, a_g), (b_id, b, b_g) = ((i, v.flatten().to_numpy().reshape(len(i), -1), g.to_pylist()) for i, v, g in sides)
                 cos = a @ b.T
-                if same:
+                if skip_self:
                     cos[a_id[:, None] == b_id[None, :]] = -np.inf
-                if k is None:
-                    at = np.arange(len(b_id))[None, :].repeat(len(a_id), 0)
-                else:
-                    # all that tie with the k-th stay, so that ties are settled by id later
-                    least = -np.sort(-np.round(cos, 9), 1)[:, min(k, cos.shape[1]) - 1]
-                    at = None
-                rows, cols = np.nonzero((np.round(cos, 9) >= least[:, None]) if at is None else np.ones_like(cos, bool))
-                keep = np.isfinite(cos[rows, cols])
-                rows, cols = rows[keep], cols[keep]
+                if same is not None:
+                    code = np.unique(np.array([str(g) for g in a_g + b_g]), return_inverse=True)[1]
+                    cos[(code[: len(a_g), None] == code[None, len(a_g) :]) != same] = -np.inf
+                # all that tie with the k-th stay, so that ties are settled by id later
+                least = -np.sort(-np.round(cos, 9), 1)[:, min(k, cos.shape[1]) - 1]
+                rows, cols = np.nonzero((np.round(cos, 9) >= least[:, None]) & np.isfinite(cos))
                 yield pa.RecordBatch.from_arrays([pa.array(a_id[rows]), pa.array(b_id[cols]), pa.array(cos[rows, cols])], names=["a", "b", "cosine"])
 
     return near
 
 
-def similarities(left: DataFrame, right: DataFrame, key: str, vector: str, k: int | None = None, skip_self: bool = True, block: int = 2048) -> DataFrame:
-    """(a, b, cosine) by blocked matrix products: rows of unit vectors are packed into blocks, and every pair of blocks is one product
-    with its own top k. What leaves a pair of blocks is k rows per left vector (all, if k is None), so the work is the product itself."""
-    a = _blocks(left, key, vector, block).select(F.col("rows").alias("left"))
-    b = _blocks(right, key, vector, block).select(F.col("rows").alias("right"))
-    return a.crossJoin(b).mapInArrow(_nearest(k, skip_self), "a long, b long, cosine double")
+def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = True, group: str | None = None, same: bool | None = None, block: int = 2048) -> DataFrame:
+    """(a, b, cosine, rank): exact nearest neighbours by cosine of unit vectors, ties by b. Filter right before, never after.
 
-
-def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = True) -> DataFrame:
-    """(a, b, cosine, rank): exact nearest neighbours by cosine of unit vectors, ties by b. Filter right before, never after."""
-    near = similarities(left, right, key, vector, k, skip_self)
+    Rows are packed into blocks, and every pair of blocks is one matrix product, of which k rows per left vector leave the task: the
+    work is the product itself. With `group`, only neighbours of the same group (same) or of other groups count: the product's other
+    cells are masked before the cut to k. The work grows with left times right; knn_probed() is for large tables."""
+    g = F.col(group) if group else F.lit(None)
+    a = _blocks(left, key, vector, g, block).select(F.col("rows").alias("left"))
+    b = _blocks(right, key, vector, g, block).select(F.col("rows").alias("right"))
+    near = a.crossJoin(b).mapInArrow(_nearest(k, skip_self, same), "a long, b long, cosine double")
     return top_k(near, ["a"], [F.desc(F.round("cosine", 9)), F.col("b")], k)
 
 
 def knn_within(df: DataFrame, group: str, key: str, vector: str, k: int, same: bool) -> DataFrame:
-    """Nearest neighbours from the same group only, or from other groups only: the filter comes before the cut to k."""
-    sides = df.select(F.col(key).alias("a"), F.col(group).alias("group_a")), df.select(F.col(key).alias("b"), F.col(group).alias("group_b"))
-    all_pairs = similarities(df, df, key, vector).join(sides[0], "a").join(sides[1], "b")
-    allowed = all_pairs.filter((F.col("group_a") == F.col("group_b")) == F.lit(same))
-    return top_k(allowed, ["a"], [F.desc(F.round("cosine", 9)), F.col("b")], k)
+    """Nearest neighbours from the same group only, or from other groups only."""
+    return knn(df, df, key, vector, k, group=group, same=same)
+
+
+def row_and_column_best(left: DataFrame, right: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(a, b, cosine): the k best of each left vector and the k best of each right vector, each pair once."""
+    rows = knn(left, right, key, vector, k, skip_self=False).select("a", "b", "cosine")
+    columns = knn(right, left, key, vector, k, skip_self=False).select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
+    return rows.union(columns).groupBy("a", "b").agg(F.first("cosine").alias("cosine"))
+
+
+#: Vectors from which cells are fitted, at most.
+SAMPLE = 50_000
+
+
+def _cells(vectors: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """Unit centres by spherical k-means."""
+    rng = np.random.default_rng(11)
+    centres = vectors[rng.choice(len(vectors), min(n, len(vectors)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (vectors @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, vectors)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def knn_probed(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 24, skip_self: bool = True, sample: int = SAMPLE) -> DataFrame:
+    """knn() by an inverted file: centres are fitted on a sample of `sample` vectors at most, every right vector is in its nearest
+    cell, and every left vector visits its `probes` nearest cells. A left and a right block of one cell are one matrix product.
+
+    Approximate: a neighbour in a cell that isn't visited is missed. More probes find more; with probes = cells it is exact."""
+    some = right.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    some = np.array([r["v"] for r in some.orderBy(F.xxhash64("v")).limit(sample).collect()])
+    if not len(some):
+        return knn(left, right, key, vector, k, skip_self)
+    centres = _cells(some, cells)
+
+    def visit(most: int):
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = batch["v"].flatten().to_numpy().reshape(batch.num_rows, -1)
+                near = np.argsort(-(v @ centres.T), 1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "cells"])
+
+        return visits
+
+    def blocks(df: DataFrame, most: int, name: str, rows: int = 2048) -> DataFrame:
+        flat = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        placed = flat.mapInArrow(visit(most), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("parts"))
+        dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v", F.lit(None).cast("string").alias("g"))).alias(name)).drop("part")
+
+    met = blocks(left, probes, "left").join(blocks(right, 1, "right"), "cell").select("left", "right")
+    near = met.mapInArrow(_nearest(k, skip_self, None), "a long, b long, cosine double")
+    return top_k(near, ["a"], [F.desc(F.round("cosine", 9)), F.col("b")], k)
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, query: str, doc: str, n: int) -> DataFrame:
@@ -119,14 +260,15 @@ def route(lists: DataFrame, query: str, group: str, doc: str, each: int) -> Data
     return got
 
 
-def weighted_jaccard(weights: DataFrame, owner: str, key: str, weight: str, pairs: DataFrame) -> DataFrame:
-    """sum of least over sum of greatest weights, for the given pairs (a, b) of owners. Only keys both have meet; what one has alone
-    follows from the totals."""
+def weighted_jaccard(weights: DataFrame, owner: str, key: str, weight: str, pairs: DataFrame | None = None) -> DataFrame:
+    """sum of least over sum of greatest weights, for the given pairs (a, b) of owners, else for all pairs a < b that share a key.
+    Only keys both have meet; what one has alone follows from the totals."""
     totals = weights.groupBy(owner).agg(F.sum(weight).alias("total"))
     a, b = (weights.select(F.col(owner).alias(s), F.col(key).alias("key"), F.col(weight).alias(f"w{s}")) for s in ("a", "b"))
-    both = pairs.join(a, "a").join(b, ["b", "key"]).groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("both"))
+    met = a.join(b, "key").filter("a < b") if pairs is None else pairs.join(a, "a").join(b, ["b", "key"])
+    both = met.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("both"))
     ta, tb = (totals.select(F.col(owner).alias(s), F.col("total").alias(f"t{s}")) for s in ("a", "b"))
-    joined = pairs.join(both, ["a", "b"], "left").join(ta, "a").join(tb, "b")
+    joined = (both if pairs is None else pairs.join(both, ["a", "b"], "left")).join(ta, "a").join(tb, "b")
     shared = F.coalesce("both", F.lit(0))
     return joined.select("a", "b", F.round(shared / (F.col("ta") + F.col("tb") - shared), 6).alias("jaccard"))
 

@@ -12,9 +12,9 @@ from ..operators import search as S
 from .aggregates import EDGES, kg_edges
 from .registry import Tables, query
 
-NEAR = """n as (select x.vec_id as a, y.vec_id as b, list_dot_product(x.embedding::double[], y.embedding::double[]) as c from embeddings x, embeddings y where x.vec_id <> y.vec_id and x.vec_id < 150 and y.vec_id < 150),
-g as (select a, b from n qualify row_number() over (partition by a order by round(c, 9) desc, b) <= 2),
-u as (select a, b from g union select b, a from g)"""
+NEAR = """n as (select x.vec_id as a, y.vec_id as b, list_dot_product(x.embedding::double[], y.embedding::double[]) as c from embeddings x, embeddings y where x.vec_id <> y.vec_id),
+g as materialized (select a, b from n qualify row_number() over (partition by a order by round(c, 9) desc, b) <= 2),
+u as materialized (select a, b from g union select b, a from g)"""
 
 
 def near_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
@@ -22,11 +22,6 @@ def near_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
     return S.knn(vectors, vectors, "vec_id", "embedding", k).select("a", "b")
 
 
-def near_sql(t: Tables) -> DataFrame:
-    """The graph of NEAR, which holds only the first vectors; queries without SQL take the whole table."""
-    return near_graph(t.embeddings.filter("vec_id < 150"))
-
-
 @query("edge_degree_importance", "G6 G10 G25", "with " + EDGES + """,
 r as (select head, tail, relation, max(confidence) as c from e where head <> tail group by all),
 d as (select node, count(*) as degree from (select head as node from r union all select tail from r) group by node)
@@ -39,7 +34,7 @@ def edge_degree_importance(t: Tables) -> DataFrame:
 r as (select a as node, a as other from u union select r.node, u.b from r join u on u.a = r.other)
 select node, min(other) as root from r group by node""")
 def connected_components(t: Tables) -> DataFrame:
-    return G.components(near_sql(t))
+    return G.components(near_graph(t.embeddings))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -51,23 +46,23 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("pagerank_fixed_rounds", "G7", _pagerank_sql(8))
 def pagerank_fixed_rounds(t: Tables) -> DataFrame:
-    return G.pagerank(near_sql(t), 8).withColumn("rank", F.round("rank", 9))
+    return G.pagerank(near_graph(t.embeddings), 8).withColumn("rank", F.round("rank", 9))
 
 
 @query("shortest_distances", "G11 G12", "with recursive " + NEAR + """,
 r as (select 0::bigint as source, 0::bigint as node, 0 as hops union select r.source, u.b, r.hops + 1 from r join u on u.a = r.node where r.hops < 6)
 select source, node, min(hops) as hops from r group by all""")
 def shortest_distances(t: Tables) -> DataFrame:
-    return G.distances(near_sql(t), t.spark.sql("select 0L as node"), 6)
+    return G.distances(near_graph(t.embeddings), t.spark.sql("select 0L as node"), 6)
 
 
-@query("shortest_paths", "G11 G12 G19", "with recursive " + NEAR + """,
+@query("shortest_paths", "G11 G12", "with recursive " + NEAR + """,
 r as (select 0::bigint as source, 0::bigint as node, [0::bigint] as path union all select r.source, u.b, list_append(r.path, u.b) from r join u on u.a = r.node where len(r.path) <= 5 and not list_contains(r.path, u.b)),
 b as (select *, row_number() over (partition by node order by len(path), path) as i from r)
-select source, node as target, (len(path) - 1)::int as hops, array_to_string(path, '>') as path from b where i = 1 and node % 3 = 1""")
+select source, node as target, (len(path) - 1)::int as hops, array_to_string(path, '>') as path from b where i = 1""")
 def shortest_paths(t: Tables) -> DataFrame:
-    e = near_sql(t)
-    nodes = e.select(F.explode(F.array("a", "b")).alias("target")).distinct().filter("target % 3 = 1")
+    e = near_graph(t.embeddings)
+    nodes = e.select(F.explode(F.array("a", "b")).alias("target")).distinct()
     got = G.shortest_paths(e, nodes.select(F.lit(0).cast("long").alias("source"), "target"), 5)
     return got.select("source", "target", "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
@@ -76,10 +71,10 @@ def shortest_paths(t: Tables) -> DataFrame:
 near as (select 3::bigint as n union select b from u where a = 3)
 select distinct a, b from g where a in (select n from near) and b in (select n from near)""")
 def ego_subgraph(t: Tables) -> DataFrame:
-    return G.ego(near_sql(t), F.lit(3))
+    return G.ego(near_graph(t.embeddings), F.lit(3))
 
 
-@query("two_hop_paths", "G15 G16 O13", "with " + EDGES + """,
+@query("two_hop_paths", "G15 O13", "with " + EDGES + """,
 w as (select head, tail, relation, greatest(confidence, 0.05) * case relation when 'R' then 1.15 when 'A' then 0.9 else 1.0 end as s from (select distinct head, tail, relation, confidence from e)),
 d as (select head as x, tail as y, relation, s, 1 as forward from w union all select tail, head, relation, s * 0.6, 0 from w),
 h as (select * from d where x <> y qualify row_number() over (partition by x order by round(s, 9) desc, y, relation, forward) <= 12),
@@ -103,7 +98,7 @@ def label_communities(t: Tables) -> DataFrame:
     return G.communities(near_graph(t.embeddings, 3))
 
 
-@query("alias_resolve", "G1 G17", """
+@query("alias_resolve", "G1", """
 with a as (select p_type as kind, lower(p_name) as norm, min(lower(p_brand)) as canonical from part where p_size < 10 group by all), m as (select distinct p_type as kind, lower(p_name) as norm from part)
 select m.kind, m.norm, coalesce(canonical, m.norm) as canonical, case when canonical is null then 'L4' when canonical = m.norm then 'L1' else 'L2' end as level from m left join a using (kind, norm)""")
 def alias_resolve(t: Tables) -> DataFrame:
@@ -113,27 +108,25 @@ def alias_resolve(t: Tables) -> DataFrame:
 
 
 @query("levenshtein_pairs", "C11 G3", """
-with n as (select distinct c_mktsegment as kind, replace(c_name, '#', '') || c_nationkey as name from customer where c_custkey <= 150)
+with n as (select distinct c_mktsegment as kind, replace(c_name, '#', '') || c_nationkey as name from customer)
 select a.kind, a.name as a, b.name as b from n a join n b on a.kind = b.kind and a.name < b.name and levenshtein(a.name, b.name) <= 1""")
 def levenshtein_pairs(t: Tables) -> DataFrame:
-    n = t.customer.filter("c_custkey <= 150").select(F.col("c_mktsegment").alias("kind"), F.concat(F.regexp_replace("c_name", "#", ""), F.col("c_nationkey").cast("string")).alias("name"))
+    n = t.customer.select(F.col("c_mktsegment").alias("kind"), F.concat(F.regexp_replace("c_name", "#", ""), F.col("c_nationkey").cast("string")).alias("name"))
     return N.name_pairs(n, "kind", "name")
 
 
 @query("alignment_guard", "G2 G3", """
-with n as (select distinct p_name || ' ' || p_size as name from part where p_partkey < 300),
-p as (select a.name as a, b.name as b, 0.9 + (length(a.name) % 10) / 100.0 as sim from n a join n b on split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) and a.name < b.name),
+with n as (select distinct p_type as kind, p_name || ' ' || p_size as name from part),
+p as (select a.kind, a.name as a, b.name as b, 0.9 + (length(a.name) % 10) / 100.0 as sim from n a join n b on a.kind = b.kind and a.name < b.name and levenshtein(a.name, b.name) <= 1),
 s as (select *, array_to_string(list_sort(regexp_extract_all(a, '[0-9]+')), '|') as na, array_to_string(list_sort(regexp_extract_all(b, '[0-9]+')), '|') as nb from p)
-select a, b, case when sim < 0.95 then 'similarity' when na <> nb then 'numerals' when length(a) > 40 or length(b) > 40 then 'length' when levenshtein(a, b) > 1 then 'edits' end as reason from s""")
+select kind, a, b, case when sim < 0.95 then 'similarity' when na <> nb then 'numerals' when length(a) > 40 or length(b) > 40 then 'length' when levenshtein(a, b) > 1 then 'edits' end as reason from s""")
 def alignment_guard(t: Tables) -> DataFrame:
-    n = t.part.filter("p_partkey < 300").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name")).distinct()
-    side = lambda s: n.select(F.col("name").alias(s), F.split("name", " ")[0].alias("head"))
-    p = side("a").join(side("b"), "head").filter("a < b")
+    p = N.name_pairs(t.part.select(F.col("p_type").alias("kind"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name")), "kind", "name")
     sim = (F.lit("0.9").cast("decimal(4,2)") + (F.length("a") % 10).cast("decimal(4,2)") / F.lit(100).cast("decimal(4,0)")).cast("double")
-    return p.select("a", "b", N.guard(F.col("a"), F.col("b"), F.round(sim, 4)).alias("reason"))
+    return p.select("kind", "a", "b", N.guard(F.col("a"), F.col("b"), F.round(sim, 4)).alias("reason"))
 
 
-@query("canonical_triples", "G5 G26 C23", "with " + EDGES + """,
+@query("canonical_triples", "G5 G26", "with " + EDGES + """,
 x as (select case when head in ('p1', 'p2') then 'p0' else head end as head, case when tail in ('p1', 'p2') then 'p0' else tail end as tail, relation, confidence from e)
 select head, relation, tail, max(confidence) as confidence from x where head <> tail group by all""")
 def canonical_triples(t: Tables) -> DataFrame:
@@ -142,16 +135,16 @@ def canonical_triples(t: Tables) -> DataFrame:
 
 
 RUN = """l as (select source as query, doc_id, row_number() over (partition by source order by n_chars desc, doc_id)::int as rank from documents qualify rank <= 20),
-q as (select d.source as query, doc_id, (l.quality + l.quality * (1 - l.toxic))::int as relevance from labels l join documents d using (doc_id) where doc_id % 3 = 0)"""
+q as (select d.source as query, doc_id, (l.quality + l.quality * (1 - l.toxic))::int as relevance from labels l join documents d using (doc_id))"""
 
 
-def _run(t: Tables, gold: str = "doc_id % 3 = 0") -> tuple[DataFrame, DataFrame]:
-    """A run and its judgements, those of RUN unless `gold` says otherwise."""
+def _run(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A run and its judgements, those of RUN."""
     from ..operators.ranking import top_k
 
     run = top_k(t.documents, ["source"], [F.desc("n_chars"), F.col("doc_id")], 20).select(F.col("source").alias("query"), "doc_id", "rank")
     rel = (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).cast("int").alias("relevance")
-    qrels = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").filter(gold).select(F.col("source").alias("query"), "doc_id", rel)
+    qrels = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select(F.col("source").alias("query"), "doc_id", rel)
     return run, qrels
 
 
@@ -168,7 +161,7 @@ def ir_metrics(t: Tables) -> DataFrame:
     return E.metrics(*_run(t), "query", "doc_id")
 
 
-@query("ndcg_at_k", "E1 E13", "with " + RUN + """,
+@query("ndcg_at_k", "E1", "with " + RUN + """,
 d as (select l.query, sum(case when rank <= 10 then (2 ** coalesce(relevance, 0) - 1) / log2(rank + 1) end) as dcg from l left join q using (query, doc_id) group by l.query),
 p as (select query, relevance, row_number() over (partition by query order by relevance desc, doc_id) as place from q where relevance > 0),
 i as (select query, sum(case when place <= 10 then (2 ** relevance - 1) / log2(place + 1) end) as ideal from p group by query)
@@ -201,7 +194,7 @@ def full_gold_found(t: Tables) -> DataFrame:
 
 @query("bootstrap_interval", "E6", None)
 def bootstrap_interval(t: Tables) -> DataFrame:
-    run, qrels = _run(t, "true")
+    run, qrels = _run(t)
     m = E.metrics(run, qrels, "query", "doc_id").select((F.col("recall_20") - F.col("recall_5")).alias("delta"))
     got = E.bootstrap(m, "delta")
     return got.select(*(F.round(c, 6).alias(c) for c in got.columns))

@@ -12,7 +12,7 @@ from .registry import Tables, query
 LI = "l_extendedprice, l_partkey, l_suppkey"
 
 
-@query("collapse_first_row", "W1 S25 J1", f"""
+@query("collapse_first_row", "W1 S25", f"""
 select l_orderkey, l_linenumber, l_partkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey order by l_linenumber, {LI}) as r from lineitem) where r = 1""")
 def collapse_first_row(t: Tables) -> DataFrame:
     order = [F.col(c) for c in ("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")]
@@ -32,7 +32,7 @@ def dedupe_keep_longest(t: Tables) -> DataFrame:
     return R.keep_best(t.documents, ["source", "lang"], [F.desc("n_chars"), F.col("doc_id")]).select("source", "lang", "doc_id", "n_chars")
 
 
-@query("keep_first", "W15 C40", "select md5(text) as id, min(doc_id) as doc_id from documents group by id")
+@query("keep_first", "W15", "select md5(text) as id, min(doc_id) as doc_id from documents group by id")
 def keep_first(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("id")).agg(F.min("doc_id").alias("doc_id"))
 
@@ -58,13 +58,16 @@ def backfill_first_non_null(t: Tables) -> DataFrame:
 
 
 @query("overlap_trim", "W10 S23", """
-with p as (select source, doc_id, substr(text, 1, 300) as a, substr(text, 221, 200) as b from documents),
-k as (select *, coalesce((select max(k) from range(30, 171) r(k) where k <= length(a) and k <= length(b) and substr(b, 1, k) = right(a, k)), 0)::int as cut from p)
-select doc_id, cut, md5(a || substr(b, cut + 1)) as joined_md5 from k""".replace("range(30, 171) r(k)", "(select unnest(range(30, 171)) as k)"))
+with c as (select doc_id, text, unnest(range(0, greatest(1, ((length(text) - 81) // 220 + 1)::bigint))) as i from documents),
+p as (select doc_id, i, substr(text, 220 * i + 1, 300) as b, case when i = 0 then '' else substr(text, 220 * (i - 1) + 1, 300) end as a from c),
+k as (select *, coalesce(list_max(list_filter(range(30, 171), lambda k: k <= length(a) and k <= length(b) and substr(b, 1, k) = right(a, k))), 0) as cut from p)
+select doc_id, md5(string_agg(substr(b, cut + 1), '' order by i)) as joined_md5 from k group by doc_id""")
 def overlap_trim(t: Tables) -> DataFrame:
-    p = t.documents.select("doc_id", F.substring("text", 1, 300).alias("a"), F.substring("text", 221, 200).alias("b"))
-    cut = O.overlap(F.col("a"), F.col("b"))
-    return p.withColumn("cut", cut).select("doc_id", "cut", F.md5(F.concat("a", F.substr("b", F.col("cut") + 1))).alias("joined_md5"))
+    """Whole texts in pieces of 300 that overlap by 80, joined again without what repeats."""
+    last = F.greatest(F.lit(0), F.floor((F.length("text") - 81) / 220))
+    pieces = t.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    pieces = pieces.select("doc_id", "i", F.substr("text", (220 * F.col("i") + 1).cast("int"), F.lit(300)).alias("text"))
+    return O.joined_text(pieces, ["doc_id"], "i", "text").select("doc_id", F.md5("text").alias("joined_md5"))
 
 
 @query("islands", "W11", """
@@ -105,7 +108,7 @@ def greedy_topics(t: Tables) -> DataFrame:
     return top.agg(names.alias("names")).select(F.posexplode(O.greedy_distinct(F.col("names"), 0.7)).alias("place", "p_name"))
 
 
-@query("degree_capped_edges", "W20 F13", None)
+@query("degree_capped_edges", "W20", None)
 def degree_capped_edges(t: Tables) -> DataFrame:
     """Edges of each return flag in order of weight, until both ends have eight."""
     e = t.lineitem.filter("l_partkey % 40 != l_suppkey % 40").groupBy("l_returnflag", (F.col("l_partkey") % 40).cast("string").alias("a"), (F.col("l_suppkey") % 40).cast("string").alias("b")).agg(F.count("*").alias("n"))
@@ -132,7 +135,7 @@ def asof_last_search(t: Tables) -> DataFrame:
     return s.filter("event_type = 'click'").select("user_id", "event_id", "seen", F.coalesce(F.col("event_id") - F.col("seen"), F.lit(0).cast("long")).alias("gap"))
 
 
-@query("catalog_left_join", "J2 J13 R35", """
+@query("catalog_left_join", "J2 J13", """
 with s as (select o_custkey, count(*) as n from orders group by all) select c_custkey, c_mktsegment, coalesce(n, 0)::bigint as n from customer left join s on o_custkey = c_custkey""")
 def catalog_left_join(t: Tables) -> DataFrame:
     s = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
@@ -151,36 +154,38 @@ def edges_touching_set(t: Tables) -> DataFrame:
 
 
 @query("pairs_top_confidence", "J4 S6 S29", """
-with p as (select distinct l_orderkey, l_linenumber from lineitem where l_orderkey % 7 = 0)
+with p as (select distinct l_orderkey, l_linenumber from lineitem where l_returnflag = 'R')
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, row_number() over (partition by l_orderkey order by l_discount desc, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as rank
 from lineitem join p using (l_orderkey, l_linenumber) qualify rank <= 3""")
 def pairs_top_confidence(t: Tables) -> DataFrame:
-    pairs = t.lineitem.filter("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber").distinct()
+    pairs = t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").distinct()
     got = t.lineitem.join(pairs, ["l_orderkey", "l_linenumber"], "left_semi")
     return R.top_k(got, ["l_orderkey"], [F.desc("l_discount"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "rank")
 
 
 @query("shared_concepts", "J6 G23", """
 with c as (select distinct l_orderkey % 50 as law, l_partkey % 300 as concept from lineitem)
-select a.law as a, b.law as b, count(*) as shared, min(a.concept) as first_concept from c a join c b using (concept) where a.law < b.law and a.law < 10 group by all""")
+select a.law as a, b.law as b, count(*) as shared, min(a.concept) as first_concept from c a join c b using (concept) where a.law < b.law group by all""")
 def shared_concepts(t: Tables) -> DataFrame:
     c = t.lineitem.select((F.col("l_orderkey") % 50).alias("law"), (F.col("l_partkey") % 300).alias("concept")).distinct()
     b = c.withColumnRenamed("law", "b")
-    return c.filter("law < 10").withColumnRenamed("law", "a").join(b, "concept").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("concept").alias("first_concept"))
+    return c.withColumnRenamed("law", "a").join(b, "concept").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("concept").alias("first_concept"))
 
 
 @query("title_contains_match", "J9 C31 S22", """
-with k as (select distinct p_name as name from part where p_partkey % 5 = 0), x as (select p_partkey, p_name || ' ' || p_brand as title from part),
+with k as (select distinct p_name as name from part), x as (select p_partkey, p_name || ' ' || p_brand as title from part),
 m as (select p_partkey, name, row_number() over (partition by p_partkey order by length(name) desc, name) as r from x join k on contains(title, name) or contains(name, title))
 select p_partkey, name from m where r = 1""")
 def title_contains_match(t: Tables) -> DataFrame:
-    names = t.part.filter("p_partkey % 5 = 0").select(F.col("p_name").alias("name")).distinct()
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
     x = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
-    m = x.join(names, F.col("title").contains(F.col("name")) | F.col("name").contains(F.col("title")))
+    titles = x.select("title").distinct()
+    pairs = O.containing(titles, "title", names, "name").union(O.containing(names, "name", titles, "title").select("title", "name")).distinct()
+    m = x.join(pairs, "title")
     return R.keep_best(m, ["p_partkey"], [F.desc(F.length("name")), F.col("name")]).select("p_partkey", "name")
 
 
-@query("ordinal_pairing", "J14 T7", """
+@query("ordinal_pairing", "J14", """
 with a as (select doc_id as a, row_number() over (order by n_chars desc, doc_id) as i from documents where lang = 'fr'), b as (select doc_id as b, row_number() over (order by n_chars desc, doc_id) as i from documents where lang = 'de')
 select i::int as i, a, b from a join b using (i) where i <= 5""")
 def ordinal_pairing(t: Tables) -> DataFrame:
@@ -236,15 +241,15 @@ with n as (select distinct split_part(p_name, ' ', 1) as q from part union selec
 select q from n where not exists (select 1 from n m where m.q <> n.q and contains(m.q, n.q))""")
 def subsumed_queries(t: Tables) -> DataFrame:
     n = t.part.select(F.split("p_name", " ")[0].alias("q")).union(t.part.select("p_name")).distinct()
-    m = n.withColumnRenamed("q", "m")
-    return n.join(m, (F.col("m") != F.col("q")) & F.col("m").contains(F.col("q")), "left_anti")
+    inside = O.containing(n.withColumnRenamed("q", "m"), "m", n, "q").filter("m != q").select("q")
+    return n.join(inside, "q", "left_anti")
 
 
 @query("stratified_round_robin", "W19 E16", """
 with r as (select lang, doc_id, row_number() over (partition by lang order by md5(doc_id::varchar), doc_id)::int as depth from documents)
 select lang, doc_id, depth, row_number() over (order by depth, lang)::int as place from r qualify place <= 30""")
 def stratified_round_robin(t: Tables) -> DataFrame:
-    r = R.ranked(t.documents.select("lang", "doc_id", F.lit(1).alias("q")), ["lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], "depth")
+    r = R.top_k(t.documents.select("lang", "doc_id", F.lit(1).alias("q")), ["lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 30, "depth")
     return R.top_k(r, ["q"], [F.col("depth"), F.col("lang")], 30, "place").drop("q")
 
 
@@ -271,7 +276,7 @@ def membership_filters(t: Tables) -> DataFrame:
     return g.select("user_id", has("purchase").alias("any_of"), (has("purchase") & has("view")).alias("all_of"), "named")
 
 
-@query("latest_wins_upsert", "S9 S12 S14", """
+@query("latest_wins_upsert", "S14", """
 select user_id, event_type, count(*) as seen_count, min(event_id) as first_seen, max(event_id) as last_seen, arg_max(value, event_id) as value from events group by all""")
 def latest_wins_upsert(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("seen_count"), F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), F.max_by("value", "event_id").alias("value"))

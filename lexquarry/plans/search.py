@@ -30,8 +30,7 @@ def _queries(t: Tables) -> DataFrame:
 
 
 def _bm25(t: Tables, k: int) -> DataFrame:
-    scored = S.bm25(t.documents, _queries(t)).withColumn("score", F.round("score", 6))
-    return R.top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    return S.bm25_top(t.documents, _queries(t), k)
 
 
 BM25_TOP = "with " + bm25_sql("documents", "text", "s") + """,
@@ -54,8 +53,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, do
 select query_id, doc_id, score, rank::int as rank from r where rank <= 10""")
 def bm25_multifield(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
-    scored = S.bm25_best_field(docs, _queries(t), {"text": 3.0, "title": 5.0}).withColumn("score", F.round("score", 6))
-    return R.top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 10)
+    return S.bm25_top(docs, _queries(t), 10, {"text": 3.0, "title": 5.0})
 
 
 COS = "list_dot_product(x.embedding::double[], y.embedding::double[])"
@@ -118,10 +116,7 @@ r as (select *, row_number() over (partition by a order by round(c, 9) desc, b)
 select a, b, round(c, 6) as cosine from r where (ra <= 2 or rb <= 2) and c >= 0.1""")
 def rowcol_topk_union(t: Tables) -> DataFrame:
     e = t.embeddings
-    pairs = S.similarities(e.filter("label = 0"), e.filter("label = 1"), "vec_id", "embedding")
-    c = F.desc(F.round("cosine", 9))
-    near = R.ranked(R.ranked(pairs, ["a"], [c, F.col("b")], "ra"), ["b"], [c, F.col("a")], "rb")
-    return _rounded(near.filter("(ra <= 2 or rb <= 2) and cosine >= 0.1")).select("a", "b", "cosine")
+    return _rounded(S.row_and_column_best(e.filter("label = 0"), e.filter("label = 1"), "vec_id", "embedding", 2).filter("cosine >= 0.1"))
 
 
 RUNS = """
@@ -145,42 +140,61 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return R.rrf(_runs(t), ["q"], "item").withColumn("score", F.round("score", 9))
 
 
-@query("hybrid_search", "R3 R26 R27", "with " + bm25_sql("documents", "text", "s") + """,
-lex as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id)::int as rank from s qualify rank <= 30),""" + knn_sql(30, "true", "(select * from embeddings where vec_id in (select item_id from benchmark))") + """,
-sem as (select a as query_id, b as doc_id, rank, cosine from k),
+#: Ends in query_id, doc_id, score, rank, cosine of the first {n}.
+HYBRID = "with " + bm25_sql("documents", "text", "s") + """,
+lex as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id)::int as rank from s qualify rank <= 3 * {n}),""" + knn_sql(100, "true", "(select * from embeddings where vec_id in (select item_id from benchmark))") + """,
+sem as (select a as query_id, b as doc_id, rank, cosine from k where rank <= 3 * {n}),
 u as (select query_id, doc_id, rank, 0 as list from sem union all select query_id, doc_id, rank, 1 from lex),
 g as (select query_id, doc_id, sum(1.0::double / (60.0::double + rank)) as score, min(list * 1000 + rank) as first from u group by all),
-f as (select *, row_number() over (partition by query_id order by round(score, 12) desc, first, doc_id)::int as rank from g qualify rank <= 10)
-select f.query_id, f.doc_id, round(f.score, 9) as score, f.rank, sem.cosine from f left join sem using (query_id, doc_id)""")
-def hybrid_search(t: Tables) -> DataFrame:
+f as (select *, row_number() over (partition by query_id order by round(score, 12) desc, first, doc_id)::int as rank from g qualify rank <= {n})
+select f.query_id, f.doc_id, round(f.score, 9) as score, f.rank, sem.cosine from f left join sem using (query_id, doc_id)"""
+
+
+def hybrid_hits(t: Tables, n: int) -> DataFrame:
     q = _queries(t)
     vectors = t.embeddings.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
-    semantic = S.knn(vectors, t.embeddings, "vec_id", "embedding", 30, skip_self=False).select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), "rank", F.round("cosine", 6).alias("cosine"))
-    fused = S.hybrid(_bm25(t, 30), semantic, "query_id", "doc_id", 10)
+    semantic = S.knn(vectors, t.embeddings, "vec_id", "embedding", 3 * n, skip_self=False).select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), "rank", F.round("cosine", 6).alias("cosine"))
+    fused = S.hybrid(_bm25(t, 3 * n), semantic, "query_id", "doc_id", n)
     return fused.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", "cosine")
 
 
-DOC_RANK = "d as (select doc_id, lang, source, n_chars, row_number() over (order by n_chars desc, doc_id)::int as rank from documents qualify rank <= 200)"
+@query("hybrid_search", "R3", HYBRID.replace("{n}", "10"))
+def hybrid_search(t: Tables) -> DataFrame:
+    return hybrid_hits(t, 10)
+
+
+@query("bm25_four_fields", "R1 R12", "with d as (select doc_id, text, split_part(text, chr(10), 1) as title, translate(text, 'ae', 'xy') as other, source from documents)," + ",".join(bm25_sql("d", c, n).replace(TOK.format("text") + ") as term from benchmark", TOK.format("text || ' ' || translate(text, 'ae', 'xy')") + ") as term from benchmark") for n, c in (("a", "text"), ("b", "other"), ("c", "title"), ("e", "source"))) + """,
+u as (select query_id, doc_id, 3 * score as score from a union all select query_id, doc_id, 3 * score from b union all select query_id, doc_id, 5 * score from c union all select query_id, doc_id, 2 * score from e),
+m as (select query_id, doc_id, round(max(score), 6) as score from u group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m)
+select query_id, doc_id, score, rank::int as rank from r where rank <= 10""")
+def four_fields(t: Tables) -> DataFrame:
+    """Four boosted fields, one of them the text in the other script (here a stand-in map), and queries in both scripts."""
+    docs = t.documents.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"), F.translate("text", "ae", "xy").alias("other"), "source")
+    both = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", F.translate("text", "ae", "xy")).alias("query"))
+    return S.bm25_top(docs, both, 10, {"text": 3.0, "other": 3.0, "title": 5.0, "source": 2.0})
 
 
-def _doc_rank(t: Tables) -> DataFrame:
-    return R.top_k(t.documents.select("doc_id", "lang", "source", "n_chars", F.lit(1).alias("one")), ["one"], [F.desc("n_chars"), F.col("doc_id")], 200).drop("one")
+def _longest(t: Tables, each: int) -> DataFrame:
+    """Of each language as many documents as a list of that length can take."""
+    return R.top_k(t.documents.select("doc_id", "lang", "n_chars", F.lit(1).alias("q")), ["lang"], [F.desc("n_chars"), F.col("doc_id")], each)
 
 
-@query("round_robin_diversify", "W3 W19 R9", "with " + DOC_RANK + """,
+@query("round_robin_diversify", "W3 W19 R9", """
+with d as (select doc_id, lang, row_number() over (order by n_chars desc, doc_id)::int as rank from documents),
 r as (select *, row_number() over (partition by lang order by rank)::int as depth, min(rank) over (partition by lang) as lead from d)
-select doc_id, lang, rank, depth, row_number() over (order by depth, lead)::int as place from r qualify place <= 20""")
+select doc_id, lang, depth, row_number() over (order by depth, lead)::int as place from r qualify place <= 20""")
 def round_robin_diversify(t: Tables) -> DataFrame:
-    return R.round_robin(_doc_rank(t).withColumn("q", F.lit(1)), ["q"], "lang", 20).select("doc_id", "lang", "rank", "depth", "place")
+    d = _longest(t, 20).withColumn("rank", F.struct((-F.col("n_chars")).alias("less"), "doc_id"))
+    return R.round_robin(d, ["q"], "lang", 20).select("doc_id", "lang", "depth", "place")
 
 
-@query("diverse_select_fill", "W4 G21", "with " + DOC_RANK + """,
-r as (select *, row_number() over (partition by lang order by n_chars desc, doc_id) = 1 as best from d),
+@query("diverse_select_fill", "W4 G21", """
+with r as (select *, row_number() over (partition by lang order by n_chars desc, doc_id) = 1 as best from documents),
 s as (select *, case when not best then 3 when lang = 'en' then 2 when lang in ('fr', 'de') then 0 else 1 end as tier from r)
 select doc_id, lang, tier::int as tier, row_number() over (order by tier, n_chars desc, doc_id)::int as place from s qualify place <= 12""")
 def diverse_select_fill(t: Tables) -> DataFrame:
-    d = _doc_rank(t).withColumn("q", F.lit(1))
-    out = R.diverse_fill(d, ["q"], "lang", F.col("lang") == "en", F.col("lang").isin("fr", "de"), 12, "n_chars", "doc_id")
+    out = R.diverse_fill(_longest(t, 12), ["q"], "lang", F.col("lang") == "en", F.col("lang").isin("fr", "de"), 12, "n_chars", "doc_id")
     return out.select("doc_id", "lang", "tier", "place")
 
 
@@ -209,17 +223,17 @@ def display_similarity(t: Tables) -> DataFrame:
     return near.select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "cosine")), 4).alias("shown"), F.round(2 / (3 - F.col("cosine")), 6).alias("display"))
 
 
-@query("quota_over_seeds", "W5 W6 R16", """
-with r as (select l_suppkey % 10 as q, l_suppkey as seed, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem where l_suppkey < 60),
+@query("quota_over_seeds", "W5 W6", """
+with r as (select l_suppkey % 10 as q, l_suppkey as seed, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem),
 p as (select *, row_number() over (partition by q, seed order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey)::int as depth from r qualify depth <= 6)
 select q, seed, l_orderkey, l_extendedprice, depth, row_number() over (partition by q order by depth, seed)::int as place from p qualify place <= 36""")
 def quota_over_seeds(t: Tables) -> DataFrame:
-    r = t.lineitem.filter("l_suppkey < 60").withColumn("q", F.col("l_suppkey") % 10).withColumn("seed", F.col("l_suppkey"))
+    r = t.lineitem.withColumn("q", F.col("l_suppkey") % 10).withColumn("seed", F.col("l_suppkey"))
     out = R.quota_round_robin(r, ["q"], "seed", [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 6, 36)
     return out.select("q", "seed", "l_orderkey", "l_extendedprice", "depth", "place")
 
 
-@query("candidate_convergence", "T6 R33", """
+@query("candidate_convergence", "T6", """
 with r as (select *, event_type = 'purchase' as p, row_number() over (partition by user_id, event_type = 'purchase' order by value desc, event_id) as i from events)
 select user_id, event_id, row_number() over (partition by user_id order by (case when p and i <= 3 then 0 else 1 end), value desc, event_id)::int as place from r qualify place <= 8""")
 def candidate_convergence(t: Tables) -> DataFrame:
@@ -241,20 +255,20 @@ def seeded_sample(t: Tables) -> DataFrame:
     return R.sampled(t.documents.select("lang", "doc_id"), ["lang"], "doc_id", 15)
 
 
-@query("routed_search", "R9 R27", "with " + bm25_sql("documents", "text", "s") + """,
+@query("routed_search", "R9", "with " + bm25_sql("documents", "text", "s") + """,
 r as (select query_id, lang, doc_id, row_number() over (partition by query_id, lang order by round(score, 6) desc, doc_id)::int as in_group from s join documents using (doc_id) qualify in_group <= 10),
 f as (select *, row_number() over (partition by query_id order by in_group, doc_id)::int as rank from r),
 g as (select *, row_number() over (partition by query_id, lang order by rank)::int as depth, min(rank) over (partition by query_id, lang) as lead from f)
 select query_id, lang, doc_id, in_group, row_number() over (partition by query_id order by depth, lead)::int as place from g qualify place <= 12""")
 def routed_search(t: Tables) -> DataFrame:
-    scored = S.bm25(t.documents, _queries(t)).withColumn("score", F.round("score", 6)).join(t.documents.select("doc_id", "lang"), "doc_id")
+    scored = S.bm25_top(t.documents, _queries(t), 10, group="lang").drop("rank")
     fused = R.ranked(S.route(scored, "query_id", "lang", "doc_id", 10), ["query_id"], [F.desc("rrf"), F.col("doc_id")])
     return R.round_robin(fused, ["query_id"], "lang", 12).select("query_id", "lang", "doc_id", "in_group", "place")
 
 
 TOPIC_MAP = """
 w as (select o_custkey % 40 as owner, l_partkey % 50 as key, count(*) as w from lineitem join orders on l_orderkey = o_orderkey group by all),
-p as (select a.owner as a, b.owner as b from (select distinct owner from w) a, (select distinct owner from w) b where a.owner < b.owner and b.owner <= a.owner + 5),
+p as (select distinct a.owner as a, b.owner as b from w a join w b using (key) where a.owner < b.owner),
 t as (select owner, sum(w)::bigint as total from w group by owner),
 c as (select p.a, p.b, sum(least(x.w, y.w))::bigint as shared from p join w x on x.owner = p.a join w y on y.owner = p.b and x.key = y.key group by all),
 j as (select p.a, p.b, round(coalesce(shared, 0) / (ta.total + tb.total - coalesce(shared, 0)), 6) as jaccard
@@ -263,9 +277,7 @@ j as (select p.a, p.b, round(coalesce(shared, 0) / (ta.total + tb.total - coales
 
 def _jaccard(t: Tables) -> DataFrame:
     w = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy((F.col("o_custkey") % 40).alias("owner"), (F.col("l_partkey") % 50).alias("key")).agg(F.count("*").alias("w"))
-    owners = w.select("owner").distinct()
-    near = owners.select(F.col("owner").alias("a"), F.explode(F.sequence(F.col("owner") + 1, F.col("owner") + 5)).alias("b"))
-    return S.weighted_jaccard(w, "owner", "key", "w", near.join(owners.withColumnRenamed("owner", "b"), "b", "left_semi"))
+    return S.weighted_jaccard(w, "owner", "key", "w")
 
 
 @query("weighted_jaccard", "R19 A4 X4", "with " + TOPIC_MAP.strip() + " select a, b, jaccard from j")
@@ -277,7 +289,7 @@ def weighted_jaccard(t: Tables) -> DataFrame:
 m as (select label, i, avg(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all),
 v as (select label, list(x order by i) as v, sqrt(sum(x * x)) as n from m group by label),
 s as (select j.a, j.b, jaccard, list_dot_product(x.v, y.v) / (x.n * y.n) as cosine from j join v x on x.label = j.a % 10 join v y on y.label = j.b % 10)
-select a, b, round(0.6 * jaccard + 0.4 * greatest(0, least(1, ((1 + cosine) / 2 - 0.2) / 0.8)), 5) as composite from s""")
+select a, b, round(0.6 * jaccard + 0.4 * greatest(0, least(1, ((1 + cosine) / 2 - 0.2) / 0.8)), 6) as composite from s""")
 def similar_owners(t: Tables) -> DataFrame:
     c = S.centroid(t.embeddings, ["label"], "embedding", "mean")
     x, y = (c.select(F.col("label").alias(f"l{s}"), "pos", F.col("x").alias(f"x{s}")) for s in ("a", "b"))
@@ -285,10 +297,10 @@ def similar_owners(t: Tables) -> DataFrame:
     j = _jaccard(t).withColumn("la", (F.col("a") % 10).cast("int")).withColumn("lb", (F.col("b") % 10).cast("int"))
     shown = ((1 + F.col("cosine")) / 2 - 0.2) / 0.8
     composite = 0.6 * F.col("jaccard") + 0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), shown))
-    return j.join(cos, ["la", "lb"]).select("a", "b", F.round(composite, 5).alias("composite"))
+    return j.join(cos, ["la", "lb"]).select("a", "b", F.round(composite, 6).alias("composite"))
 
 
-@query("median_centroid", "A27 S26", """
+@query("median_centroid", "A27", """
 with m as (select label, i, median(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings) group by all),
 n as (select label, sqrt(sum(x * x)) as n from m group by label)
 select label, (i - 1)::int as pos, round(x / n, 6) as x from m join n using (label)""")
@@ -315,7 +327,7 @@ def evenly_spaced_sample(t: Tables) -> DataFrame:
     return r.filter(F.array_contains(wanted, F.col("i"))).select("lang", "doc_id", "i")
 
 
-@query("score_softmax", "R21 R28", """
+@query("score_softmax", "R21", """
 with s as (select conv_id, role, sum(length(text))::double / 1000 as s from conversations group by all),
 m as (select *, max(s) over (partition by conv_id) as m from s), e as (select *, exp(s - m) as e from m)
 select conv_id, role, round(e / sum(e) over (partition by conv_id), 6) as p from e""")
@@ -326,7 +338,7 @@ def score_softmax(t: Tables) -> DataFrame:
     return e.select("conv_id", "role", F.round(F.col("e") / F.sum("e").over(w), 6).alias("p"))
 
 
-@query("adaptive_fallback", "R22 R36", RUNS + """,
+@query("adaptive_fallback", "R22", RUNS + """,
 f as (select q, item, rank from a where item % 3 = 0), n as (select q, count(*) as c from f group by q)
 select q, item, rank, 0 as stage from f union all
 select a.q, a.item, a.rank, 1 from a left join n using (q) where coalesce(c, 0) < 6""")

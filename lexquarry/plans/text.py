@@ -50,10 +50,10 @@ def fingerprints(t: Tables) -> DataFrame:
 
 
 @query("id_guard", "C40", """
-select url as id, case when octet_length(encode(url || url || url)) > 100 then 'h_' || md5(url || url || url) else url || url || url end as safe from pages""")
+select url as id, case when octet_length(encode(repeat(url, 20))) > 512 then 'h_' || md5(repeat(url, 20)) else repeat(url, 20) end as safe from pages""")
 def id_guard(t: Tables) -> DataFrame:
-    three = F.concat("url", "url", "url")
-    return t.pages.select(F.col("url").alias("id"), F.when(F.octet_length(three) > 100, F.concat(F.lit("h_"), F.md5(three))).otherwise(three).alias("safe"))
+    many = F.repeat("url", 20)
+    return t.pages.select(F.col("url").alias("id"), F.when(F.octet_length(many) > 512, F.concat(F.lit("h_"), F.md5(many))).otherwise(many).alias("safe"))
 
 
 @query("article_padding", "C7 C41", r"""
@@ -64,7 +64,7 @@ def article_padding(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.padded_article(raw).alias("padded"))
 
 
-@query("best_date", "C13 C14", r"""
+@query("best_date", "C13", r"""
 with d as (select o_orderkey, case when o_orderkey % 4 = 0 then '0000-00-00' when o_orderkey % 4 = 1 then null else '2019' end as a, case when o_orderkey % 3 = 0 then '' else strftime(o_orderdate, '%Y-%m-%dT%H:%M') end as b from orders)
 select o_orderkey, coalesce(case when a = '2019' then '2019-01-01' end, case when b <> '' then substr(b, 1, 10) end) as best from d""")
 def best_date(t: Tables) -> DataFrame:
@@ -87,14 +87,14 @@ def json_props_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(read["k"], F.lit(0).cast("long")).alias("k"), F.coalesce(read["none"], F.lit("default")).alias("missing"))
 
 
-@query("query_normalise", "R11 R12 C18", r"""
+@query("query_normalise", "R11 C18", r"""
 with b as (select item_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)whether|from|the', ' ', 'g'), '[\p{P}\p{S}]+', ' ', 'g'), '\s+', ' ', 'g')) as bare, text from benchmark)
 select item_id, md5(case when bare = '' then text else bare end) as bare_md5 from b""")
 def query_normalise(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.md5(X.normalised_query(F.col("text"), ["from", "the"], ["whether"])).alias("bare_md5"))
 
 
-@query("detected_group", "R7 R8 R13", r"""
+@query("detected_group", "R7", r"""
 with h as (select doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])une($|[^a-z0-9])') as fr, regexp_matches(lower(text), '(^|[^a-z0-9])und($|[^a-z0-9])') as de, regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])') as en from documents)
 select doc_id, case when fr::int + de::int + en::int = 1 then case when fr then 'fr' when de then 'de' else 'en' end end as detected from h""")
 def detected_group(t: Tables) -> DataFrame:
@@ -119,18 +119,17 @@ def protection_scores(t: Tables) -> DataFrame:
 
 
 @query("name_overlaps", "C25", """
-with p as (select distinct p_name as a from part where p_partkey < 40), q as (select distinct p_name as b from part where p_partkey between 40 and 80),
-s as (select a, b, list_distinct(string_split(a, '')) as x, list_distinct(string_split(b, '')) as y from p, q where substr(a, 1, 1) = substr(b, 1, 1))
-select a, b, round(len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))), 6) as chars from s""")
+with s as (select p_partkey, list_distinct(string_split(p_name, '')) as x, list_distinct(string_split(lower(p_type), '')) as y,
+  list_distinct(list_transform(range(1, greatest(length(p_name), 2)), lambda i: substr(p_name, i, 2))) as u, list_distinct(list_transform(range(1, greatest(length(p_type), 2)), lambda i: substr(lower(p_type), i, 2))) as v from part)
+select p_partkey, round(len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))), 6) as chars, round(len(list_intersect(u, v))::double / len(list_distinct(list_concat(u, v))), 6) as bigrams from s""")
 def name_overlaps(t: Tables) -> DataFrame:
-    side = lambda where, n: t.part.filter(where).select(F.col("p_name").alias(n)).distinct()
-    pairs = side("p_partkey < 40", "a").join(side("p_partkey between 40 and 80", "b"), F.substring("a", 1, 1) == F.substring("b", 1, 1))
-    return pairs.select("a", "b", X.char_overlap(F.col("a"), F.col("b")).alias("chars"))
+    a, b = F.col("p_name"), F.lower("p_type")
+    return t.part.select("p_partkey", X.char_overlap(a, b).alias("chars"), X.bigram_overlap(a, b).alias("bigrams"))
 
 
-@query("first_sentences", "C20 C26 C34", r"""
+@query("first_sentences", "C20", r"""
 with s as (select doc_id, list_filter(regexp_extract_all(text, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: trim(x) <> '') as parts from documents)
-select doc_id, md5(substr(trim(array_to_string(parts[1:2], '')), 1, 200)) as head_md5 from s""")
+select doc_id, md5(trim(array_to_string(parts[1:2], ''))) as head_md5 from s""")
 def first_sentences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.first_sentences(F.col("text"))).alias("head_md5"))
 
@@ -141,18 +140,18 @@ def windowed_chunks(t: Tables) -> DataFrame:
     return parts.select(F.concat(F.col("doc_id").cast("string"), F.lit("_sub_"), F.col("n").cast("string")).alias("id"), "doc_id", "n", F.length("content").alias("n_chars"))
 
 
-@query("section_chunks", "C3 C6", None)
+@query("section_chunks", "C3", None)
 def section_chunks(t: Tables) -> DataFrame:
     parts = t.documents.select("doc_id", F.posexplode(X.section_packer(r"(?m)^(?=\S)")(F.col("text"))).alias("n", "content"))
     return parts.select("doc_id", "n", F.length("content").alias("n_chars"))
 
 
-@query("entity_names", "C9 C8 C16", """select p_partkey, lower(replace(p_name || p_brand, ' ', '')) as norm from part""".replace("lower(replace(p_name || p_brand, ' ', ''))", r"regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g')"))
+@query("entity_names", "C9 C8", """select p_partkey, lower(replace(p_name || p_brand, ' ', '')) as norm from part""".replace("lower(replace(p_name || p_brand, ' ', ''))", r"regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g')"))
 def entity_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.entity_name(F.concat("p_name", "p_brand")).alias("norm"))
 
 
-@query("query_variants", "C36 C33 C35", """
+@query("query_variants", "C36", """
 with b as (select item_id, split_part(text, ' ', 1) as w from benchmark), v(variant, template) as (values ('A', '%s'), ('B', 'what is %s'), ('C', '%s (%s)'), ('D', 'the %s'))
 select item_id || '_' || variant as id, replace(template, '%s', w) as query from b, v""")
 def query_variants(t: Tables) -> DataFrame:

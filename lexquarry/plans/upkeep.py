@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ordered as O
 from ..operators import ranking as R
 from ..operators import search as S
+from ..session import shared_folder
+from ..sources import articles as A
 from ..sources import upserts as U
 from .aggregates import EDGES, kg_edges
 from .registry import Tables, query
 from .search import COS
 
 
+def fresh(t: Tables, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(t.spark)}/lexquarry-{what}-{uuid.uuid4().hex}"
+
+
 def _text(c: str | F.Column) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -104,17 +114,17 @@ def drop_log(t: Tables) -> DataFrame:
 
 @query("gold_text_index", "S43", """
 with k as (select doc_id, 'a' || doc_id as key, text from documents union all select doc_id, source || '#' || (doc_id % 10), text from documents), w(key) as (values ('a3'), ('a14'), ('src5#5'), ('src7#7'))
-select key, md5(string_agg(substr(text, 1, 80), '|' order by doc_id)) as text_md5 from k join w using (key) group by key""")
+select key, md5(string_agg(text, '|' order by doc_id)) as text_md5 from k join w using (key) group by key""")
 def gold_text_index(t: Tables) -> DataFrame:
     d = t.documents
     keys = F.explode(F.array(F.concat(F.lit("a"), _text("doc_id")), F.concat_ws("#", "source", _text(F.col("doc_id") % 10)))).alias("key")
     wanted = t.spark.createDataFrame([("a3",), ("a14",), ("src5#5",), ("src7#7",)], "key string")
-    found = d.select("doc_id", F.substring("text", 1, 80).alias("text"), keys).join(wanted, "key", "left_semi")
+    found = d.select("doc_id", "text", keys).join(wanted, "key", "left_semi")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "|")
     return found.groupBy("key").agg(F.md5(joined).alias("text_md5"))
 
 
-@query("citation_references", "R14 R15 R16 C12", """
+@query("citation_references", "R14 R15 C12", """
 select p_partkey, case when p_partkey % 51 = p_size then (p_size + 1)::varchar else case when p_partkey % 51 = p_size + 1 then p_size::varchar else p_size || ',' || (p_size + 1) end end as own,
   'MAC_LEI_' || p_size || '_2023::' || (p_size + 2) as others from part""")
 def citation_references(t: Tables) -> DataFrame:
@@ -136,7 +146,7 @@ def cited_sources_check(t: Tables) -> DataFrame:
     return r.select("conv_id", "turn", F.size(F.filter("refs", lambda x: x > 5)).cast("long").alias("outside"), F.array_join(F.array_sort(F.array_intersect("refs", surfaced)).cast("array<string>"), ",").alias("cited"))
 
 
-@query("chunk_prefixes", "C4 C5 C6", """
+@query("chunk_prefixes", "C4 C5", """
 select p_partkey, case when trim(t) <> '' then '【' || substr(t, 1, 100) || '】' else '' end || coalesce(case when trim(a) <> '' then a end, p_type) as content
 from (select p_partkey, p_type, case when p_partkey % 4 = 0 then ' ' else p_name end as t, case when p_partkey % 3 = 0 then '' else p_brand end as a from part)""")
 def chunk_prefixes(t: Tables) -> DataFrame:
@@ -151,11 +161,11 @@ def referral_only(t: Tables) -> DataFrame:
 
 
 @query("truncated_id_repair", "C27 E15", """
-with x as (select distinct substr(c_name, 1, length(c_name) - 1) as cut from customer where c_custkey % 7 = 0), m as (select cut, count(*) as n, min(c_name) as full_id from x join customer on starts_with(c_name, cut) group by cut)
+with x as (select distinct substr(c_name, 1, length(c_name) - 1) as cut from customer), m as (select cut, count(*) as n, min(c_name) as full_id from x join customer on starts_with(c_name, cut) group by cut)
 select cut, case when n = 1 then full_id end as repaired, n from m""")
 def truncated_id_repair(t: Tables) -> DataFrame:
-    x = t.customer.filter("c_custkey % 7 = 0").select(F.expr("substr(c_name, 1, length(c_name) - 1)").alias("cut")).distinct()
-    m = x.join(t.customer.select("c_name"), F.col("c_name").startswith(F.col("cut"))).groupBy("cut").agg(F.count("*").alias("n"), F.min("c_name").alias("full_id"))
+    x = t.customer.select(F.expr("substr(c_name, 1, length(c_name) - 1)").alias("cut")).distinct()
+    m = O.prefixed(t.customer.select("c_name"), "c_name", x, "cut").groupBy("cut").agg(F.count("*").alias("n"), F.min("c_name").alias("full_id"))
     return m.select("cut", F.when(F.col("n") == 1, F.col("full_id")).alias("repaired"), "n")
 
 
@@ -169,7 +179,7 @@ def cell_lists(t: Tables) -> DataFrame:
     return g.select("c_nationkey", F.array_join("topics", ",").alias("topics"))
 
 
-@query("entry_references", "R29 R30", "with " + EDGES + """,
+@query("entry_references", "R30", "with " + EDGES + """,
 h as (select head, article, max(confidence) as c from e where jurisdiction in ('j1', 'j2', 'j3') group by all), r as (select *, row_number() over (partition by head order by c desc, article)::int as rank from h qualify rank <= 6)
 select head, article, rank from r""")
 def entry_references(t: Tables) -> DataFrame:
@@ -177,7 +187,7 @@ def entry_references(t: Tables) -> DataFrame:
     return R.top_k(h, ["head"], [F.desc("c"), F.col("article")], 6).select("head", "article", "rank")
 
 
-@query("evidence_table", "R31 R37 G22", "with " + EDGES + """,
+@query("evidence_table", "R31", "with " + EDGES + """,
 s as (select distinct head, tail, relation, jurisdiction, article, confidence from e where head in ('p1', 'p5', 'p9') or tail in ('p1', 'p5', 'p9')),
 c as (select *, row_number() over (partition by jurisdiction order by confidence desc, head, tail, relation, article) as r from s qualify r <= 12)
 select jurisdiction, count(*) as n, array_to_string((list(head || '>' || tail order by r))[1:3], ';') as brief from c group by jurisdiction""")
@@ -196,15 +206,13 @@ e as (select a, b, round(c, 6) as weight, case when c >= 0.3 then 'strong' when
 select a, b, weight, tier, (ct >= 3) as hub from e join (select a, count(*) as ct from e group by a) using (a)""")
 def semantic_network(t: Tables) -> DataFrame:
     v = t.embeddings
-    p = S.similarities(v.filter("label = 2"), v.filter("label = 3"), "vec_id", "embedding")
-    c = F.desc(F.round("cosine", 9))
-    e = R.ranked(R.ranked(p, ["a"], [c, F.col("b")], "ra"), ["b"], [c, F.col("a")], "rb").filter("ra <= 2 or rb <= 2")
+    e = S.row_and_column_best(v.filter("label = 2"), v.filter("label = 3"), "vec_id", "embedding", 2)
     tier = F.when(F.col("cosine") >= 0.3, "strong").when(F.col("cosine") >= 0.2, "medium").otherwise("weak")
     degree = e.groupBy("a").agg((F.count("*") >= 3).alias("hub"))
     return e.select("a", "b", F.round("cosine", 6).alias("weight"), tier.alias("tier")).join(degree, "a")
 
 
-@query("cross_group_chain", "G18 G24 G21 J6", "with " + EDGES + """,
+@query("cross_group_chain", "J6", "with " + EDGES + """,
 c as (select distinct jurisdiction as j, article, head as concept from e), a as (select concept, article from c where j = 'j1' and article in ('a1', 'a2', 'a7')),
 x as (select a.article as source, c.j, c.article as target, count(distinct a.concept) as shared from a join c using (concept) where c.j <> 'j1' group by all),
 r as (select *, row_number() over (partition by source, j order by shared desc, target) as r from x qualify r <= 3)
@@ -217,20 +225,11 @@ def cross_group_chain(t: Tables) -> DataFrame:
     return top.select("source", "j", "target", "shared", F.round(1 + F.col("shared") / 10, 6).alias("score"))
 
 
-@query("strategy_results", "S1 S2 S19 S20", "select source, (count(*) * case when lang = 'fr' then 10 else 1 end)::bigint as n, lang as strategy from documents group by source, lang")
+@query("strategy_results", "S19", "select source, (count(*) * case when lang = 'fr' then 10 else 1 end)::bigint as n, lang as strategy from documents group by source, lang")
 def strategy_results(t: Tables) -> DataFrame:
     """Result rows written by strategy as CSV and one strategy replaced, then read with an explicit schema."""
-    import uuid
-
-    from ..sources.articles import read_result_csv, write_result_csv
-
-    conf = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="lexquarry-")
-    path = f"{conf}/results-{uuid.uuid4().hex}"
+    path = fresh(t, "results")
     rows = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumnRenamed("lang", "strategy")
-    write_result_csv(rows, path)
-    write_result_csv(rows.filter("strategy = 'fr'").withColumn("n", F.col("n") * 10), path)
-    return read_result_csv(t.spark, path, "source string, n long, strategy string")
+    A.write_result_csv(rows, path)
+    A.write_result_csv(rows.filter("strategy = 'fr'").withColumn("n", F.col("n") * 10), path)
+    return A.read_result_csv(t.spark, path, "source string, n long, strategy string")

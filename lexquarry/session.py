@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,14 @@ def session(app: str = "lexquarry", master: str | None = None, **more: str) -> S
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         build = build.config(k, v)
     return build.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only on a local master may it be one of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lexquarry-"))
+    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")

@@ -70,12 +70,13 @@ def stale(rows: DataFrame, version: str, current: str) -> DataFrame:
 
 def renamed_ids(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """Rewrite id prefixes (old, new): a prefix counts only up to the end or an underscore; the longest match is taken."""
-    m = mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
-    hit = (F.col(column) == F.col("__old")) | F.col(column).startswith(F.concat("__old", F.lit("_")))
-    tagged = rows.withColumn("__row", F.monotonically_increasing_id()).join(m, hit, "left")
-    best = keep_best(tagged, ["__row"], [F.desc_nulls_last(F.length("__old"))])
-    fresh = F.when(F.col("__old").isNull(), F.col(column)).otherwise(F.concat("__new", F.substr(F.col(column), F.length("__old") + 1)))
-    return best.withColumn(column, fresh).drop("__row", "__old", "__new")
+    words = F.split("__id", "_")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "_"))
+    ids = rows.select(F.col(column).alias("__id")).distinct()
+    hits = ids.select("__id", F.explode(starts).alias("old"))
+    best = hits.join(mapping.select("old", "new"), "old").groupBy("__id").agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("__to"))
+    fresh = F.when(F.col("__to").isNull(), F.col(column)).otherwise(F.concat("__to.new", F.substr(F.col(column), F.length("__to.old") + 1)))
+    return rows.join(best, F.col(column) == F.col("__id"), "left").withColumn(column, fresh).drop("__id", "__to")
 
 
 def next_id(rows: DataFrame, column: str, prefix: str) -> DataFrame:

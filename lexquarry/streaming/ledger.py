@@ -13,12 +13,12 @@ LEDGER = "ts timestamp, model string, purpose string, prompt_tokens int, complet
 
 def ledger_stream(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines of daily files; lines that can't be read are dropped, new lines of rolled files are picked up by the checkpoint."""
-    return spark.readStream.schema(LEDGER).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder)
+    return spark.readStream.schema(LEDGER).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{jsonl,json}").json(folder)
 
 
 def ledger_table(spark: SparkSession, folder: str) -> DataFrame:
     """The same files at once."""
-    return spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder).filter("ts is not null")
+    return spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{jsonl,json}").json(folder).filter("ts is not null")
 
 
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,7 +85,13 @@ def test_signature_and_lines(spark):
 
 def test_references():
     assert X.own_references("第一條 依第二條及《某法》第五條，第12條", 1) == [2, 12]
+    assert X.own_references("依第二條，《某法第三條》及第 兩 條、《收費總表》 第五條", None) == [2]
+    assert X.own_references("第7/2023號法律第三十六條及第四條。第9條", None) == [9]
     assert X.cross_references("第7/2023號法律第三十六條") == [("MAC_LEI_7_2023", 36)]
+    assert X.cross_references("第 5 / 2009 號 行政法規的第十七條") == [("MAC_REG_5_2009", 17)]
+    assert X.cross_references("第5/2009號行政法規，第7條") == [] and X.cross_references("第9/2020號法令第3條") == []
+    assert X.cross_references("第32章第 12 條，第32章第12條", "HK_CAP_1") == [("HK_CAP_32", 12)] and X.cross_references("第32章第12條", "HK_CAP_32") == []
+    assert X.number_of("一百零三") == 103 and X.number_of("兩") == 2
 
 
 def test_chunks_cover_the_text():
@@ -98,6 +104,7 @@ def test_chunks_cover_the_text():
         joined += p[k:]
     assert joined == text
     assert X._windows("", 800, 150, ".") == []
+    assert len(X._windows("x" * 1000, 100, 99, ".")) == 19  # at most half a window overlaps
 
 
 def test_classifier(spark):
