@@ -1,13 +1,17 @@
 """Token ids in wavelet matrices: succinct bit planes with rank and select, one compressed file a shard.
 
-File format (all little-endian): magic "WVM1", then unsigned 64-bit tokens, documents, planes; then zstandard frames, each led by
-its unsigned 64-bit length: document starts (n_docs + 1 unsigned 64-bit), and each plane's bits, highest bit of the ids first,
-eight positions a byte, first position in the lowest bit. Plane l + 1 has the positions of plane l with zeros first, stably.
-A file is one row of a Parquet table (shard, data), so that Spark's writer commits it whole to any store.
+File format (all little-endian): magic "WVM2"; then unsigned 64-bit tokens, documents, planes; then frames, each led by its unsigned
+64-bit length. A frame is zstandard data. First the document ids (signed 64-bit), which of them are there (a bit each) and the
+document starts (n_docs + 1 unsigned 64-bit). Then of each plane, highest bit of the ids first: the rank directory (unsigned 32-bit,
+ones before every STEP-th position, and all), the ends of the plane's blocks (unsigned 32-bit), and its blocks, each compressed by
+itself: BLOCK positions, eight a byte, first position in the lowest bit. Plane l + 1 has the positions of plane l with zeros first,
+stably. One token, count or occurrence so costs a few blocks of each plane, not the file.
+A file is one row of a Parquet table, so that Spark's writer commits it whole to any store.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,75 +28,95 @@ from .tokens import encoder
 END = 2
 #: Ids in a shard at least, unless input ends.
 TOKENS = 1 << 21
+#: Positions between entries of a rank directory, and in a block.
 STEP = 512
+BLOCK = 1 << 16
+
+
+def encoded(ids: np.ndarray, starts: np.ndarray, keys: list[int | None]) -> bytes:
+    """The file of a shard: ids, where its documents start (and the end), and the documents' ids."""
+    z = zstandard.ZstdCompressor(level=1)
+    frame = lambda *parts: z.compress(b"".join(x.tobytes() for x in parts))
+    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    known = np.array([k is not None for k in keys], bool)
+    frames = [frame(np.array([k or 0 for k in keys], "<i8")), frame(np.packbits(known, bitorder="little")), frame(starts.astype("<u8"))]
+    x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    for b in range(bits - 1, -1, -1):
+        one = (x >> b & 1).astype(bool)
+        plane = np.packbits(one, bitorder="little")
+        ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (STEP // 8)))).reshape(-1, STEP // 8).sum(1, dtype=np.int64)
+        blocks = [z.compress(plane[i : i + BLOCK // 8].tobytes()) for i in range(0, len(plane), BLOCK // 8)]
+        frames += [frame(np.concatenate([[0], np.cumsum(ones)]).astype("<u4")), frame(np.cumsum([0, *map(len, blocks)]).astype("<u4")), b"".join(blocks)]
+        x = np.concatenate([x[~one], x[one]])
+    return b"WVM2" + struct.pack("<QQQ", len(ids), len(keys), bits) + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray], starts: np.ndarray):
-        self.n, self.planes, self.starts = n, planes, starts
-        self._ranks: list[np.ndarray] | None = None
-
-    @classmethod
-    def build(cls, ids: np.ndarray, starts: np.ndarray) -> WaveletMatrix:
-        bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        x, planes = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
-        for b in range(bits - 1, -1, -1):
-            one = (x >> b & 1).astype(bool)
-            planes.append(np.packbits(one, bitorder="little"))
-            x = np.concatenate([x[~one], x[one]])
-        return cls(len(ids), planes, starts.astype("<u8"))
-
-    def dump(self) -> bytes:
-        z = zstandard.ZstdCompressor(level=1)
-        frames = [z.compress(x.tobytes()) for x in (self.starts, *self.planes)]
-        return b"WVM1" + struct.pack("<QQQ", self.n, len(self.starts) - 1, len(self.planes)) + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
-
-    @classmethod
-    def load(cls, data: bytes) -> WaveletMatrix:
-        if data[:4] != b"WVM1":
+    """A shard's file, opened: only what is asked for is decompressed."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"WVM2":
             raise ValueError("not a wavelet file")
-        n, _, planes = struct.unpack_from("<QQQ", data, 4)
-        at, z, got = 28, zstandard.ZstdDecompressor(), []
-        for _ in range(planes + 1):
+        self.n, docs, self.bits = struct.unpack_from("<QQQ", data, 4)
+        self.data, at, self.frames = memoryview(data), 28, []
+        for _ in range(3 + 3 * self.bits):
             (k,) = struct.unpack_from("<Q", data, at)
-            got.append(z.decompress(data[at + 8 : at + 8 + k]))
+            self.frames.append((at + 8, at + 8 + k))
             at += 8 + k
-        return cls(n, [np.frombuffer(x, np.uint8) for x in got[1:]], np.frombuffer(got[0], "<u8"))
+        self._z = zstandard.ZstdDecompressor()
+        self._tables: dict[int, np.ndarray] = {}
+        self.block = functools.lru_cache(256)(self._block)
+        keys, known = self._open(0, "<i8"), np.unpackbits(self._open(1, np.uint8), count=docs, bitorder="little")
+        self.keys: list[int | None] = [k if there else None for k, there in zip(keys.tolist(), known.tolist(), strict=True)]
+        self.starts = self._open(2, "<u8")
+
+    def _open(self, frame: int, kind: str | type) -> np.ndarray:
+        a, b = self.frames[frame]
+        return np.frombuffer(self._z.decompress(self.data[a:b]), kind)
+
+    def _table(self, frame: int) -> np.ndarray:
+        if frame not in self._tables:
+            self._tables[frame] = self._open(frame, "<u4")
+        return self._tables[frame]
+
+    def _block(self, plane: int, no: int) -> np.ndarray:
+        ends, begin = self._table(4 + 3 * plane), self.frames[5 + 3 * plane][0]
+        return np.frombuffer(self._z.decompress(self.data[begin + int(ends[no]) : begin + int(ends[no + 1])]), np.uint8)
 
     def _bits(self, plane: int) -> np.ndarray:
-        return np.unpackbits(self.planes[plane], count=self.n, bitorder="little").view(bool)
+        whole = [self._block(plane, i) for i in range(len(self._table(4 + 3 * plane)) - 1)]
+        return np.unpackbits(np.concatenate(whole) if whole else np.empty(0, np.uint8), count=self.n, bitorder="little").view(bool)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up: zeros of a plane come from the front of the one below, ones from its back."""
-        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
+        x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for level in range(self.bits - 1, -1, -1):
             one, y = self._bits(level), np.empty_like(x)
-            zeros = self.n - int(np.count_nonzero(one))
+            zeros = self._zeros(level)
             y[~one] = x[:zeros]
-            y[one] = x[zeros:] | x.dtype.type(1 << (len(self.planes) - 1 - level))
+            y[one] = x[zeros:] | x.dtype.type(1 << (self.bits - 1 - level))
             x = y
         return x
 
     def _rank1(self, plane: int, i: int) -> int:
-        """Ones among the first i positions: a directory every STEP positions, then counting."""
-        if self._ranks is None:
-            self._ranks = []
-            for p in self.planes:
-                ones = np.bitwise_count(np.pad(p, (0, -len(p) % (STEP // 8)))).reshape(-1, STEP // 8).sum(1, dtype=np.int64)
-                self._ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-        block = i // STEP
-        part = np.unpackbits(self.planes[plane][block * STEP // 8 : -(-i // 8)], bitorder="little")[: i - block * STEP]
-        return int(self._ranks[plane][block]) + int(np.count_nonzero(part))
+        """Ones among the first i positions: the directory, then counting in one block."""
+        step = i // STEP
+        ones, rest = int(self._table(3 + 3 * plane)[step]), i - step * STEP
+        if rest:
+            at = step * STEP % BLOCK // 8
+            part = self.block(plane, step * STEP // BLOCK)[at : at + -(-rest // 8)]
+            ones += int(np.count_nonzero(np.unpackbits(part, bitorder="little")[:rest]))
+        return ones
 
     def _zeros(self, plane: int) -> int:
-        return self.n - self._rank1(plane, self.n)
+        return self.n - int(self._table(3 + 3 * plane)[-1])
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for p in range(len(self.planes)):
+        for p in range(self.bits):
             ones = self._rank1(p, i)
             bit = self._rank1(p, i + 1) - ones
             i = self._zeros(p) + ones if bit else i - ones
@@ -100,34 +124,34 @@ class WaveletMatrix:
         return out
 
     def _narrow(self, token: int, i: int, j: int) -> tuple[int, int]:
-        for p in range(len(self.planes)):
+        for p in range(self.bits):
             a, b = self._rank1(p, i), self._rank1(p, j)
-            i, j = (self._zeros(p) + a, self._zeros(p) + b) if token >> (len(self.planes) - 1 - p) & 1 else (i - a, j - b)
+            i, j = (self._zeros(p) + a, self._zeros(p) + b) if token >> (self.bits - 1 - p) & 1 else (i - a, j - b)
         return i, j
 
     def count(self, token: int, i: int = 0, j: int | None = None) -> int:
         """How often token occurs in positions i to j - 1."""
-        if token < 0 or token >> len(self.planes):
+        if token < 0 or token >> self.bits:
             return 0
         a, b = self._narrow(token, i, self.n if j is None else j)
         return b - a
 
     def _select(self, plane: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit in a plane."""
-        low, high = 0, self.n
-        while high - low > 1:
-            mid = (low + high) // 2
-            ones = self._rank1(plane, mid)
-            low, high = (mid, high) if (ones if bit else mid - ones) <= k else (low, mid)
-        return low
+        """Position of the k-th (from 0) bit in a plane: a search of the directory, then of one step."""
+        ones = self._table(3 + 3 * plane).astype(np.int64)
+        before = ones if bit else np.minimum(np.arange(len(ones)) * STEP, self.n) - ones
+        step = int(np.searchsorted(before, k, "right")) - 1
+        at = step * STEP % BLOCK // 8
+        part = np.unpackbits(self.block(plane, step * STEP // BLOCK)[at : at + STEP // 8], bitorder="little")[: self.n - step * STEP]
+        return step * STEP + int(np.flatnonzero(part == bit)[k - int(before[step])])
 
     def find(self, token: int, k: int) -> int:
         """Position of token's k-th occurrence, from 0."""
         if k < 0 or k >= self.count(token):
             raise IndexError(k)
         i = self._narrow(token, 0, self.n)[0] + k
-        for p in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - p) & 1
+        for p in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - p) & 1
             i = self._select(p, bit, i - self._zeros(p) * bit)
         return i
 
@@ -139,8 +163,8 @@ def _writer(path: str, end: int, tokens: int):
 
         def shard() -> pa.RecordBatch:
             x = np.frombuffer(b"".join(ids), "<u4")
-            data = WaveletMatrix.build(x, np.array(starts, np.uint64)).dump()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "seq", "tokens", "doc_ids", "data"])
+            data = encoded(x, np.array(starts, np.uint64), keys)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "tokens", "data"])
 
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else None
@@ -160,7 +184,7 @@ def _writer(path: str, end: int, tokens: int):
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, tokens: int = TOKENS) -> None:
     """Encode and write under path, in ascending doc_id order (null first; repeated ids by a hash of the text): ranges of doc_id are
-    sorted each in one task and cut into shards. Null text is empty."""
+    sorted each in one task and cut into shards. doc_id is cast to long. Null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_text(F.col("text")).alias("text"))
     tie = F.xxhash64("text")
     sorted_rows = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
@@ -168,16 +192,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     files.write.parquet(path)
 
 
-FILES = "part int, seq long, tokens long, doc_ids array<long>, data binary"
+FILES = "part int, seq long, tokens long, data binary"
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, keys, data in zip(batch["begin"].to_pylist(), batch["doc_ids"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            w = WaveletMatrix.load(data)
+        for begin, data in zip(batch["begin"].to_pylist(), batch["data"], strict=True):
+            w = WaveletMatrix(data.as_py())
             ids, starts = w.decode().astype("<u4"), w.starts.astype(np.int64)
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[:-1] + begin), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.keys, pa.int64()), pa.array(starts[:-1] + begin), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +212,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     ahead = sums.select("part", (F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     begin = files.select("part", "seq", (F.sum("tokens").over(inside) - F.col("tokens")).alias("within")).join(ahead, "part").select("part", "seq", (F.col("within") + F.col("ahead")).alias("begin"))
-    return files.join(begin, ["part", "seq"]).select("begin", "doc_ids", "data").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(begin, ["part", "seq"]).select("begin", "data").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,15 +330,28 @@ def test_wavelet(table, coded, spark, tmp_path):
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 300, 5000).astype(np.uint32)
-    w = wavelet.WaveletMatrix.load(wavelet.WaveletMatrix.build(x, np.array([0, 5000])).dump())
-    assert (w.decode() == x).all() and all(w.access(i) == x[i] for i in range(0, 5000, 97))
-    for token in (0, 7, 299, 511, 5000):
-        at = np.flatnonzero(x == token)
-        assert w.count(token) == len(at) and w.count(token, 100, 900) == ((at >= 100) & (at < 900)).sum()
-        assert [w.find(token, k) for k in range(0, len(at), 5)] == at[::5].tolist()
-    with pytest.raises(IndexError):
-        w.access(5000)
+    for n, most in ((0, 1), (1, 1), (5000, 300), (512 * 3, 2), (150_000, 50_257)):
+        x = rng.integers(0, most, n).astype(np.uint32)
+        w = wavelet.WaveletMatrix(wavelet.encoded(x, np.array([0, n]), [None]))
+        assert w.keys == [None] and w.starts.tolist() == [0, n] and (w.decode() == x).all()
+        w = wavelet.WaveletMatrix(wavelet.encoded(x, np.array([0, n // 2, n]), [-7, 9]))
+        assert w.keys == [-7, 9] and all(w.access(i) == x[i] for i in range(0, n, max(1, n // 60)))
+        for token in (0, 1, 7, 299, 511, 5000, 70_000):
+            at = np.flatnonzero(x == token)
+            assert w.count(token) == len(at) and w.count(token, n // 9, n // 2) == ((at >= n // 9) & (at < n // 2)).sum()
+            assert [w.find(token, k) for k in range(0, len(at), max(1, len(at) // 30))] == at[:: max(1, len(at) // 30)].tolist()
+        with pytest.raises(IndexError):
+            w.access(n)
+
+
+def test_wavelet_reads_blocks(monkeypatch):
+    """One token costs a block or two of each plane, whatever the file's size."""
+    x = np.random.default_rng(1).integers(0, 256, 1_000_000).astype(np.uint32)
+    w, opened = wavelet.WaveletMatrix(wavelet.encoded(x, np.array([0, len(x)]), [1])), []
+    plain = w._block
+    w.block = lambda plane, no: opened.append((plane, no)) or plain(plane, no)
+    assert w.access(777_777) == x[777_777]
+    assert len(set(opened)) <= 2 * w.bits < 8 * 16
 
 
 def test_quality(table, local):
