@@ -203,7 +203,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     for i in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node")).groupBy("a", "community").agg(F.count("*").alias("n"))
         best = top_k(votes, ["a"], [F.desc("n"), F.col("community")], 1).select("a", F.col("community").alias("new"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+        turn = F.conv(F.substring(F.md5(F.col("node").cast("string")), 32, 1), 16, 10).cast("int") % 2 == i % 2
         labels = settled(labels.join(best, F.col("node") == F.col("a"), "left").select("node", F.when(turn, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")))
     return labels
 

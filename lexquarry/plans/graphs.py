@@ -93,7 +93,15 @@ def betweenness_exact(t: Tables) -> DataFrame:
     return G.betweenness(near_graph(t.embeddings))
 
 
-@query("label_communities", "G8 G10", None)
+def _communities_sql(rounds: int) -> str:
+    parts = [NEAR.replace("<= 2)", "<= 3)"), "t as (select a as node, (instr('0123456789abcdef', right(md5(a::varchar), 1)) - 1) % 2 as turn from (select distinct a from u))", "r0 as (select node, node as community from t)"]
+    for i in range(rounds):
+        parts.append(f"b{i} as (select a, community from (select a, community, row_number() over (partition by a order by count(*) desc, community) as k from u join r{i} on u.b = node group by a, community) where k = 1)")
+        parts.append(f"r{i + 1} as materialized (select t.node, case when turn = {i % 2} then b.community else r.community end as community from t join r{i} r on r.node = t.node join b{i} b on b.a = t.node)")
+    return "with " + ",\n".join(parts) + f" select node, community from r{rounds}"
+
+
+@query("label_communities", "G8 G10", _communities_sql(10))
 def label_communities(t: Tables) -> DataFrame:
     return G.communities(near_graph(t.embeddings, 3))
 
@@ -192,7 +200,14 @@ def full_gold_found(t: Tables) -> DataFrame:
     return j.groupBy("query").agg((F.count("*") == F.count("rank")).alias("complete"), F.count("rank").alias("found"), F.count("*").alias("gold"))
 
 
-@query("bootstrap_interval", "E6", None)
+@query("bootstrap_interval", "E6", "with " + RUN + """,
+g as (select query, count(*) as gold from q where relevance > 0 group by query),
+h as (select l.query, count(*) filter (rank <= 5) as n5, count(*) as n20 from l join q using (query, doc_id) where relevance > 0 group by l.query),
+d as (select round(coalesce(n20, 0)::double / gold, 6) - round(coalesce(n5, 0)::double / gold, 6) as v from g left join h using (query)),
+o as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n from d),
+p as (select r, i, list_reduce(list_transform(string_split(substr(md5('42:' || r || ':' || i), 1, 8), ''), lambda c: (instr('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b) as x from (select unnest(range(1, 2001)) as r) cross join (select unnest(range(1, (select count(*) + 1 from d))) as i)),
+m as (select r, sum(v) / max(n) as m from p join o on o.i = x % n group by r)
+select round((select avg(v) from d), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
 def bootstrap_interval(t: Tables) -> DataFrame:
     run, qrels = _run(t)
     m = E.metrics(run, qrels, "query", "doc_id").select((F.col("recall_20") - F.col("recall_5")).alias("delta"))

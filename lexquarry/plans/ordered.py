@@ -89,7 +89,13 @@ def last_attr_from_history(t: Tables) -> DataFrame:
     return O.carried(t.conversations, ["conv_id"], [F.col("turn")], F.when(F.col("role") == "user", F.md5("text")), "last_user").select("conv_id", "turn", "last_user")
 
 
-@query("greedy_quota", "W18 E9", None)
+@query("greedy_quota", "W18 E9", """
+with recursive c as materialized (select lang, source, doc_id, md5(text) as h, row_number() over (partition by lang order by n_chars desc, doc_id) as i from documents),
+r as (select distinct lang, 0::bigint as i, []::struct(g varchar, k bigint, h varchar)[] as kept from c union all
+  select r.lang, c.i, case when len(kept) >= 12 or len(list_filter(kept, lambda x: x.g = c.source)) >= 2 or len(list_filter(kept, lambda x: x.h = c.h)) > 0 then kept else list_append(kept, {'g': c.source, 'k': c.doc_id, 'h': c.h}) end from r join c on c.lang = r.lang and c.i = r.i + 1),
+f as (select lang, kept from r qualify row_number() over (partition by lang order by i desc) = 1),
+u as (select lang, unnest(kept) as x, generate_subscripts(kept, 1) - 1 as place from f)
+select lang, place::int as place, x.k as doc_id, x.g as source from u""")
 def greedy_quota(t: Tables) -> DataFrame:
     """Per language, in order of length: at most 2 of a source, 12 in all, no text twice."""
     cand = O.quota_candidates(t.documents.select("lang", "source", "doc_id", "n_chars", F.md5("text").alias("h")), "lang", "source", "doc_id", "n_chars", "h", 2, 12)
@@ -98,7 +104,12 @@ def greedy_quota(t: Tables) -> DataFrame:
     return folded.select("lang", "place", F.col("x.k").alias("doc_id"), F.col("x.g").alias("source"))
 
 
-@query("greedy_topics", "A31", None)
+@query("greedy_topics", "A31", """
+with recursive c as materialized (select p_name, list_distinct(string_split(p_name, '')) as chars, row_number() over (order by count(*) desc, p_name) as i from part group by p_name),
+r as (select 0::bigint as i, []::varchar[] as kept union all
+  select c.i, case when len(list_filter(kept, lambda k: len(list_intersect(list_distinct(string_split(k, '')), chars))::double / len(list_distinct(list_concat(string_split(k, ''), chars))) >= 0.7)) > 0 then kept else list_append(kept, c.p_name) end from r join c on c.i = r.i + 1),
+f as (select kept from r order by i desc limit 1)
+select unnest(kept) as p_name, (generate_subscripts(kept, 1) - 1)::int as place from f""")
 def greedy_topics(t: Tables) -> DataFrame:
     """Of the most frequent part names, those whose characters differ enough from the names before."""
     named = t.part.groupBy("p_name").agg(F.count("*").alias("n"))
@@ -108,7 +119,14 @@ def greedy_topics(t: Tables) -> DataFrame:
     return top.agg(names.alias("names")).select(F.posexplode(O.greedy_distinct(F.col("names"), 0.7)).alias("place", "p_name"))
 
 
-@query("degree_capped_edges", "W20", None)
+@query("degree_capped_edges", "W20", """
+with recursive e as (select l_returnflag, (l_partkey % 40)::varchar as a, (l_suppkey % 40)::varchar as b, count(*) as n from lineitem where l_partkey % 40 <> l_suppkey % 40 group by all),
+c as materialized (select *, row_number() over (partition by l_returnflag order by n desc, a, b) as i from e),
+r as (select distinct l_returnflag, 0::bigint as i, []::struct(a varchar, b varchar)[] as kept from c union all
+  select r.l_returnflag, c.i, case when len(list_filter(kept, lambda x: x.a = c.a or x.b = c.a)) >= 8 and len(list_filter(kept, lambda x: x.a = c.b or x.b = c.b)) >= 8 then kept else list_append(kept, {'a': c.a, 'b': c.b}) end from r join c on c.l_returnflag = r.l_returnflag and c.i = r.i + 1),
+f as (select l_returnflag, kept from r qualify row_number() over (partition by l_returnflag order by i desc) = 1),
+u as (select l_returnflag, unnest(kept) as x, generate_subscripts(kept, 1) - 1 as place from f)
+select l_returnflag, place::int as place, x.a as a, x.b as b from u""")
 def degree_capped_edges(t: Tables) -> DataFrame:
     """Edges of each return flag in order of weight, until both ends have eight."""
     e = t.lineitem.filter("l_partkey % 40 != l_suppkey % 40").groupBy("l_returnflag", (F.col("l_partkey") % 40).cast("string").alias("a"), (F.col("l_suppkey") % 40).cast("string").alias("b")).agg(F.count("*").alias("n"))

@@ -134,13 +134,30 @@ def first_sentences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.first_sentences(F.col("text"))).alias("head_md5"))
 
 
-@query("windowed_chunks", "C2 S2", None)
+@query("windowed_chunks", "C2", r"""
+with recursive d as materialized (select doc_id, text, length(text) as len from documents where length(text) > 0),
+r as (select doc_id, 0::bigint as n, 0::bigint as pos, least(800, len) as e from d where false union all select 0, 0, 0, 0 where false),
+w as (select doc_id, len, -1::bigint as n, 0::bigint as pos, 150::bigint as e from d union all
+  select w.doc_id, w.len, w.n + 1, w.e - 150, case when w.e + 650 >= w.len then w.len else
+    case when length(regexp_extract(reverse(substr(d.text, (w.e + 251)::bigint, 400)), '^[^。！？；\n.!?]*')) = 400 then w.e + 650 else w.e + 650 - length(regexp_extract(reverse(substr(d.text, (w.e + 251)::bigint, 400)), '^[^。！？；\n.!?]*')) end end
+  from w join d using (doc_id) where w.n = -1 or w.e < w.len)
+select doc_id || '_sub_' || n as id, doc_id, n::int as n, (e - pos)::int as n_chars from w where n >= 0""".replace("""r as (select doc_id, 0::bigint as n, 0::bigint as pos, least(800, len) as e from d where false union all select 0, 0, 0, 0 where false),
+""", "").replace("\\\\n", "\\n"))
 def windowed_chunks(t: Tables) -> DataFrame:
     parts = t.documents.select("doc_id", F.posexplode(X.chunker()(F.col("text"))).alias("n", "content"))
     return parts.select(F.concat(F.col("doc_id").cast("string"), F.lit("_sub_"), F.col("n").cast("string")).alias("id"), "doc_id", "n", F.length("content").alias("n_chars"))
 
 
-@query("section_chunks", "C3", None)
+@query("section_chunks", "C3", r"""
+with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i, length(text) as len from documents where length(text) > 0),
+o as (select *, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as pos from l),
+c as (select doc_id, pos, len from o where regexp_matches(line, '^[^\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') or i = 1),
+s as materialized (select doc_id, (coalesce(lead(pos) over (partition by doc_id order by pos), len) - pos)::bigint as size, row_number() over (partition by doc_id order by pos) as i from c where pos < len),
+r as (select doc_id, i, [size] as p from s where i = 1 union all
+  select r.doc_id, s.i, case when p[-1] + size <= 800 then list_append(p[1:-2], p[-1] + size) else list_append(p, size) end from r join s on s.doc_id = r.doc_id and s.i = r.i + 1),
+f as (select doc_id, p from r qualify row_number() over (partition by doc_id order by i desc) = 1),
+t as (select doc_id, case when len(p) > 1 and p[-1] < 300 then list_append(p[1:-3], p[-2] + p[-1]) else p end as p from f)
+select doc_id, (generate_subscripts(p, 1) - 1)::int as n, unnest(p)::int as n_chars from t""")
 def section_chunks(t: Tables) -> DataFrame:
     parts = t.documents.select("doc_id", F.posexplode(X.section_packer(r"(?m)^(?=\S)")(F.col("text"))).alias("n", "content"))
     return parts.select("doc_id", "n", F.length("content").alias("n_chars"))
