@@ -142,6 +142,15 @@ def retrieval_mode(text: Column, names: dict[str, Sequence[str]], conjunctions:
     return F.when(count > 1, "route").when(joined, "decompose").when(count == 1, "detected").otherwise("global")
 
 
+def complexity(text: Column, triggers: Sequence[str], long: int = 400, short: int = 40) -> Column:
+    """complex: long, several questions, or a trigger; simple: short; else standard."""
+    several = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 1
+    asked = F.lit(False)
+    for x in triggers:
+        asked = asked | F.contains(F.lower(text), F.lit(x))
+    return F.when((F.length(text) > long) | several | asked, "complex").when(F.length(text) < short, "simple").otherwise("standard")
+
+
 def decomposed(text: Column, conjunctions: Sequence[str]) -> Column:
     """The parts between conjunctions, the first word shared by all of them."""
     parts = F.filter(F.split(text, "|".join(re.escape(c) for c in conjunctions)), lambda x: F.trim(x) != "")

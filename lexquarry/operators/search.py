@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -247,6 +248,15 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1))
 
 
+def model_score(scorer: Callable[[list[str], list[str]], list[float]], most: int = 500) -> Callable[[Column, Column], Column]:
+    """A reranker from a function of batches: it gets queries and the first `most` characters of texts, and gives scores."""
+    @F.pandas_udf("double")
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(queries.fillna("").to_list(), texts.fillna("").str.slice(0, most).to_list()), dtype="float64")
+
+    return score
+
+
 def expand_queries(queries: DataFrame, synonyms: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
     """Append the other words of every synonym group (term, extra) whose term the query has."""
     hits = queries.join(synonyms, F.contains(F.lower(text), F.col("term")), "left")
