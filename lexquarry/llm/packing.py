@@ -64,7 +64,7 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
 def pack(docs: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket (length is 2 ** bucket), ids, sequence_id, offset.
 
-    Map only: no shuffle, whatever the skew. Null text is empty and gives the one piece [end]; repeated rows give pieces each.
+    Map only: no shuffle, whatever the skew. doc_id is cast to long. Null text is empty and gives the one piece [end]; repeated rows give pieces each.
     sequence_id numbers pieces by partition and row, so it is unique and the same in reruns over the same files."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_text(F.col("text")).alias("text"))
     pieces = rows.mapInArrow(_packer(tokenizer or tokenizer_path(), most, end, with_ids), SCHEMA)

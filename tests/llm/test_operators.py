@@ -239,6 +239,54 @@ def test_near_duplicates(table, local):
     assert kept.count() == len(group) + sum(s is None for _, s in sets)
 
 
+@pytest.mark.parametrize(("pairs", "block"), [(2, 2048), (2, 7), (24, 16), (1000, 2048)])
+def test_bucket_sizes_change_nothing(table, monkeypatch, pairs, block):
+    """What is verified doesn't depend on how: buckets as pairs or as blocks, of any size."""
+    plain = sorted(str(tuple(r)) for r in ngram_join.near_duplicates(table).drop("rid").collect())
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    assert sorted(str(tuple(r)) for r in ngram_join.near_duplicates(table, pairs=pairs).drop("rid").collect()) == plain
+
+
+def test_recall_at_the_threshold(spark, tmp_path):
+    """Pairs of sets that are just like enough: hardly one may be missed."""
+    rng, docs = random.Random(12), []
+    for i in range(400):
+        w = [f"a{rng.randrange(10**6)}" for _ in range(100)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:45], "new", *w[46:95], *(f"b{j}" for j in range(95, 98 + i % 3))]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    sets = {d: ngrams(t) for d, t in docs}
+    alike = {2 * i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(400)}
+    want = {d for d, j in alike.items() if j >= 0.8}
+    assert len(want) > 100 and max(alike.values()) < 0.87
+    got = {r["doc_id"] for r in ngram_join.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).filter("n_links > 0 and doc_id % 2 = 0").collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_common_items():
+    rng = np.random.default_rng(5)
+    for few in (0, 30, 10**9):
+        left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(n)] for n in (23, 31))
+        got = ngram_join.common_items(left, right, width=7, few=few)
+        assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert ngram_join.common_items([], right).shape == (0, 31)
+
+
+def test_forest():
+    rng = np.random.default_rng(6)
+    links = rng.random((40, 50)) < 0.03
+    a, b = ngram_join.forest(links)
+    assert all(links[i, j] for i, j in zip(a, b, strict=True))
+
+    def parts(pairs):
+        root = list(range(90))
+        for i, j in pairs:
+            x, y = root[i], root[40 + j]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert parts(zip(a, b, strict=True)) == parts(np.argwhere(links).tolist())
+
+
 def test_bands():
     bands, height = ngram_join.choose_bands(0.8, 0.999, 160)
     assert bands * height <= 160 and 1 - (1 - 0.8**height) ** bands >= 0.999
@@ -318,6 +366,15 @@ def test_packing(table, coded):
     assert all(len(r["ids"]) == r["length"] for r in got)
 
 
+def test_buckets(table, spark, tmp_path):
+    packing.write_buckets(packing.pack(table), str(tmp_path / "b"))
+    got = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert all(len(r["ids"]) == 1 << r["bucket"] for r in got)
+    pieces = packing.pack(table).collect()
+    key = lambda r: (str(r["doc_id"]), r["start"], tuple(r["ids"]))
+    assert collections.Counter(map(key, got)) == collections.Counter(map(key, pieces))
+
+
 def test_wavelet(table, coded, spark, tmp_path):
     wavelet.write_shards(table, str(tmp_path / "w"), tokens=3000)
     got = wavelet.read_shards(spark, str(tmp_path / "w")).orderBy("start").collect()
@@ -377,6 +434,32 @@ def test_quality(table, local):
     assert quality.good_documents(table).count() == sum(n for k, n in want.items() if k[-1])
 
 
+def test_one_very_long_text():
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    w[40_000:40_300] = w[100:400]
+    got = quality.measures([" ".join(w).encode(), b"short text"])
+    assert got["n_words"] == [60_000, 2] and got["longest_repeat"] == [300, 0] and got["n_repeat_words"] == [600, 0]
+
+
+def test_rows_are_told_apart(spark, tmp_path):
+    """Row ids don't depend on how files are split; what is no file is stored; a cluster needs a shared folder."""
+    from lexquarry.llm import common
+
+    spark.range(5000).withColumn("text", F.lit("x" * 50)).repartition(3).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    ids = lambda: sorted(map(str, common.with_row_id(common.on_files(table)).select("id", "rid").collect()))
+    one = ids()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert ids() == one and len({r.split("rid=")[1] for r in one}) == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert common.on_files(table.filter("id > 3").select("text")).inputFiles() == table.inputFiles()
+    for other in (table.filter(F.rand(1) > 0.5), table.union(table), table.groupBy("id").count(), table.join(table.select("id"), "id"), table.limit(7)):
+        assert common.on_files(other).inputFiles() != table.inputFiles()
+
+
 def test_exact_dedup(table, local):
     groups = collections.defaultdict(list)
     for d, t, _ in local:
