@@ -38,8 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lexquarry-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexquarry-{what}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate tables made inside go when it ends, but those whose paths are put in the list."""
+    made: list[str] = []
+    kept: list[str] = []
+    _MADE.append(made)
+    try:
+        yield kept
+    finally:
+        _MADE.remove(made)
+        for path in set(made) - set(kept):
+            removed(spark, path)
 
 
 #: Frees a job's shuffle files when it ends: what it wrote is in the shared folder, so nothing reads them again.
