@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexquarry.llm.common import stored, table
+from lexquarry.llm.common import dropped, scratch, stored, table
 from lexquarry.llm.exact_dedup import without_copies
 from lexquarry.llm.mixing import mixed_documents
 from lexquarry.llm.ngram_join import one_of_each_group
@@ -60,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage and its operators stored goes when the next stage's documents are stored."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as kept:
+            out = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(out.stored_at)
+        if i:
+            dropped(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
