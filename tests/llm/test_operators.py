@@ -201,6 +201,31 @@ def test_mixing_slots_and_texts(table, local):
     assert all(collections.Counter(WORD.findall(r["text"])) <= words[r["doc_id"]] for r in docs.collect() if r["doc_id"] is not None)
 
 
+def test_drawn_counts(spark):
+    """Counts per shard follow the multinomial law given the totals, and totals are exact."""
+    want, shard = [6000, 3000, 997, 3], 10
+    plan = mixing.plan_sources(mixing.target_sources(spark.createDataFrame([(f"s{i}", n * 4, 1) for i, n in enumerate(want)], "source string, source_size long, rows long"), weights=(1,)), block=4)
+    rows = spark.createDataFrame([(i, n, sum(want[:i])) for i, n in enumerate(want)], "src int, slots long, base long")
+    plan = plan.drop("slots", "base").join(rows, "src").withColumns({"passes": F.lit(1).cast("long"), "blocks": F.col("slots"), "full": F.col("slots"), "tail": F.lit(0).cast("long"), "rest": F.lit(0).cast("long")})
+    slots = mixing.draw_slots(plan, 4, shard)
+    assert slots.rdd.getNumPartitions() > 1
+    got = np.zeros((1000, 4))
+    for r in mixing.shard_counts(slots).collect():
+        got[r["shard"], r["src"]] = r["n"]
+    assert got.sum(0).tolist() == want and (got.sum(1) == shard).all()
+    for i, n in enumerate(want[:3]):
+        p = n / 10_000
+        var = shard * p * (1 - p) * (10_000 - shard) / 9_999
+        assert abs(got[:, i].var() - var) < 5 * var * (2 / 1000) ** 0.5
+    blocks = collections.Counter((r["src"], r["block"]) for r in slots.collect())
+    assert set(blocks.values()) == {1} and len(blocks) == 10_000  # every block of a pass once
+    free = np.zeros((1000, 4))
+    for r in mixing.shard_counts(mixing.draw_sources(plan, shard)).collect():
+        free[r["shard"], r["src"]] = r["n"]
+    assert free.sum() == 10_000 and free.sum(0).tolist() != want and abs(free[:, 0].sum() - 6000) < 5 * 2400**0.5
+    assert np.corrcoef(got[:, 0], free[:, 0])[0, 1] > 0.9  # little is moved
+
+
 def ngrams(t):
     w = WORD.findall(t)
     n = min(5, len(w))
