@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
 from .ranking import top_k
 
 
@@ -58,6 +59,18 @@ def joined_text(df: DataFrame, by: Sequence[str], order: str, text: str, least:
     return trimmed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias(text))
 
 
+def numbered_rows(df: DataFrame, by: str, order: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 0 within `by`, however many a group has: numbers run within ranges of the order, and the ranges' counts are
+    summed over ranges. The rows are stored first, as ranges are drawn by sampling."""
+    ranged = settled(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()))
+    up = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    ahead = counts.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), (F.sum("__n").over(up) - F.col("__n")).alias("__ahead"))
+    within = ranged.withColumn("__in", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order)).cast("long") - 1)
+    joined = within.join(ahead, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumn(name, F.col("__ahead") + F.col("__in")).select(*df.columns, name)
+
+
 def containing(long: DataFrame, text: str, short: DataFrame, name: str) -> DataFrame:
     """(text, name): which texts contain which names, of columns that are distinct in their tables. Names meet texts on their first
     three characters (all, if shorter) among the texts' runs of that length, and only these pairs are compared."""

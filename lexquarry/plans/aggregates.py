@@ -128,9 +128,9 @@ def by_jurisdiction_list(t: Tables) -> DataFrame:
 with r as (select c_mktsegment, c_nationkey, c_custkey, row_number() over (partition by c_mktsegment order by c_custkey) as r from customer)
 select c_mktsegment, count(*) as laws, count(distinct c_nationkey) as jurisdictions, array_to_string(list(c_custkey order by c_custkey) filter (r <= 5), ',') as first_laws from r group by c_mktsegment""")
 def by_topic_first_laws(t: Tables) -> DataFrame:
-    r = R.ranked(t.customer, ["c_mktsegment"], [F.col("c_custkey")], "r")
-    first = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("c_custkey")))).cast("array<string>"), ",")
-    return r.groupBy("c_mktsegment").agg(F.count("*").alias("laws"), F.countDistinct("c_nationkey").alias("jurisdictions"), first.alias("first_laws"))
+    r = R.top_k(t.customer.select("c_mktsegment", "c_custkey"), ["c_mktsegment"], [F.col("c_custkey")], 5, "r")
+    first = r.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("first_laws"))
+    return t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("laws"), F.countDistinct("c_nationkey").alias("jurisdictions")).join(first, "c_mktsegment")
 
 
 @query("period_trend_cumulative", "A14 W7", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..operators import ranking as R
 from ..operators import search as S
 from .registry import Tables, query
@@ -321,10 +322,11 @@ with r as (select lang, doc_id, row_number() over (partition by lang order by do
 s as (select distinct lang, floor(k * (n - 1) / 19)::bigint as i from (select distinct lang, n from r), range(0, 20) t(k))
 select lang, doc_id, i from r join s using (lang, i)""")
 def evenly_spaced_sample(t: Tables) -> DataFrame:
-    w = Window.partitionBy("lang")
-    r = t.documents.select("lang", "doc_id").withColumn("i", F.row_number().over(w.orderBy("doc_id")).cast("long") - 1).withColumn("n", F.count("*").over(w))
+    r = O.numbered_rows(t.documents.select("lang", "doc_id"), "lang", ["doc_id"], "i")
+    n = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor(k * (F.col("n") - 1) / 19))
-    return r.filter(F.array_contains(wanted, F.col("i"))).select("lang", "doc_id", "i")
+    places = n.select("lang", F.explode(F.array_distinct(wanted)).alias("i"))
+    return r.join(places, ["lang", "i"]).select("lang", "doc_id", "i")
 
 
 @query("score_softmax", "R21", """

@@ -60,11 +60,13 @@ def table_counts(t: Tables) -> DataFrame:
 
 
 @query("report_cache_listing", "S27 S28", """
-with c as (select c_mktsegment || '::' || c_nationkey as id, md5(string_agg(c_custkey::varchar, ',' order by c_custkey)) as fingerprint, max(c_acctbal) as seen from customer group by all)
+with h as (select c_mktsegment || '::' || c_nationkey as id, c_acctbal, list_reduce(list_transform(string_split(substr(md5(c_custkey::varchar), 1, 8), ''), lambda c: (instr('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b) as x from customer),
+c as (select id, md5(count(*) || ':' || sum(x)::bigint) as fingerprint, max(c_acctbal) as seen from h group by id)
 select id, fingerprint, row_number() over (order by seen desc, id)::int as place from c qualify place <= 50""")
 def report_cache_listing(t: Tables) -> DataFrame:
-    keys = F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",")
-    c = t.customer.groupBy(F.concat_ws("::", "c_mktsegment", _text("c_nationkey")).alias("id")).agg(F.md5(keys).alias("fingerprint"), F.max("c_acctbal").alias("at"), F.lit(1).alias("one"))
+    # Order does not matter to a sum of hashes, so a group's rows are folded map-side and never gathered.
+    keys = F.sum(F.conv(F.substring(F.md5(_text("c_custkey")), 1, 8), 16, 10).cast("long"))
+    c = t.customer.groupBy(F.concat_ws("::", "c_mktsegment", _text("c_nationkey")).alias("id")).agg(F.md5(F.concat_ws(":", F.count("*").cast("string"), keys.cast("string"))).alias("fingerprint"), F.max("c_acctbal").alias("at"), F.lit(1).alias("one"))
     return R.top_k(c, ["one"], [F.desc("at"), F.col("id")], 50, "place").select("id", "fingerprint", "place")
 
 
