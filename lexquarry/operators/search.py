@@ -69,6 +69,11 @@ def _indexed(vocabulary: list[str], n: int):
     return index
 
 
+def _codes(*columns: pa.Array) -> np.ndarray:
+    """Numbers for the values of columns, one after the other; null is -1."""
+    return pa.chunked_array(list(columns)).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
 def _scored(ids: list, has: np.ndarray, boosts: list[float], idf: list[np.ndarray], mean: list[float], k: int, k1: float, b: float, kind: pa.DataType, rows: int = 512):
     """The k best documents of each query and group, with all that tie, of a slice of documents."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +93,7 @@ def _scored(ids: list, has: np.ndarray, boosts: list[float], idf: list[np.ndarra
                     w[doc, np.searchsorted(use, term)] = idf[f][term] * tf * (k1 + 1) / (tf + norm[doc])
                     best = np.maximum(best, boost * (w @ has[use]))
                 best = np.round(best, 6)
-                groups = np.unique(np.array(batch["grp"].to_pylist(), object).astype(str), return_inverse=True)[1]
+                groups = np.unique(_codes(batch["grp"]), return_inverse=True)[1]
                 hit = np.zeros(best.shape, bool)
                 for g in range(int(groups.max()) + 1 if len(groups) else 0):
                     mine = np.flatnonzero(groups == g)
@@ -146,13 +151,14 @@ def _nearest(k: int, skip_self: bool, same: bool | None):
         for batch in batches:
             for left, right in zip(batch["left"], batch["right"], strict=True):
                 sides = [(x.values.field("id").to_numpy(), x.values.field("v"), x.values.field("g")) for x in (left, right)]
-                (a_id, a, a_g), (b_id, b, b_g) = ((i, v.flatten().to_numpy().reshape(len(i), -1), g.to_pylist()) for i, v, g in sides)
+                (a_id, a, a_g), (b_id, b, b_g) = ((i, v.flatten().to_numpy().reshape(len(i), -1), g) for i, v, g in sides)
                 cos = a @ b.T
                 if skip_self:
                     cos[a_id[:, None] == b_id[None, :]] = -np.inf
                 if same is not None:
-                    code = np.unique(np.array([str(g) for g in a_g + b_g]), return_inverse=True)[1]
-                    cos[(code[: len(a_g), None] == code[None, len(a_g) :]) != same] = -np.inf
+                    code = _codes(a_g, b_g)
+                    x, y = code[: len(a_g), None], code[None, len(a_g) :]
+                    cos[((x == y) != same) | (x < 0) | (y < 0)] = -np.inf
                 # all that tie with the k-th stay, so that ties are settled by id later
                 least = -np.sort(-np.round(cos, 9), 1)[:, min(k, cos.shape[1]) - 1]
                 rows, cols = np.nonzero((np.round(cos, 9) >= least[:, None]) & np.isfinite(cos))
@@ -166,7 +172,7 @@ def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_s
 
     Rows are packed into blocks, and every pair of blocks is one matrix product, of which k rows per left vector leave the task: the
     work is the product itself. With `group`, only neighbours of the same group (same) or of other groups count: the product's other
-    cells are masked before the cut to k. The work grows with left times right; knn_probed() is for large tables."""
+    cells are masked before the cut to k; a row without a group has no such neighbours. The work grows with left times right; knn_probed() is for large tables."""
     g = F.col(group) if group else F.lit(None)
     a = _blocks(left, key, vector, g, block).select(F.col("rows").alias("left"))
     b = _blocks(right, key, vector, g, block).select(F.col("rows").alias("right"))

@@ -75,6 +75,12 @@ def knn_topk_per_query(t: Tables) -> DataFrame:
     return _rounded(S.knn(t.embeddings, t.embeddings, "vec_id", "embedding", 5))
 
 
+@query("knn_inverted_file", "T1 O1", "with " + knn_sql(5, "x.vec_id % 20 = 0 and x.vec_id <> y.vec_id") + " select a, b, cosine, rank from k")
+def knn_inverted_file(t: Tables) -> DataFrame:
+    """The inverted file with every cell probed, where it is exact."""
+    return _rounded(S.knn_probed(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 5, cells=16, probes=16))
+
+
 @query("knn_excluding_own_label", "J12 T3 R20", "with " + knn_sql(5, "x.label <> y.label") + " select a, b, cosine, rank from k")
 def knn_excluding_own_label(t: Tables) -> DataFrame:
     return _rounded(S.knn_within(t.embeddings, "label", "vec_id", "embedding", 5, same=False)).select("a", "b", "cosine", "rank")

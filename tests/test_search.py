@@ -72,7 +72,7 @@ def vectors(spark, n, width=16):
     v = centres[rng.integers(0, 20, n)] + 0.6 * rng.normal(size=(n, width))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)]
-    return v, spark.createDataFrame([*rows, (n, None, 1)], "id long, v array<double>, g int").repartition(4)
+    return v, spark.createDataFrame([*rows, (n, None, 1), (n + 1, v[0].tolist(), None)], "id long, v array<double>, g int").repartition(4)
 
 
 def test_neighbours_within_groups(spark):
@@ -81,6 +81,7 @@ def test_neighbours_within_groups(spark):
     np.fill_diagonal(cos, -9)
     for same in (True, False):
         got = {(r["a"], r["rank"]): r["b"] for r in S.knn_within(df, "g", "id", "v", 4, same).collect()}
+        assert not any(301 in (r["a"], r["b"]) for r in S.knn_within(df, "g", "id", "v", 4, same).collect())
         for a in range(0, 300, 7):
             allowed = [b for b in range(300) if (b % 3 == a % 3) == same and b != a]
             best = sorted(allowed, key=lambda b: (-cos[a, b], b))[:4]
