@@ -102,3 +102,28 @@ a as (select rid, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0)::bigint as n_linked from t left join a using (rid)
 """
+
+ORACLES["op11_hard_negatives"] = """
+with q as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from q a join q b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+s as (select anchor_id, other as positive_id, score as positive_score from p where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::int as rank, other as negative_id, positive_score, score as negative_score
+from s join p using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10
+"""
+
+ORACLES["op12_filter_audit"] = rf"""
+with {_WORDS},
+f as (select d.doc_id, coalesce(lang, '') as part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text),
+    regexp_matches(w.text, '[#$%&*|]'), d.doc_id > min(d.doc_id) over (partition by w.text)] as fails,
+    coalesce(quality = 1, false)::int as good, coalesce(toxic = 1, false)::int as bad
+  from documents d join w using (doc_id) left join labels using (doc_id)),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest(range(1, 6)) as i),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order, [a.i, b.i, c.i, d.i, e.i] as seq from l a, l b, l c, l d, l e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(bad) as bad, len(list_filter(fails, lambda y: y)) as n_fails from f group by all),
+s as (select part, filter_order, k as step, seq[k] as i, fails[seq[k]] as now, list_bool_or(list_transform(seq[1:k - 1], lambda j: fails[j])) as before, n, good, bad, n_fails from c, o, (select unnest(range(1, 6)) as k)),
+r as (select part, filter_order, step, i, sum(n) filter (not now and not coalesce(before, false)) as kept, sum(n) filter (now and not coalesce(before, false)) as removed, sum(n) filter (now and before) as redundant,
+    sum(n) filter (now and n_fails = 1) as unique_fails, sum(good) filter (now and not coalesce(before, false)) as good_lost, sum(bad) filter (now and not coalesce(before, false)) as toxic_lost from s group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, (sum(coalesce(removed, 0)) over (partition by part, i))::bigint as shapley from r
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, packing, quality, secret_scan, sharding, substring_dedup, warc, wavelet
+from . import exact_dedup, filter_audit, hard_negatives, mixing, ngram_join, packing, quality, secret_scan, sharding, substring_dedup, toxicity, warc, wavelet
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_sharding": sharding.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_toxicity": toxicity.query,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
