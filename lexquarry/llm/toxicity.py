@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, cpu_bound_python, free_name, hashed_words, mixed, normal_text, paired, scratch, stored, table
 
@@ -87,7 +88,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % PARTS == HELD_OUT
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, least: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, epochs: int = 12) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, least: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 12) -> DataFrame:
     """(feature, weight), stored; the bias has a null feature. Fitted on at most about `sample` labelled rows that aren't held out,
     drawn by the hash of doc_id, and FEATURES features of them; features of fewer than `least` rows are left out. FTRL goes through the
     sample row after row, so one task does it: the two bounds are its size. Without any labelled row there are no weights."""
@@ -127,7 +128,7 @@ def scored(docs: DataFrame, weights: DataFrame, text: str = "text") -> DataFrame
                     out[i] += w[at][keys[at] == x].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, docs.schema.add(name, "double"))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
