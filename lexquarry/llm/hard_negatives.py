@@ -88,7 +88,7 @@ def _against(width: int, whole: str, same: bool, seen: Callable, names: list[str
     return lay
 
 
-def _counted(w: dict, s: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+def _counted(w: dict, s: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Rows of a window by digit, up to the digit with which this block alone has all that the window still wants: a later digit
     can't hold the k-th row, and the one that does is counted in every block."""
     if w["by_id"]:
@@ -100,7 +100,7 @@ def _counted(w: dict, s: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int
         counts = np.bincount(keys >> w["shift"])
         stop = int(np.searchsorted(np.cumsum(counts), w["left"])) + 1
         digits = np.flatnonzero(counts[:stop])
-        yield from zip(digits.tolist(), counts[digits].tolist(), strict=True)
+        yield from zip(digits.tolist(), counts[digits].tolist(), [w["left"]] * len(digits), strict=True)
 
 
 def _gathered(k: int):
@@ -129,16 +129,16 @@ def select(blocks: DataFrame, anchors: DataFrame, windows: DataFrame, k: int, sa
 
     def lay(open_windows: DataFrame, columns: list[str], seen: Callable, made: list[str], shape: str) -> DataFrame:
         grouped = open_windows.groupBy("ablock").agg(F.collect_list(F.struct("a", "w", *columns)).alias("windows"))
-        return blocks.crossJoin(anchors.join(grouped, "ablock")).mapInArrow(_against(width, whole, same, seen, ["ablock", "a", "w", *made]), f"{number}, {shape}")
+        laid = stored(anchors.join(grouped, "ablock"), "laid")  # few files, so that blocks times these are few tasks
+        return blocks.crossJoin(laid).mapInArrow(_against(width, whole, same, seen, ["ablock", "a", "w", *made]), f"{number}, {shape}")
 
     while True:
         open_windows = state.filter(~F.col("done"))
         if open_windows.isEmpty():
             break
-        counts = lay(open_windows, _WINDOW, _counted, ["digit", "n"], "digit long, n long").groupBy(*key, "digit").agg(F.sum("n").alias("n"))
+        counts = lay(open_windows, _WINDOW, _counted, ["digit", "n", "left"], "digit long, n long, left long").groupBy(*key, "digit", "left").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy(*key).orderBy("digit"))
-        total = F.sum("n").over(Window.partitionBy(*key))
-        placed = counts.select(*key, "digit", "n", upto.alias("upto"), total.alias("total")).join(open_windows.select(*key, "left"), key)
+        placed = counts.select(*key, "digit", "n", "left", upto.alias("upto"))
         held = placed.filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left"))).select(*key, "digit", "n", (F.col("left") - F.col("upto") + F.col("n")).alias("rest"))
         size = F.expr("shiftleft(1L, shift)")
         begin = F.expr("shiftleft(digit, shift)")

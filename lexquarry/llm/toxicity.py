@@ -126,7 +126,9 @@ def scored(docs: DataFrame, weights: DataFrame, text: str = "text") -> DataFrame
                     x = x[maybe[x >> np.uint64(46)]]
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     out[i] += w[at][keys[at] == x].sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))], names=[*batch.schema.names, name])
+            with np.errstate(over="ignore"):
+                chance = 1 / (1 + np.exp(-out))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
