@@ -69,14 +69,18 @@ def _fitted(least: int, alpha: float, beta: float, l1: float, l2: float, epochs:
                     y.append(float(label))
         if not held:
             return
-        seen = np.zeros(1 << 24, np.uint16)  # an upper bound of how many rows have a feature
+        seen = np.zeros(1 << 26, np.uint8)  # an upper bound of how many rows have a feature
         for x in held:
-            slots = np.unique(x >> np.uint64(40))
-            seen[slots] = np.minimum(seen[slots], 60_000) + 1
-        often = [x[seen[x >> np.uint64(40)] >= least] for x in held]
-        names, place = np.unique(np.concatenate(often), return_inverse=True)
+            slots = np.unique(x >> np.uint64(38))
+            seen[slots] = np.minimum(seen[slots], 254) + 1
+        for i, x in enumerate(held):  # most features are of one row: they go before anything is copied
+            held[i] = x[seen[x >> np.uint64(38)] >= least]
+        del seen
+        names, place = np.unique(np.concatenate(held), return_inverse=True)
+        sizes = [len(x) for x in held]
+        held.clear()
         bias = len(names)
-        cuts = np.split(place, np.cumsum([len(x) for x in often])[:-1])
+        cuts = np.split(place.astype(np.int32), np.cumsum(sizes)[:-1])
         w = ftrl([np.append(x, bias) for x in cuts], np.array(y), bias + 1, alpha, beta, l1, l2, epochs)
         kept = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_arrays([pa.array([None, *names[kept].view(np.int64).tolist()], pa.int64()), pa.array(np.append(w[-1], w[kept]))], names=["feature", "weight"])
