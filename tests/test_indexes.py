@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.operators import search as S
 from lexquarry.operators.inverted import LexicalIndex
+from lexquarry.operators.vector_index import VectorIndex
 
 WORDS = [f"w{i}" for i in range(80)]
 
@@ -99,3 +100,65 @@ def test_index_with_string_keys_and_nothing_in_it(spark, tables, tmp_path):
     index.add(named)
     assert rows(index.search(queries, 3)) == rows(S.bm25_top(named, queries, 3))
     assert index.search(queries.limit(0), 3).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 24))[rng.integers(0, 30, 3000)] + 0.7 * rng.normal(size=(3000, 24))
+    v[2000:2900] = v[2000]  # one very common vector
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(3000, None)]
+    return v, spark.createDataFrame(rows, "id long, v array<double>").repartition(4).cache()
+
+
+def test_vector_index_finds_nearly_all(spark, vectors, tmp_path):
+    """Probes well under cells; every vector is indexed, in two batches; what is found has its exact cosine."""
+    v, df = vectors
+    index = VectorIndex(spark, str(tmp_path))
+    index.fit(df.filter("id < 1500"), "v", cells=40)
+    index.add(df.filter("id < 1000 or id is null"), "id", "v")
+    index.add(df.filter("id >= 1000"), "id", "v")
+    assert index.count() == 3000
+    asked = df.filter("id % 20 = 0")
+    got = index.search(asked, 10, "id", "v", probes=10).collect()
+    cos = v @ v.T
+    np.fill_diagonal(cos, -9)
+    assert all(abs(r["cosine"] - cos[r["a"], r["b"]]) < 1e-6 for r in got)
+    assert sorted({r["a"] for r in got}) == [i for i in range(3000) if i % 20 == 0] and all(r["rank"] <= 10 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["a"], set()).add(r["b"])
+    hits = 0
+    for a in by:
+        least = np.sort(cos[a])[-10]
+        hits += sum(cos[a, b] >= least - 1e-9 for b in by[a])
+        assert len(by[a]) == 10
+    assert hits / (10 * len(by)) >= 0.9
+
+
+def test_vector_index_with_every_cell_is_exact(spark, vectors, tmp_path):
+    _, df = vectors
+    some = df.filter("id < 400")
+    index = VectorIndex(spark, str(tmp_path))
+    index.fit(some, "v", cells=8)
+    index.add(some, "id", "v")
+    asked = some.filter("id % 20 = 0")
+    pairs = lambda d: {(r["a"], r["b"]) for r in d.collect()}
+    assert pairs(index.search(asked, 5, "id", "v", probes=8, again=400)) == pairs(S.knn(asked, some, "id", "v", 5))
+    index.delete(some.filter("id between 100 and 299"), "id")
+    left = some.filter("id not between 100 and 299")
+    assert index.count() == 200
+    assert pairs(index.search(asked, 5, "id", "v", probes=8, again=400)) == pairs(S.knn(asked, left, "id", "v", 5))
+    index.add(some.filter("id between 100 and 299"), "id", "v")
+    assert pairs(index.search(asked, 5, "id", "v", probes=8, again=400)) == pairs(S.knn(asked, some, "id", "v", 5))
+
+
+def test_vector_index_of_nothing(spark, vectors, tmp_path):
+    _, df = vectors
+    index = VectorIndex(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        index.fit(df.filter("v is null"), "v")
+    index.fit(df.limit(5), "v", cells=3)
+    index.add(df.limit(0), "id", "v")
+    assert index.search(df.limit(3), 2, "id", "v").count() == 0 and index.count() == 0
