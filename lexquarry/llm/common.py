@@ -76,12 +76,12 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. Survives lost executors."""
+def stored(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder, in folders of `by`, and read it again. Survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, what)
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

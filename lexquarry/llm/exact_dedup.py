@@ -1,17 +1,19 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame functions only.
 
-Memtables: rows are dealt into runs of about MEMTABLE rows, each run keeps one entry per digest (how many, and which row stays), and
-is flushed as Parquet files sorted by digest. Compaction: while a level has over FANOUT runs, they are merged in groups of FANOUT
-into runs of the next level, all groups at once, so levels grow with the logarithm of the input. Of each digest the row with the
-most code points stays, then the smallest identifier.
-
-Filters: every batch that is added leaves a Bloom filter, as rows (word_no, bits) of 64-bit words, made by bit_or. A later batch is
-probed against the filters by an equality join on word_no, which reads two bytes or so an entry; only digests that some filter
-may hold are looked up in the runs. A hit (a row whose digest another row keeps) is then compared byte by byte with the kept text.
+Memtables: rows come in BATCHES batches. A batch is dealt by digest into memtables of about MEMTABLE rows, each of which keeps one
+entry per digest (how many, and which row stays) and is flushed as a run sorted by digest. Compaction: when a level has over FANOUT
+runs, they are merged in groups of FANOUT into runs of the next level, all groups at once, so levels grow with the logarithm of the
+input. Of each digest the row with the most code points stays, then the smallest identifier.
+
+Filters: every batch leaves a Bloom filter, as rows (word_no, bits) of 64-bit words, made by bit_or. Each batch is probed against the
+filters of those before it by an equality join on word_no, which reads two bytes or so an entry. Only digests that an earlier filter
+may hold, or that came twice in their own batch, are looked up in the runs. A hit (a row whose digest another row keeps) is then
+compared byte by byte with the kept text.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, dropped, kept_rows, normal_text, on_files, removed, shared_path, shuffles_freed, stored, table, with_row_id
 
+BATCHES = 5
 MEMTABLE = 1_000_000
-FANOUT = 8
+FANOUT = 3
 #: Entries a filter word, and bits set for each: with 10 bits an entry a blocked filter passes some 2 % of strangers.
 PER_WORD = 6
 BITS = 4
@@ -81,16 +84,18 @@ class Index:
     def _read(self, level: int) -> DataFrame:
         return self.spark.read.parquet(*self.levels[level])
 
-    def add(self, rows: DataFrame, count: int) -> None:
-        """Flush a batch of `count` entries, write its filter, and compact what is due. A memtable folds its copies before they are
-        shuffled, so a digest with a third of all rows is one entry of each run."""
+    def add(self, rows: DataFrame, count: int) -> DataFrame:
+        """Flush a batch of `count` entries, write its filter, and compact what is due; returns the digests (stored) that may have come
+        before: those that an earlier batch's filter may hold or that the batch has twice. A memtable folds its copies before they
+        are shuffled, so a digest with a third of all rows is one entry."""
         new = max(1, -(-count // self.memtable))
-        run = F.pmod(F.xxhash64("rid"), F.lit(new)).cast("int") + (self.runs[0] if self.runs else 0)
+        run = F.pmod(F.xxhash64("digest", F.lit("run")), F.lit(new)).cast("int") + (self.runs[0] if self.runs else 0)
         memtables = rows.groupBy(run.alias("run"), "digest").agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
-        before = len(self.levels[0]) if self.levels else 0
         self._write(memtables, 0, new)
+        flushed = self.spark.read.parquet(self.levels[0][-1])
+        twice = flushed.filter("n > 1").select("digest")
+        again = stored(self.maybe(flushed.filter("n = 1").select("digest")).unionByName(twice), "lsm-again")
         words = max(1, -(-count // PER_WORD))
-        flushed = self.spark.read.parquet(self.levels[0][before])
         path = f"{self.path}/filter={len(self.filters)}"
         with shuffles_freed(self.spark):
             flushed.groupBy(_word(F.lit(words)).alias("word_no")).agg(F.bit_or(_mask()).alias("bits")).write.parquet(path)
@@ -99,6 +104,7 @@ class Index:
         while self.runs[level] > self.fanout:
             self.compact(level)
             level += 1
+        return again
 
     def compact(self, level: int) -> None:
         """Merge a level's runs in groups of FANOUT into runs of the next level."""
@@ -111,10 +117,10 @@ class Index:
         for path in old:
             removed(self.spark, path)
 
-    def everything(self) -> DataFrame:
-        """digest, best, n over all runs."""
+    def entries_of(self, digests: DataFrame) -> DataFrame:
+        """digest, best, n over all runs, of these digests (one column, each once)."""
         paths = [p for level in self.levels for p in level]
-        return _merged(self.spark.read.parquet(*paths))
+        return _merged(self.spark.read.parquet(*paths).join(digests, "digest", "left_semi"))
 
     def maybe(self, rows: DataFrame) -> DataFrame:
         """The rows (with a digest) that some filter may hold: all that the index has, and a few strangers."""
@@ -128,7 +134,7 @@ class Index:
 
     def lookup(self, digests: DataFrame) -> DataFrame:
         """digest, best, n of those digests (one column, each once) that the index has. Runs are read only for what passes a filter."""
-        return self.maybe(digests).join(self.everything(), "digest")
+        return self.entries_of(self.maybe(digests))
 
     def drop(self) -> None:
         removed(self.spark, self.path)
@@ -145,11 +151,13 @@ def compared(docs: DataFrame) -> DataFrame:
     """Per row of docs, which is on_files(): rid, doc_id, keep_id, n, digest, hit, same. A hit is a row whose digest another row keeps;
     same tells of a hit whether its whole normalised text is the keeper's, and is null for other rows. Stored."""
     spark = docs.sparkSession
-    rows = stored(entries(docs), "lsm-rows")
+    rows = stored(entries(docs).withColumn("batch", F.pmod(F.xxhash64("rid", F.lit("batch")), F.lit(BATCHES)).cast("int")), "lsm-rows", "batch")
+    counts = dict(rows.groupBy("batch").agg(F.count("*")).collect())
     index = Index(spark, shared_path(spark, "lsm"))
-    index.add(rows, rows.count())
-    # Only digests that the index has seen more than once are joined back. They are stored first, so that a hot digest can be split.
-    often = stored(index.everything().filter("n > 1").select("digest", "n", F.col("best.rid").alias("keeper"), F.col("best.doc_id").alias("keep_id")), "lsm-often")
+    again = [index.add(rows.filter(F.col("batch") == b), counts.get(b, 0)) for b in range(BATCHES)]
+    suspects = functools.reduce(DataFrame.unionByName, again).distinct()
+    # They are stored, so that a hot digest can be split when rows are joined with them.
+    often = stored(index.entries_of(suspects).filter("n > 1").select("digest", "n", F.col("best.rid").alias("keeper"), F.col("best.doc_id").alias("keep_id")), "lsm-often")
     found = stored(rows.select("rid", "doc_id", "digest").join(often, "digest", "left"), "lsm-found")
     index.drop()
     # Texts are fetched by row id, a key without skew, for groups only; each hit then meets its keeper's text. Both sides of
@@ -161,7 +169,7 @@ def compared(docs: DataFrame) -> DataFrame:
     alone = F.col("keeper").isNull()
     out = found.join(checked, "rid", "left").select("rid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("n"), "digest", (~alone & (F.col("rid") != F.col("keeper"))).alias("hit"), "same")
     out = stored(out, "lsm-compared")
-    dropped(rows, often, found, members, checked)
+    dropped(rows, often, found, members, checked, *again)
     return out
 
 

@@ -506,7 +506,8 @@ def test_index_grows_and_filters(spark, tmp_path):
     index.add(made(0, 1000, 1), 1000)
     assert len(index.levels) == 4 and max(index.runs) <= 3  # 50 runs, then 17, 6 and 2
     index.add(made(500, 1500, 5), 200)
-    got = {r["digest"]: (r["best"]["doc_id"], r["n"]) for r in index.everything().collect()}
+    every = made(0, 9000, 1).select("digest")
+    got = {r["digest"]: (r["best"]["doc_id"], r["n"]) for r in index.entries_of(every).collect()}
     want = {hashlib.sha256(str(i).encode()).hexdigest(): (i, 1 + (i >= 500 and i % 5 == 0) if i < 1000 else 1) for i in [*range(1000), *range(1000, 1500, 5)]}
     assert got == want
     probe = made(900, 9000, 1).select("digest")
@@ -516,6 +517,29 @@ def test_index_grows_and_filters(spark, tmp_path):
     assert {r["digest"] for r in index.lookup(probe).collect()} == inside
 
 
+def test_query_compacts_and_probes(spark, table, monkeypatch):
+    """The query's own index: batches are probed against the filters before them, which stop most rows, and levels are merged."""
+    seen, merged, real_add, real_compact = [], [], exact_dedup.Index.add, exact_dedup.Index.compact
+
+    def add(self, rows, count):
+        again = real_add(self, rows, count)
+        digests = {r["digest"] for r in rows.select("digest").collect()}
+        earlier = set().union(*(x[1] for x in seen))
+        seen.append((len(self.filters), digests, again.count(), list(self.runs)))
+        found = {r["digest"] for r in again.collect()}
+        assert digests & earlier <= found
+        return again
+
+    monkeypatch.setattr(exact_dedup.Index, "add", add)
+    monkeypatch.setattr(exact_dedup.Index, "compact", lambda self, level: (merged.append(level), real_compact(self, level)))
+    many = spark.range(3000).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 2900).cast("string")).alias("text"))
+    out = exact_dedup.dedup(many).collect()
+    assert sum(not r["kept"] for r in out) == 100 and all(r["group_size"] == (2 if r["keep_id"] < 10_100 else 1) for r in out)
+    assert [x[0] for x in seen] == [1, 2, 3, 4, 5] and merged
+    assert sum(x > 0 for x in seen[-1][3]) > 1  # runs on several levels
+    assert sum(x[2] for x in seen) < 0.2 * 3000  # the filters stop the rest
+
+
 def test_texts_that_share_a_digest(spark, tmp_path, monkeypatch):
     docs = [(1, "one text"), (2, "another"), (3, "one  text"), (4, "alone")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
