@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keywords import occurring
+
 NUMERALS = "零〇一二三四五六七八九十百千万两"  # fixed values
 FULL_WIDTH = "０１２３４５６７８９"
 
@@ -206,8 +208,9 @@ def midpoint_split(text: Column, mark: str = "。") -> Column:
 
 def classified(docs: DataFrame, taxonomy: DataFrame, doc: str, text: str, least: float = 1.0) -> DataFrame:
     """(doc, topic, score, matched): weights of the keywords (topic, keyword, kind) that occur, 1 for strong and 0.3 for weak; a topic
-    goes if an `exclude` keyword of it occurs or the sum is under `least`. The taxonomy is a small configured table."""
-    hits = docs.select(F.col(doc), F.lower(text).alias("__t")).join(taxonomy, F.contains(F.col("__t"), F.lower("keyword")))
+    goes if an `exclude` keyword of it occurs or the sum is under `least`. Texts are read once, whatever the number of keywords."""
+    rules = taxonomy.withColumn("__word", F.lower("keyword"))
+    hits = occurring(docs.select(doc, F.lower(text).alias("__t")), F.col("__t"), rules, "__word").drop("__t").join(rules, "__word")
     weight = F.when(F.col("kind") == "strong", 1.0).when(F.col("kind") == "weak", 0.3).otherwise(0.0)
     got = hits.groupBy(doc, "topic").agg(F.round(F.sum(weight), 2).alias("score"), F.array_sort(F.collect_set(F.when(F.col("kind") != "exclude", F.col("keyword")))).alias("matched"), F.bool_or(F.col("kind") == "exclude").alias("veto"))
     return got.filter(~F.col("veto") & (F.col("score") >= least)).drop("veto")

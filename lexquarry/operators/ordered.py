@@ -71,20 +71,37 @@ def numbered_rows(df: DataFrame, by: str, order: Sequence[str], name: str) -> Da
     return joined.withColumn(name, F.col("__ahead") + F.col("__in")).select(*df.columns, name)
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text; of a shorter one, itself."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(runs)
+
+
 def containing(long: DataFrame, text: str, short: DataFrame, name: str) -> DataFrame:
-    """(text, name): which texts contain which names, of columns that are distinct in their tables. Names meet texts on their first
-    three characters (all, if shorter) among the texts' runs of that length, and only these pairs are compared."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
-    keyed = long.select(text, F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("__key"))
-    head = F.substring(name, 1, 3)
-    met = keyed.join(short.filter(F.col(name) != "").select(name, head.alias("__key")), "__key").filter(F.contains(F.col(text), F.col(name)))
-    return met.select(text, name)
+    """(text, name): which texts contain which names, of columns that are distinct in their tables.
+
+    Texts are indexed by their runs of three characters, as rows of a run and the text's digest. A name meets the texts that have its
+    rarest run (names of one or two characters: the texts' runs of that length), and only then are the texts fetched and compared."""
+    texts = long.filter(F.col(text).isNotNull()).select(F.unhex(F.md5(text)).alias("__id"), F.col(text).alias("__text")).distinct()
+    names = short.filter(F.col(name) != "").select(F.col(name).alias("__name")).distinct()
+    kinds = F.array_distinct(F.concat(grams(F.col("__text"), 1), grams(F.col("__text"), 2), grams(F.col("__text"), 3)))
+    wanted = names.select("__name", F.explode(grams(F.col("__name"))).alias("__gram"))
+    index = settled(texts.select("__id", F.explode(kinds).alias("__gram")).join(wanted.select("__gram").distinct(), "__gram", "left_semi"))
+    often = wanted.join(index.groupBy("__gram").agg(F.count("*").alias("__n")), "__gram", "left")
+    rarest = often.groupBy("__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("gram"))).alias("__best"))
+    met = rarest.filter("__best.n > 0").select("__name", F.col("__best.gram").alias("__gram")).join(index, "__gram").select("__id", "__name")
+    return met.join(texts, "__id").filter(F.contains("__text", "__name")).select(F.col("__text").alias(text), F.col("__name").alias(name))
 
 
 def prefixed(long: DataFrame, text: str, short: DataFrame, prefix: str) -> DataFrame:
-    """Rows of long with each row of short whose prefix the text begins with: an equality join on all beginnings of a text."""
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), F.lit(1), i))
-    return long.withColumn("__start", F.explode(starts)).join(short, F.col("__start") == F.col(prefix)).drop("__start")
+    """Rows of long with each row of short whose prefix the text begins with: beginnings of the prefixes' lengths meet prefixes by
+    equality, with the text's digest in place of the text, and rows of long meet what was found."""
+    lengths = short.select(F.length(prefix).alias("n")).distinct()
+    every = lengths.agg(F.array_sort(F.collect_set("n")).alias("__lengths"))  # numbers up to the longest prefix
+    texts = long.select(F.col(text).alias("__text")).filter("__text is not null").distinct().join(every)
+    starts = texts.select(F.unhex(F.md5("__text")).alias("__id"), F.explode(F.transform(F.filter("__lengths", lambda n: n <= F.length("__text")), lambda n: F.substr(F.col("__text"), F.lit(1), n))).alias("__start"))
+    met = starts.join(short, F.col("__start") == F.col(prefix)).drop("__start")
+    return long.withColumn("__id", F.unhex(F.md5(text))).join(met, "__id").drop("__id")
 
 
 def greedy_distinct(items: Column, most_alike: float) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .graph import settled
+from .keywords import occurring
 from .ranking import rrf, top_k
 
 K1, B = 1.2, 0.75  # fixed values
@@ -265,7 +266,8 @@ def model_score(scorer: Callable[[list[str], list[str]], list[float]], most: int
 
 def expand_queries(queries: DataFrame, synonyms: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
     """Append the other words of every synonym group (term, extra) whose term the query has."""
-    hits = queries.join(synonyms, F.contains(F.lower(text), F.col("term")), "left")
+    found = occurring(queries.select(query, text), F.lower(text), synonyms, "term").join(synonyms, "term").select(F.col(query).alias("__q"), F.col(text).alias("__t"), "extra")
+    hits = queries.join(found, F.col(query).eqNullSafe(F.col("__q")) & (F.col(text) == F.col("__t")), "left")
     return hits.groupBy(query, text).agg(F.array_sort(F.collect_set("extra")).alias("extra")).withColumn("expanded", F.concat_ws(" ", F.col(text), F.when(F.size("extra") > 0, F.array_join("extra", " "))))
 
 
