@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, dropped, kept_rows, normal_text, on_files, removed, shared_path, shuffles_freed, stored, table, with_row_id
 
-BATCHES = 5
+BATCHES = 4
 MEMTABLE = 1_000_000
-FANOUT = 3
+FANOUT = 2
 #: Entries a filter word, and bits set for each: with 10 bits an entry a blocked filter passes some 2 % of strangers.
 PER_WORD = 6
 BITS = 4
@@ -151,7 +151,7 @@ def compared(docs: DataFrame) -> DataFrame:
     """Per row of docs, which is on_files(): rid, doc_id, keep_id, n, digest, hit, same. A hit is a row whose digest another row keeps;
     same tells of a hit whether its whole normalised text is the keeper's, and is null for other rows. Stored."""
     spark = docs.sparkSession
-    rows = stored(entries(docs).withColumn("batch", F.pmod(F.xxhash64("rid", F.lit("batch")), F.lit(BATCHES)).cast("int")), "lsm-rows", "batch")
+    rows = stored(entries(docs).withColumn("batch", F.pmod(F.xxhash64("rid", F.lit("batch")), F.lit(BATCHES)).cast("int")), "lsm-rows")
     counts = dict(rows.groupBy("batch").agg(F.count("*")).collect())
     index = Index(spark, shared_path(spark, "lsm"))
     again = [index.add(rows.filter(F.col("batch") == b), counts.get(b, 0)) for b in range(BATCHES)]
