@@ -4,10 +4,6 @@ Iterations write what they carry to checkpoints in the folder that all executors
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,59 +136,49 @@ def path_level(levels: Column) -> Column:
     return F.array_max(levels)
 
 
-def _brandes(adjacent: dict, source) -> dict:
-    """One source's share of betweenness."""
-    order, before, paths, dist = [], {source: []}, {source: 1.0}, {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacent.get(v, ()):
-            if w not in dist:
-                dist[w], before[w], paths[w] = dist[v] + 1, [], 0.0
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share.pop(source)
-    return share
-
-
-#: Edges up to which the graph itself goes to every task.
-BOUND = 5_000_000
-
-
-def betweenness(edges: DataFrame, samples: int | None = None) -> DataFrame:
-    """(node, betweenness) of an undirected graph, from all sources or from `samples` chosen by hash. Sources are dealt over tasks;
-    each task has the adjacency, whose size is checked."""
-    spark = edges.sparkSession
+#: Rows of (source, edge) that a sweep of betweenness handles at once, about.
+SWEEP = 50_000_000
+
+
+def _shares(both: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """(node, share) of sources (node), a table a level: forward over levels, counting shortest paths, and back, sharing them out."""
+    front = settled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    levels, before = [front], None
+    while True:
+        step = front.join(both, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        near = front if before is None else front.unionByName(before)  # neighbours of a level lie in it or next to it
+        ahead = settled(step.join(near.select("source", "node"), ["source", "node"], "left_anti"))
+        if ahead.isEmpty():
+            break
+        levels.append(ahead)
+        before, front = front, ahead
+    below, out = levels[-1].withColumn("share", F.lit(0.0)), []
+    for level in reversed(levels[:-1]):
+        out.append(below.select("node", "share"))
+        sent = below.select("source", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("paths")).alias("sent")).join(both, "b")
+        got = sent.groupBy("source", F.col("a").alias("node")).agg(F.sum("sent").alias("got"))
+        below = settled(level.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("got", F.lit(0.0))).alias("share")))
+    return out
+
+
+def betweenness(edges: DataFrame, samples: int | None = None, sweep: int = SWEEP) -> DataFrame:
+    """(node, betweenness) of an undirected graph, from all sources or from `samples` chosen by hash. Sources go in blocks of which
+    `sweep` bounds the rows; each block is swept level by level as joins with the edges, so no task holds the graph."""
     both = settled(undirected(edges))
-    if both.count() > BOUND:
-        raise ValueError(f"betweenness holds the graph in each task; it has over {BOUND} edges")
-    adjacent: dict = {}
-    for r in both.orderBy("a", "b").toLocalIterator():
-        adjacent.setdefault(r["a"], []).append(r["b"])
-    shared, n = spark.sparkContext.broadcast(adjacent), len(adjacent)
-    sources = both.select("a").distinct()
+    sources = both.select(F.col("a").alias("node")).distinct()
+    n, m = sources.count(), both.count()
     if samples:
-        sources = sources.orderBy(F.md5(F.col("a").cast("string"))).limit(samples)
+        sources = sources.orderBy(F.md5(F.col("node").cast("string"))).limit(samples)
+    parts = max(1, -(-min(n, samples or n) * m // sweep))
+    sources = settled(sources.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))))
     scale = 1.0 / max(1, (n - 1) * (n - 2)) * (n / min(n, samples) if samples else 1.0)
-    kind = both.schema["a"].dataType.simpleString()
-
-    def shares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
-        for part in parts:
-            for s in part["a"]:
-                for v, x in _brandes(shared.value, s).items():
-                    total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({"node": list(total), "share": list(total.values())})
-
-    got = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(shares, f"node {kind}, share double")
-    return got.groupBy("node").agg(F.round(F.sum("share") * scale, 9).alias("betweenness"))
+    nodes = both.select(F.col("a").alias("node"), F.lit(0.0).alias("share")).distinct()
+    for part in range(parts):
+        swept = nodes
+        for shares in _shares(both, sources.filter(F.col("part") == part)):
+            swept = swept.unionByName(shares)
+        nodes = settled(swept.groupBy("node").agg(F.sum("share").alias("share")))
+    return nodes.select("node", F.round(F.col("share") * scale, 9).alias("betweenness"))
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:

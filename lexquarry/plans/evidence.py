@@ -404,7 +404,7 @@ def law_status(t: Tables) -> DataFrame:
 
 @query("linked_entities", "G17", "with n as (select x.vec_id as a, y.vec_id as b, " + COS + """ as c from embeddings x join benchmark on item_id = x.vec_id, embeddings y where y.label <> 9 and x.vec_id <> y.vec_id),
 k as (select a, b, row_number() over (partition by a order by round(c, 9) desc, b)::int as rank from n qualify rank <= 3),
-w as (select distinct p_name, p_partkey % 400 as entity from part where p_partkey <= 400 qualify row_number() over (partition by p_name order by p_partkey) = 1),
+w as (select distinct p_name, p_partkey as entity from part qualify row_number() over (partition by p_name order by p_partkey) = 1),
 l as (select item_id as a, entity as b from benchmark join w on contains(lower(text), split_part(p_name, ' ', 1))),
 u as (select a, b, 0 as src, 0 as rank from l union all select a, b, 1, rank from k),
 f as (select a, b, min(src * 100 + rank) as first from u group by all)
@@ -413,7 +413,7 @@ def linked_entities(t: Tables) -> DataFrame:
     """Entities whose alias a query has, then those whose vectors are near, each once, five in all."""
     q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = S.knn(q, t.embeddings.filter("label != 9"), "vec_id", "embedding", 3).select("a", "b", F.lit(1).alias("src"), "rank")
-    names = R.keep_best(t.part.filter("p_partkey <= 400"), ["p_name"], [F.col("p_partkey")]).select(F.split("p_name", " ")[0].alias("alias"), (F.col("p_partkey") % 400).alias("b"))
+    names = R.keep_best(t.part, ["p_name"], [F.col("p_partkey")]).select(F.split("p_name", " ")[0].alias("alias"), F.col("p_partkey").alias("b"))
     texts = t.benchmark.select(F.col("item_id").alias("a"), F.lower("text").alias("text"))
     met = O.containing(texts.select("text").distinct(), "text", names.select("alias").distinct(), "alias")
     alias = texts.join(met, "text").join(names, "alias").select("a", "b", F.lit(0).alias("src"), F.lit(0).alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as N
 from ..operators import evaluation as E
+from ..operators import communities as M
 from ..operators import graph as G
 from ..operators import search as S
 from .aggregates import EDGES, kg_edges
@@ -106,6 +107,12 @@ def label_communities(t: Tables) -> DataFrame:
     return G.communities(near_graph(t.embeddings, 3))
 
 
+@query("modular_communities", "G8", None)
+def modular_communities(t: Tables) -> DataFrame:
+    """Louvain's communities of the graph of nearest vectors."""
+    return M.modular_communities(near_graph(t.embeddings, 3))
+
+
 @query("alias_resolve", "G1", """
 with a as (select p_type as kind, lower(p_name) as norm, min(lower(p_brand)) as canonical from part where p_size < 10 group by all), m as (select distinct p_type as kind, lower(p_name) as norm from part)
 select m.kind, m.norm, coalesce(canonical, m.norm) as canonical, case when canonical is null then 'L4' when canonical = m.norm then 'L1' else 'L2' end as level from m left join a using (kind, norm)""")

@@ -231,11 +231,11 @@ def semi_refs(t: Tables) -> DataFrame:
 
 
 @query("set_diff_keywords", "X6 X4", """
-with a as (select distinct unnest(string_split(p_name, ' ')) as w from part where p_partkey % 2 = 0 and p_size < 10), b as (select distinct unnest(string_split(p_name, ' ')) as w from part where p_partkey % 2 = 1 and p_size >= 40)
+with a as (select distinct unnest(string_split(p_name, ' ')) as w from part where p_size < 25), b as (select distinct unnest(string_split(p_name, ' ')) as w from part where p_size >= 25)
 select coalesce(a.w, b.w) as word, case when a.w is null then 'only_b' when b.w is null then 'only_a' else 'common' end as side from a full join b on a.w = b.w""")
 def set_diff_keywords(t: Tables) -> DataFrame:
     words = lambda df, n: df.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn(n, F.lit(True))
-    a, b = words(t.part.filter("p_partkey % 2 = 0 and p_size < 10"), "a"), words(t.part.filter("p_partkey % 2 = 1 and p_size >= 40"), "b")
+    a, b = words(t.part.filter("p_size < 25"), "a"), words(t.part.filter("p_size >= 25"), "b")
     return a.join(b, "word", "full").select("word", F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("common").alias("side"))
 
 
