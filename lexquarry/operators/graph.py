@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from ..sources.folders import tabled
 from .ranking import top_k
 
 
@@ -142,12 +143,12 @@ SWEEP = 50_000_000
 
 def _shares(both: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """(node, share) of sources (node), a table a level: forward over levels, counting shortest paths, and back, sharing them out."""
-    front = settled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    front = tabled(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
     levels, before = [front], None
     while True:
         step = front.join(both, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
         near = front if before is None else front.unionByName(before)  # neighbours of a level lie in it or next to it
-        ahead = settled(step.join(near.select("source", "node"), ["source", "node"], "left_anti"))
+        ahead = tabled(step.join(near.select("source", "node"), ["source", "node"], "left_anti"))
         if ahead.isEmpty():
             break
         levels.append(ahead)
@@ -157,27 +158,27 @@ def _shares(both: DataFrame, sources: DataFrame) -> list[DataFrame]:
         out.append(below.select("node", "share"))
         sent = below.select("source", F.col("node").alias("b"), ((1 + F.col("share")) / F.col("paths")).alias("sent")).join(both, "b")
         got = sent.groupBy("source", F.col("a").alias("node")).agg(F.sum("sent").alias("got"))
-        below = settled(level.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("got", F.lit(0.0))).alias("share")))
+        below = tabled(level.join(got, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("got", F.lit(0.0))).alias("share")))
     return out
 
 
 def betweenness(edges: DataFrame, samples: int | None = None, sweep: int = SWEEP) -> DataFrame:
     """(node, betweenness) of an undirected graph, from all sources or from `samples` chosen by hash. Sources go in blocks of which
     `sweep` bounds the rows; each block is swept level by level as joins with the edges, so no task holds the graph."""
-    both = settled(undirected(edges))
+    both = tabled(undirected(edges))
     sources = both.select(F.col("a").alias("node")).distinct()
     n, m = sources.count(), both.count()
     if samples:
         sources = sources.orderBy(F.md5(F.col("node").cast("string"))).limit(samples)
     parts = max(1, -(-min(n, samples or n) * m // sweep))
-    sources = settled(sources.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))))
+    sources = tabled(sources.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))))
     scale = 1.0 / max(1, (n - 1) * (n - 2)) * (n / min(n, samples) if samples else 1.0)
     nodes = both.select(F.col("a").alias("node"), F.lit(0.0).alias("share")).distinct()
     for part in range(parts):
         swept = nodes
         for shares in _shares(both, sources.filter(F.col("part") == part)):
             swept = swept.unionByName(shares)
-        nodes = settled(swept.groupBy("node").agg(F.sum("share").alias("share")))
+        nodes = tabled(swept.groupBy("node").agg(F.sum("share").alias("share")))
     return nodes.select("node", F.round(F.col("share") * scale, 9).alias("betweenness"))
 
 

@@ -43,3 +43,11 @@ def temporary(spark: SparkSession, what: str) -> Iterator[str]:
 def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path; without one, no rows."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. In long loops this is better than a checkpoint: a checkpoint hands on the plan's estimate of
+    its size, which joins multiply, round after round, until planning takes minutes; a table has its real size."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
