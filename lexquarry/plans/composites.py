@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import ordered as O
+from ..operators import planning as P
 from ..operators import ranking as R
 from ..operators import search as S
 from .aggregates import EDGES, kg_edges
@@ -183,6 +184,14 @@ def gold_plan(t: Tables) -> DataFrame:
     return plan.join(docs, "source").select("family", "tier", "source", "place", "doc_id", "pick")
 
 
+@query("gold_plan_families", "E9 W18", None)
+def gold_plan_families(t: Tables) -> DataFrame:
+    """The three families over nations (regions, in order), kinds of parts (topics) and suppliers (documents)."""
+    sold = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = sold.select(F.format_string("n%02d", F.col("s_nationkey")).alias("region"), F.col("p_type").alias("topic"), F.col("s_suppkey").alias("document"))
+    return P.planned(rows, [f"n{i:02d}" for i in range(25)], 3)
+
+
 @query("model_rerank", "R17 W21", "with " + bm25_sql("documents", "text", "s") + """,
 r as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id)::int as rank from s qualify rank <= 10),
 w as (select r.*, case when rank > 6 then 2 when trim(d.text) = '' then 1 else 0 end as stage, (length(substr(d.text, 1, 500)) * 31 + length(b.text) * 17) % 97 as m from r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id)
