@@ -51,9 +51,10 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, name
 
 def graph_quality(edges: DataFrame) -> DataFrame:
     """One row of figures on edges (head, tail, relation, confidence): self-loops are skipped, of equal edges the surest stays."""
-    real = edges.filter("head != tail").groupBy("head", "relation", "tail").agg(F.max("confidence").alias("c"))
-    nodes = edges.select(F.explode(F.array("head", "tail")).alias("node")).distinct().agg(F.count("*").alias("nodes"))
-    linked = real.select(F.explode(F.array("head", "tail")).alias("node")).distinct().agg(F.count("*").alias("linked"))
+    each = edges.groupBy("head", "relation", "tail").agg(F.max("confidence").alias("c"))  # the one pass over edges
+    real = each.filter("head != tail")
+    ends = each.select(F.explode(F.array("head", "tail")).alias("node"), (F.col("head") != F.col("tail")).alias("real")).groupBy("node").agg(F.bool_or("real").alias("real"))
+    nodes = ends.agg(F.count("node").alias("nodes"), F.count_if("real").alias("linked"))
     c = F.col("c")
     figures = real.agg(
         F.count("*").alias("edges"), F.round(F.avg(c), 6).alias("mean_confidence"),
@@ -61,10 +62,22 @@ def graph_quality(edges: DataFrame) -> DataFrame:
         F.count_if((c >= 0.8) & (c < 0.9)).alias("below_90"), F.count_if(c >= 0.9).alias("from_90"),
     )
     n, e = F.col("nodes"), F.col("edges")
-    both = figures.crossJoin(nodes).crossJoin(linked)
+    both = figures.crossJoin(nodes)
     return both.select("nodes", "edges", F.round(2.0 * e / n, 6).alias("mean_degree"), F.round(2.0 * e / (n * (n - 1)), 9).alias("density"), F.round((n - F.col("linked")) / n, 6).alias("orphans"), "mean_confidence", "below_60", "below_80", "below_90", "from_90")
 
 
+def graph_counts(edges: DataFrame, types: DataFrame) -> DataFrame:
+    """(what, value, n, share): edges by relation and nodes by type (node, type), of edges (head, tail, relation) without self-loops, equal
+    edges once. A node without a type is `unknown`; of several types the first counts."""
+    each = edges.filter("head != tail").select("head", "relation", "tail").distinct()
+    by_relation = each.groupBy(F.coalesce("relation", F.lit("unknown")).alias("value")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("what"), "value", "n")
+    nodes = each.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
+    known = types.groupBy("node").agg(F.min("type").alias("type"))
+    by_type = nodes.join(known, "node", "left").groupBy(F.coalesce("type", F.lit("unknown")).alias("value")).agg(F.count("*").alias("n")).select(F.lit("type").alias("what"), "value", "n")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("what"))
+    return by_relation.unionByName(by_type).withColumn("share", F.round(share, 6))
+
+
 def concept_matrix(edges: DataFrame, least: int, n: int) -> DataFrame:
     """Concepts at either end of (jurisdiction, head, tail, article) by jurisdiction: distinct articles of each cell, for the n concepts
     of the most jurisdictions (least at least), then of the highest total, then by name."""

@@ -56,7 +56,7 @@ def bootstrap(deltas: DataFrame, value: str, rounds: int = 2000, seed: int = 42)
     """One row: mean, and the 2.5 and 97.5 % quantiles of means of resamples. The number of values is a few queries by nature;
     resamples are drawn by hash, so reruns agree."""
     indexed = deltas.select(F.col(value).alias("v")).agg(F.array_sort(F.collect_list("v")).alias("v"))
-    draws = indexed.select("v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    draws = indexed.select("v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).repartition("round")  # rounds spread over tasks
     pick = lambda i: F.element_at("v", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % F.size("v") + 1).cast("int"))
     means = draws.select((F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda a, i: a + pick(i)) / F.size("v")).alias("m"))
     quantiles = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -88,6 +88,16 @@ def kg_quality(t: Tables) -> DataFrame:
     return A.graph_quality(kg_edges(t))
 
 
+@query("kg_quality_counts", "A8", "with " + EDGES + """,
+r as (select distinct head, relation, tail from e where head <> tail), n as (select distinct node from (select head as node from r union all select tail from r)),
+t as (select 'p' || (p_partkey % 300) as node, min(p_brand) as type from part where p_size < 10 group by all),
+c as (select 'relation' as what, relation as value, count(*) as n from r group by all union all select 'type', coalesce(type, 'unknown'), count(*) from n left join t using (node) group by all)
+select what, value, n, round(n / sum(n) over (partition by what), 6) as share from c""")
+def kg_quality_counts(t: Tables) -> DataFrame:
+    types = t.part.filter("p_size < 10").select(F.concat(F.lit("p"), (F.col("p_partkey") % 300).cast("string")).alias("node"), F.col("p_brand").alias("type"))
+    return A.graph_counts(kg_edges(t), types)
+
+
 @query("concept_matrix", "A9 T5", "with " + EDGES + """,
 x as (select jurisdiction, article, head as concept from e union all select jurisdiction, article, tail from e),
 c as (select concept, jurisdiction, count(distinct article) as articles from x group by all),
