@@ -16,7 +16,7 @@ from ..streaming import ledger as L
 from .aggregates import EDGES, kg_edges
 from .registry import Tables, query
 from .search import COS, HYBRID, hybrid_hits, knn_sql
-from .upkeep import _text, fresh
+from .upkeep import _text, cleaned, fresh
 
 
 @query("hits_with_full_text", "J1 S6", """
@@ -184,6 +184,7 @@ def _law_files(t: Tables, where: str, path: str) -> None:
 
 @query("ingested_articles", "S1 S2", """
 select 'D' || doc_id || '_ART_001' as doc_id, source as law_id, 'jurisdiction=' || lang as jurisdiction, (doc_id % 9)::varchar as article_number, md5(text) as text_md5 from documents where lang <> 'en'""")
+@cleaned
 def ingested_articles(t: Tables) -> DataFrame:
     """One JSON file for each law, written by the query and read back; a file without a jurisdiction has its folder's name."""
     path = fresh(t, "laws")
@@ -192,6 +193,7 @@ def ingested_articles(t: Tables) -> DataFrame:
 
 
 @query("changed_law_files", "S20", "select count(distinct source) as new_files, (select count(distinct source) from documents where lang = 'fr') as old_files from documents where lang = 'de'")
+@cleaned
 def changed_law_files(t: Tables) -> DataFrame:
     """A manifest of the files there are, then more files: only these are new."""
     path, manifest = fresh(t, "laws"), fresh(t, "manifest")
@@ -214,6 +216,7 @@ def upserted_rows(t: Tables) -> DataFrame:
 
 
 @query("replaced_partitions", "S12", "select o_orderkey, case when o_orderstatus = 'P' then o_totalprice + 1 else o_totalprice end as price, o_orderstatus as status from orders where o_orderstatus <> 'P' or o_orderkey % 2 = 0")
+@cleaned
 def replaced_partitions(t: Tables) -> DataFrame:
     """A table by status, of which one status is written again."""
     path = fresh(t, "parts")
@@ -234,6 +237,7 @@ def _ledger_files(t: Tables, where: str, path: str) -> None:
 
 
 @query("ledger_from_lines", "S18 A29", "select strftime(ts, '%Y-%m-%d') as day, event_type as model, count(*) as calls, sum(event_id % 100)::bigint as tokens from events group by all")
+@cleaned
 def ledger_from_lines(t: Tables) -> DataFrame:
     """Daily totals of JSON lines that the query writes; a line that can't be read is passed over."""
     path = fresh(t, "ledger")
@@ -244,6 +248,7 @@ def ledger_from_lines(t: Tables) -> DataFrame:
 
 
 @query("ledger_tail", "S42", "select event_type as model, count(*) as calls, count(*) filter (event_id % 2 = 1) as later from events group by all")
+@cleaned
 def ledger_tail(t: Tables) -> DataFrame:
     """A stream reads what is there, stops, and later reads only what has come since."""
     path, out, mark = fresh(t, "ledger"), fresh(t, "tail"), fresh(t, "mark")
@@ -424,6 +429,7 @@ def linked_entities(t: Tables) -> DataFrame:
 @query("centroid_table", "S26", """
 with c as (select label, count(*) as n from embeddings group by label), o as (select label, count(*) as n from embeddings where label % 3 <> 0 or vec_id % 2 = 0 group by label)
 select label, c.n, case when o.n is null then 'new' when o.n <> c.n then 'rebuilt' else 'kept' end as how from c left join o using (label) where label <> 9""")
+@cleaned
 def centroid_table(t: Tables) -> DataFrame:
     """A table of centroids is written, its source grows: only labels whose count has changed are built anew; one is deleted."""
     path = fresh(t, "centroids")

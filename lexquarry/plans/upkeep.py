@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +12,34 @@ from ..functions import text as X
 from ..operators import ordered as O
 from ..operators import ranking as R
 from ..operators import search as S
-from ..session import shared_folder
+from ..operators.graph import settled
 from ..sources import articles as A
 from ..sources import upserts as U
+from ..sources.folders import new_path, removed
 from .aggregates import EDGES, kg_edges
 from .registry import Tables, query
 from .search import COS
 
 
 def fresh(t: Tables, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(t.spark)}/lexquarry-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for a plan that is cleaned()."""
+    path = new_path(t.spark, what)
+    t.__dict__.setdefault("made", []).append(path)
+    return path
+
+
+def cleaned(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """The plan, whose rows are settled so that the folders it made can go."""
+
+    @functools.wraps(plan)
+    def run(t: Tables) -> DataFrame:
+        try:
+            return settled(plan(t))
+        finally:
+            for path in t.__dict__.pop("made", []):
+                removed(t.spark, path)
+
+    return run
 
 
 def _text(c: str | F.Column) -> F.Column:
@@ -228,6 +246,7 @@ def cross_group_chain(t: Tables) -> DataFrame:
 
 
 @query("strategy_results", "S19", "select source, (count(*) * case when lang = 'fr' then 10 else 1 end)::bigint as n, lang as strategy from documents group by source, lang")
+@cleaned
 def strategy_results(t: Tables) -> DataFrame:
     """Result rows written by strategy as CSV and one strategy replaced, then read with an explicit schema."""
     path = fresh(t, "results")
