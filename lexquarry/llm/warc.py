@@ -1,13 +1,14 @@
 """WARC archives: pages are written as request, response (or revisit) and metadata records, and read back as captures.
 
 Writing is Spark's own text writer with the record terminator as line separator: records are text up to their end, and the commit
-protocol takes care of lost executors and of any store. Archives are gzip files of at most RECORDS records each. Reading parses by
-Content-Length, so payloads may hold anything. Transactions are assembled through WARC-Concurrent-To, of which a record may have
+protocol takes care of lost executors and of any store. Archives are gzip files of at most BYTES of payload each, or one capture.
+Reading parses by Content-Length, so payloads may hold anything. Transactions are assembled through WARC-Concurrent-To, of which a record may have
 several: records that name a response, or that it names, meet it by that identifier in one nested row.
 """
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import hashlib
 import io
@@ -16,11 +17,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import normal_text, on_files, removed, shared_path, stored, table, with_row_id
+from .common import normal_text, on_files, removed, scratch, shared_path, stored, table, with_row_id
 
 LEAST = 100
-RECORDS = 3000
+#: Payload bytes of an archive at most, before compression; a power of two.
+BYTES = 1 << 26
+#: Rows of a table file from which an archive takes its captures at most; a power of two.
+ROWS = 1 << 11
+#: Archives that a task holds open before it sorts its rows by archive.
+OPEN = 48
+OPEN_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 #: archive and at: where the record lies, so that a capture can list its records in that order.
@@ -41,17 +49,36 @@ def _record(kind: str, headers: list[tuple[str, Column | str | None]], block: Co
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
-def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Three records per row of pages (page_id, url, html), in one column, value.
+def _archive(rid: Column, size: Column, most: int) -> Column:
+    """Names the archive of a row, which holds the rows of one run of a file that have one bound to their sizes. The bounds double from
+    most / ROWS on and the runs halve from ROWS rows on, so a run's rows never exceed `most` bytes; a row above that is alone."""
+    halvings = F.lit(ROWS.bit_length() - 1)
+    for k in reversed(range(ROWS.bit_length() - 1)):
+        halvings = F.when(size <= most // ROWS * 2**k, F.lit(k)).otherwise(halvings)
+    run = F.floor(rid["row"] * F.pow(F.lit(2.0), halvings) / ROWS)
+    return F.concat_ws("-", F.lit("rows"), F.hex(rid["file"]), halvings.cast("string"), run.cast("string"))
+
+
+def repeated_payloads(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(rid, first_page, first_rid) of the rows of (rid, page_id, digest, bytes) that revisit another. Payloads take no part."""
+    narrow = stored(rows.filter(F.col("bytes") >= least).select("rid", "page_id", "digest"), "warc-digests")
+    order = F.struct(F.col("page_id").isNull(), "page_id", "rid")
+    firsts = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = narrow.join(firsts, "digest").filter(F.col("first.rid") != F.col("rid"))
+    return stored(again.select("rid", F.col("first.page_id").alias("first_page"), F.col("first.rid").alias("first_rid")), "warc-repeats")
+
+
+def records_of(pages: DataFrame, least: int = LEAST, most: int = BYTES) -> DataFrame:
+    """Three records per row of pages (page_id, url, html), in the column value, and the archive they belong to.
 
     Among equal payloads of at least `least` bytes the smallest page_id is the response (null last, then the first row), the others
-    revisit it. Null html is the empty payload, white space and controls in a url become %20. Repeated rows are captures of their own."""
+    revisit it; page_id may have any type that has an order and a string form. Null html is the empty payload, white space and
+    controls in a url become %20. Repeated rows are captures of their own. Which rows revisit is decided without payloads and joined
+    by row id, so no frequent payload makes a large partition."""
     html = normal_text(F.col("html"))
     uri = F.regexp_replace(normal_text(F.col("url")), r"[\x00-\x20\x7f]", "%20")
     rows = with_row_id(on_files(pages)).select("rid", "page_id", uri.alias("uri"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    order = F.struct(F.col("page_id").isNull(), "page_id", "rid")
-    firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.rid").alias("first_rid"))
-    rows = rows.join(firsts, "digest", "left")
+    rows = rows.join(repeated_payloads(rows, least), "rid", "left")
     again = F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid"))
     ids = {k: _record_id(k, F.col("page_id"), F.col("rid")) for k in ("request", "response", "metadata")}
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -61,13 +88,25 @@ def records_of(pages: DataFrame, least: int = LEAST) -> DataFrame:
     request = _record("request", [("WARC-Record-ID", ids["request"]), ("WARC-Concurrent-To", ids["response"]), *common, ("Content-Type", "application/http; msgtype=request")], F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1\r\n\r\n")))
     response = _record("response", [("WARC-Record-ID", ids["response"]), *common, digest, http], F.concat(head, F.col("html")))
     revisit = _record("revisit", [("WARC-Record-ID", ids["response"]), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id("response", F.col("first_page"), F.col("first_rid"))), digest, http], head)
-    meta = _record("metadata", [("WARC-Record-ID", ids["metadata"]), ("WARC-Concurrent-To", ids["response"]), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("via: lexquarry\r\n"), F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))))
-    return rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), meta)).alias("value"))
+    meta = _record("metadata", [("WARC-Record-ID", ids["metadata"]), ("WARC-Concurrent-To", ids["response"]), *common, ("Content-Type", "application/warc-fields")], F.concat(F.lit("via: lexquarry\r\n"), F.coalesce(F.concat(F.lit("page-id: "), F.url_encode(F.col("page_id").cast("string")), F.lit("\r\n")), F.lit(""))))
+    return rows.select(_archive(F.col("rid"), F.col("bytes"), most).alias("archive"), F.explode(F.array(request, F.when(again, revisit).otherwise(response), meta)).alias("value"))
+
+
+@contextlib.contextmanager
+def _archives_open(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(OPEN_SETTING)
+    spark.conf.set(OPEN_SETTING, OPEN)
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_SETTING, before)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    out = records_of(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS).text(path)
+def write_archives(pages: DataFrame, path: str, least: int = LEAST, most: int = BYTES) -> None:
+    """Archives of at most `most` payload bytes, or of one capture. What decides on revisits is stored meanwhile."""
+    spark = pages.sparkSession
+    with scratch(spark), _archives_open(spark):
+        records_of(pages, least, most).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("archive").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
@@ -113,7 +152,7 @@ def _record_reader(with_payload: bool):
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 rows, held = [], 0
-                for at, (headers, concurrent, block) in enumerate(parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))))):
+                for at, (headers, concurrent, block) in enumerate(parse(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))))):
                     rows.append((path, at, *_row(headers, concurrent, block, with_payload)))
                     held += 500 + len(block) * with_payload
                     if held > 4_000_000:
@@ -156,9 +195,10 @@ def captures(records: DataFrame) -> DataFrame:
     return grouped.select("capture_id", F.try_element_at(found, F.lit(1)).alias("response"), of(lambda x: x["kind"] == "request").alias("requests"), of(lambda x: x["kind"] == "metadata").alias("metadata"), others.alias("others"))
 
 
-def page_rows(found: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the captures that have a response."""
-    page = F.try_element_at(F.try_element_at("metadata", F.lit(1))["fields"], F.lit("page-id")).try_cast("long")
+def page_rows(found: DataFrame, kind: T.DataType | str = "long") -> DataFrame:
+    """page_id (as `kind`, the type that it had; an id that is not of this type is an error), payload_bytes, payload_digest, record_type,
+    refers_to of the captures that have a response."""
+    page = F.url_decode(F.try_element_at(F.try_element_at("metadata", F.lit(1))["fields"], F.lit("page-id"))).cast(kind)
     found = found.filter("response is not null")
     flat = stored(found.select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("target")), "captures")
     origin = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
@@ -166,8 +206,8 @@ def page_rows(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
+    pages, path = table(spark, sf_dir, "pages"), shared_path(spark, "warc")
+    write_archives(pages, path)
     records = stored(read_records(spark, path, with_payload=False), "warc-records")
     removed(spark, path)
-    return page_rows(captures(records))
+    return page_rows(captures(records), pages.schema["page_id"].dataType)
