@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import normal_text, on_files, permuted, table, with_row_id
+from .common import normal_text, on_files, permuted, scratch, stored, table, with_row_id
 
 SHARDS = 24
 SEED = 51
 #: Rows in a bucket, on average.
 ROWS = 8192
+#: Rows of a file among which copies of a row are numbered by one task.
+RUN = 1 << 16
 #: Buckets at most: bounds the matrix on the driver (some 50 MB an array); beyond, buckets grow with the input.
 BUCKETS = 1 << 18
 
@@ -65,16 +67,34 @@ def communication_matrix(sizes: list[int], shards: int = SHARDS, seed: int = SEE
     return out
 
 
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(rid, copy) of the rows of (rid, key) whose key is not alone: copies of a key are numbered from 0 in the order of rows. Numbers
+    are counted within runs of RUN rows of a file and then run by run, so a frequent key is numbered by many tasks."""
+    again = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
+    again = stored(again.select("rid", "key", F.struct("rid.file", F.floor(F.col("rid.row") / RUN).alias("run")).alias("run")), "copies")
+    runs = again.groupBy("key", "run").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("key", "run", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("key", "run").orderBy("rid"))
+    return again.withColumn("place", place).join(runs, ["key", "run"]).select("rid", (F.col("before") + F.col("place") - 1).alias("copy"))
+
+
 def placed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rid (of docs, which is on_files()), doc_id, size, text_crc32, law, shard, slot, grown_shard (null: this law has no growing).
 
-    Only bucket sizes reach the driver: a number for every ROWS rows, BUCKETS numbers at most. One shuffle, of rows without text, by bucket; ranks are taken
-    inside buckets and never inside a shard. Null text is empty; repeated rows each get a slot of their own, and lie in buckets by
-    their places in their files, so many repeats of one row share no bucket."""
+    A row's dice are its doc_id, size, crc and, among rows that have these alike, its number; so the result is the same however the
+    table is cut into files, but for which of such rows is which. Only bucket sizes reach the driver: a number for every ROWS rows,
+    BUCKETS numbers at most. Rows are shuffled without text: by what they have alike to find repeats, and by bucket; ranks are taken
+    inside buckets and never inside a shard. Null text is empty; repeated rows each get a slot of their own, and many repeats of one
+    row share no bucket."""
     spark = docs.sparkSession
     data = F.encode(normal_text(F.col("text")), "UTF-8")
     rows = with_row_id(docs).select("rid", "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "rid.row"))
+    with scratch(spark) as kept:
+        copies = stored(occurrences(rows.select("rid", F.struct("doc_id", "size", "text_crc32").alias("key"))), "occurrences")
+        kept.append(copies.stored_at)
+    rows = rows.join(copies, "rid", "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
+    rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "copy"))
     total = docs.count()
     buckets = min(BUCKETS, max(1, -(-total // ROWS)))
     rows = rows.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
@@ -84,7 +104,7 @@ def placed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("upto", T.ArrayType(T.LongType())), T.StructField("before", T.ArrayType(T.LongType()))])
     plan = spark.createDataFrame([(b, upto[b].tolist(), before[b].tolist()) for b in range(buckets)], schema)
     room = F.array(*(F.lit(int(x)).cast("long") for x in matrix.sum(0)))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("dice", F.lit("local")), "doc_id", "text_crc32", "rid")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("dice", F.lit("local")), "doc_id", "size", "text_crc32", "copy")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(plan, "bucket")
     shard = F.size(F.filter("upto", lambda x: x <= F.col("rank")))
     ranked = ranked.withColumn("shard", shard.cast("int"))

@@ -594,6 +594,33 @@ def test_warc(spark, tmp_path):
     assert payloads == {(h or "").encode() for _, _, h in PAGES}
 
 
+def test_page_ids_of_other_types(spark, tmp_path):
+    """Strings stay what they are, odd ones too; an id that is not of the type asked for is an error."""
+    ids = ["p2", "p1", "", " a\r\nb: c ", "é%41", None]
+    spark.createDataFrame([(i, "u", "x" * 200) for i in ids] + [("solo", "u", "short")], "page_id string, url string, html string").write.parquet(str(tmp_path / "p"))
+    warc.write_archives(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "a"))
+    found = warc.captures(warc.read_records(spark, str(tmp_path / "a")))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.page_rows(found, "string").collect()}
+    assert got == {"": ("response", None), "solo": ("response", None)} | {i: ("revisit", "") for i in ids if i != ""}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        warc.page_rows(found).collect()
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """No archive holds more than `most` bytes of payload but one with a single capture; a very large page is one."""
+    rng = random.Random(3)
+    sizes = [rng.choice((0, 5, 30, 500, 2000, 3000, 9000, 40_000)) for _ in range(3000)] + [6_000_000, 70_000]
+    html = [rng.choice("abc") * 10 + str(i) + "y" * (n - 20) if n > 20 else "z" * n for i, n in enumerate(sizes)]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "p"))
+    most = 1 << 16
+    warc.write_archives(spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "a"), most=most)
+    records = warc.read_records(spark, str(tmp_path / "a"), with_payload=False)
+    held = records.filter("kind = 'response'").groupBy("archive").agg(F.sum("payload_bytes").alias("bytes"), F.count("*").alias("n")).collect()
+    assert all(r["bytes"] <= most or r["n"] == 1 for r in held) and max(r["n"] for r in held) > 50
+    got = {r["page_id"]: r["payload_digest"] for r in warc.page_rows(warc.captures(records)).collect()}
+    assert got == {i: hashlib.sha256(h.encode()).hexdigest() for i, h in enumerate(html)}
+
+
 def archive_of(path, records):
     import gzip
 
@@ -650,6 +677,30 @@ def test_shards_hold_every_row(spark, tmp_path):
 def test_repeats_share_no_bucket(spark, tmp_path):
     spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).write.parquet(str(tmp_path / "d"))
     table = spark.read.parquet(str(tmp_path / "d"))
-    place = sharding.with_row_id(table).select(F.pmod(F.xxhash64(F.lit(sharding.SEED), "doc_id", F.crc32(F.lit(b"")), "rid.row"), F.lit(5)).alias("b"))
+    rows = sharding.with_row_id(table).select("rid", F.struct("doc_id").alias("key"))
+    copies = sharding.occurrences(rows)
+    assert sorted(r["copy"] for r in copies.collect()) == list(range(40_000))
+    place = copies.select(F.pmod(F.xxhash64(F.lit(sharding.SEED), F.lit(None).cast("long"), F.lit(8).cast("long"), F.crc32(F.lit(b"")), "copy"), F.lit(5)).alias("b"))
     assert max(r["count"] for r in place.groupBy("b").count().collect()) < 9000
     assert [r["count"] for r in sharding.shard_rows(table).groupBy("shard").count().select("count").distinct().orderBy("count").collect()] == [1666, 1667]
+
+
+def test_copies_are_numbered_by_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 64)
+    keys = ["a" if i % 3 else f"b{i % 7}" if i % 2 else f"c{i}" for i in range(1500)]
+    spark.createDataFrame([(k,) for k in keys], "key string").repartition(3).write.parquet(str(tmp_path / "d"))
+    rows = sharding.with_row_id(spark.read.parquet(str(tmp_path / "d")))
+    got = collections.defaultdict(list)
+    for r in sharding.occurrences(rows.select("rid", "key")).join(rows, "rid").collect():
+        got[r["key"]].append(r["copy"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(n)) for k, n in collections.Counter(keys).items() if n > 1}
+
+
+def test_shards_follow_rows_not_files(spark, tmp_path):
+    rows = [(i, f"text {i % 50}") for i in range(300)] + [(7, "again")] * 40 + [(None, None)] * 9
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for files, order in ((1, "doc_id"), (5, "text"), (3, "doc_id")):
+        table.orderBy(order).repartition(files).write.parquet(str(tmp_path / f"{files}"))
+        got.append(collections.Counter(map(tuple, sharding.shard_rows(spark.read.parquet(str(tmp_path / f"{files}"))).collect())))
+    assert got[0] == got[1] == got[2] and got[0].total() == 349
