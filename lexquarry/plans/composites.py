@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evidence_table as V
 from ..operators import graph as G
 from ..operators import ordered as O
 from ..operators import planning as P
@@ -224,3 +225,37 @@ def triple_seeds(t: Tables) -> DataFrame:
     names = e.select("jurisdiction", F.explode(F.array("head", "tail")).alias("node"), "confidence").filter(F.length("node") <= 3).groupBy("jurisdiction", "node").agg(x).withColumn("src", F.lit(1))
     cut = lambda df, k: R.top_k(df, ["jurisdiction"], [F.col("x"), F.col("node")], k).drop("rank")
     return R.ranked(cut(articles, 6).unionByName(cut(names, 12)), ["jurisdiction"], [F.col("src"), F.col("x"), F.col("node")], "place").select("jurisdiction", "node", "place")
+
+
+#: Edges of parts and suppliers, whose number grows with the tables; an article is named after its supplier.
+PART_EDGES = """e as (select l_partkey as head, l_returnflag as relation, l_suppkey as tail, l_suppkey as article, max(round(0.5 + l_discount * 5, 2)) as confidence
+  from lineitem where (l_partkey + l_suppkey) % 25 in (1, 2) group by all)"""
+
+
+@query("evidence_of_linked", "R31 G17 J5", "with " + PART_EDGES + """,
+n as (select x.vec_id as q, y.vec_id as entity, """ + COS + """ as c from embeddings x join benchmark on item_id = x.vec_id, embeddings y where y.label <> 9 and x.vec_id <> y.vec_id),
+k as (select q, entity, row_number() over (partition by q order by round(c, 9) desc, entity)::int as rank from n qualify rank <= 5),
+w as (select alias, min(p_partkey) as entity from (select lower(split_part(p_name, ' ', 1)) as alias, p_partkey from part) where length(alias) >= 2 group by alias),
+l as (select item_id as q, entity from benchmark join w on contains(regexp_replace(lower(text), '\\s+', '', 'g'), alias)),
+s as (select q, entity, min(o) as o from (select q, entity, 0 as o from l union all select q, entity, rank from k) group by all),
+seeds as (select q, entity from s qualify row_number() over (partition by q order by o, entity) <= 5),
+a as (select distinct q, e.* from seeds join e on head = entity or tail = entity),
+a12 as (select *, row_number() over (partition by q order by confidence desc, head, tail, relation, article)::int as place from a qualify place <= 12),
+h as (select q, count(*)::int as held from a12 group by q),
+f as (select q, head as node from a12 join h using (q) where held < 12 union select q, tail from a12 join h using (q) where held < 12),
+b as (select distinct q, e.* from f join e on head = node or tail = node),
+b12 as (select b.*, held + row_number() over (partition by q order by confidence desc, head, tail, relation, article)::int as place from b join h using (q) anti join a12 using (q, head, relation, tail, article) qualify place <= 12),
+u as (select q, article, place from a12 union all select q, article, place from b12),
+t as (select q, article, row_number() over (partition by q order by first)::int as i from (select q, article, min(place) as first from u group by all) qualify i <= 6)
+select q as item_id, article, i, md5(case when length(text) > 400 then substr(text, 1, 400) || '...(cut)' else text end) as snippet_md5, (select count(*) from u where u.q = t.q) as edges from t join documents on doc_id = article""")
+def evidence_of_linked(t: Tables) -> DataFrame:
+    """Entities linked from a question's text and vector, two hops of edges around them in the jurisdictions asked for, twelve edges,
+    and snippets of six articles."""
+    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = S.knn(asked, t.embeddings.filter("label != 9"), "vec_id", "embedding", 5).select(F.col("a").alias("question"), F.col("b").alias("entity"), "rank")
+    questions = t.benchmark.select(F.col("item_id").alias("question"), "text")
+    seeds = V.linked(questions, t.part.select(F.split("p_name", " ")[0].alias("alias"), F.col("p_partkey").alias("entity")), near)
+    edges = t.lineitem.select(F.col("l_partkey").alias("head"), F.col("l_returnflag").alias("relation"), F.col("l_suppkey").alias("tail"), F.col("l_suppkey").alias("article"), F.round(0.5 + F.col("l_discount") * 5, 2).alias("confidence"), ((F.col("l_partkey") + F.col("l_suppkey")) % 25).cast("string").alias("jurisdiction"))
+    found = V.around(seeds, edges, allowed=("1", "2"))
+    got = V.quoted(found, t.documents.select(F.col("doc_id").alias("article"), "text"))
+    return got.select(F.col("question").alias("item_id"), "article", "i", F.md5("snippet").alias("snippet_md5"), "edges")
