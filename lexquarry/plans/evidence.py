@@ -11,6 +11,7 @@ from ..operators import ordered as O
 from ..operators import ranking as R
 from ..operators import search as S
 from ..sources import articles as A
+from ..sources import laws as W
 from ..sources import upserts as U
 from ..streaming import ledger as L
 from .aggregates import EDGES, kg_edges
@@ -483,3 +484,25 @@ def law_writeback(t: Tables) -> DataFrame:
     amended = rows.filter("n % 5 = 0").select("id", F.concat("title", F.lit(" (amended)")).alias("title"))
     left = U.delete(U.upsert(rows.select("id", "title"), amended, ["id"]), rows.filter("n % 3 = 0"), ["id"])
     return left.unionByName(new)
+
+
+@query("laws_written_back", "S21", """
+with r as (select p_partkey // 40 as law, 'j' || (p_partkey // 40 % 3) as j, p_partkey as n, p_name as title, p_size as size from part),
+k as (select j, law, n, case when law % 7 = 0 then title || ' (amended)' else title end as title from r where law % 5 <> 0 and (law % 7 <> 0 or size >= 10)),
+m as (select j, max(law) as top from r group by j),
+d as (select distinct 'j' || (s_suppkey % 3) as j, 'd' || (s_suppkey % 2) as draft from supplier),
+c as (select d.j, draft, coalesce(top, 0) + row_number() over (partition by d.j order by draft) as law from d left join m using (j))
+select j as jurisdiction, j || '_' || law as law_id, n::varchar as doc_id, title from k union all select j, j || '_' || law, draft, 'new law' from c""")
+@cleaned
+def laws_written_back(t: Tables) -> DataFrame:
+    """Laws are written to files; some are replaced, some deleted, some created under the next number; the files are read again."""
+    path, law = fresh(t, "laws"), F.floor(F.col("p_partkey") / 40)
+    j = F.concat(F.lit("j"), _text(law % 3))
+    rows = t.part.select(j.alias("jurisdiction"), F.concat_ws("_", j, _text(law)).alias("law_id"), _text("p_partkey").alias("doc_id"), F.col("p_name").alias("article_title"), law.alias("law"), "p_size")
+    drafts = t.supplier.select(F.concat(F.lit("j"), _text(F.col("s_suppkey") % 3)).alias("jurisdiction"), F.concat(F.lit("d"), _text(F.col("s_suppkey") % 2)).alias("draft")).distinct()
+    W.write_laws(rows, path)
+    created = W.with_new_ids(drafts.withColumns({"doc_id": F.col("draft"), "article_title": F.lit("new law")}), W.read_laws(t.spark, path).select("jurisdiction", "law_id").distinct())
+    W.write_laws(G.settled(created), path)
+    W.write_laws(rows.filter("law % 7 = 0 and p_size >= 10").withColumn("article_title", F.concat("article_title", F.lit(" (amended)"))), path)
+    W.delete_laws(rows.filter("law % 5 = 0"), path)
+    return W.read_laws(t.spark, path).select("jurisdiction", "law_id", "doc_id", F.col("article_title").alias("title"))
