@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
+from operator import itemgetter
 
 import numpy as np
 
@@ -17,6 +19,9 @@ ODD = re.compile(r"[\x1c-\x1f]").search
 ODD_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
 #: Letters, then ASCII marks: each part is one word of the pattern, so the model alone gives its ids. (A contraction has letters last.)
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]*)([!-/:-@\[-`{-~]*)").fullmatch
+#: Pairs of the commonest white space are found faster without a pattern; texts with no other white space need no more.
+PAIRS = ("  ", "\n\n", " \n", "\n ")
+OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Entries kept; one is about 200 bytes.
 KEPT = 1_500_000
 
@@ -28,6 +33,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Chunks(dict):
+    """Ids of chunks kept; a new one is encoded as it is met, so that a text is gone through once."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.made(chunk)
+        return ids
+
+
 class Encoder:
     """Exactly Tokenizer.encode(text, add_special_tokens=False).ids, as little-endian unsigned 32-bit bytes."""
 
@@ -38,10 +55,10 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.kept = Chunks(self._chunk)
         self.marks: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        self.data = np.arange(self.whole.get_vocab_size(), dtype="<u4").tobytes()
+        self.ids = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.line = self._slow("\n")
 
     def _slow(self, text: str) -> bytes:
@@ -49,14 +66,13 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """One word of the pattern, spelled for the model."""
-        data, out = self.data, b""
-        for t in self.model.tokenize(piece):
-            i = 4 * t.id
-            out += data[i : i + 4]
-        return out
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk that follows a space, or of one that begins with a newline or (marked by NUL) a text."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece("Ġ" + chunk)
         lead = chunk[:1]
         m = PLAIN(chunk, 1 if lead in ("\n", "\0") else 0)
         if m is None:
@@ -82,20 +98,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         # The library cuts at added tokens first, so white space before one ends a text there.
-        if ODD(text) or "\0" in text or any(t in text for t in self.added):
+        other = OTHER(text)
+        if other and ODD(text) or "\0" in text or any(t in text for t in self.added):
             return self._slow(text)
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        if RUN(text):
+        if any(p in text for p in PAIRS) or other and RUN(text):
             return b"".join(map(self._slow, ODD_CHUNK(text)))
         chunks = ("\0" + text.replace("\n", " \n")).split(" ")
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            for c in set(chunks).difference(kept):
-                kept[c] = self._chunk(c)
-            return b"".join(map(kept.__getitem__, chunks))
+        return b"".join(itemgetter(*chunks)(kept)) if len(chunks) > 1 else kept[chunks[0]]
 
 
 @functools.cache

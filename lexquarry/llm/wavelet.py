@@ -47,7 +47,7 @@ def encoded(ids: np.ndarray, starts: np.ndarray, keys: list[int | None]) -> byte
         ones = np.bitwise_count(np.pad(plane, (0, -len(plane) % (STEP // 8)))).reshape(-1, STEP // 8).sum(1, dtype=np.int64)
         blocks = [z.compress(plane[i : i + BLOCK // 8].tobytes()) for i in range(0, len(plane), BLOCK // 8)]
         frames += [frame(np.concatenate([[0], np.cumsum(ones)]).astype("<u4")), frame(np.cumsum([0, *map(len, blocks)]).astype("<u4")), b"".join(blocks)]
-        x = np.concatenate([x[np.flatnonzero(~one)], x[np.flatnonzero(one)]])  # by numbers: a mask of random bits is slower
+        x = np.concatenate([x.compress(~one), x.compress(one)])  # indexing by a mask of random bits, or by their numbers, is slower
     return b"WVM2" + struct.pack("<QQQ", len(ids), len(keys), bits) + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
 
 

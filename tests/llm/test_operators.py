@@ -377,6 +377,26 @@ def test_ids_of_odd_texts():
     assert not bad, (len(bad), bad[:5])
 
 
+def test_a_text_is_looked_up_once():
+    """New chunks are encoded as they are met: no second pass over the text, whatever is new in it."""
+    from lexquarry.llm.tokens import OTHER, Chunks, Encoder
+
+    class Counted(Chunks):
+        seen = 0
+
+        def __getitem__(self, chunk):
+            self.seen += 1
+            return super().__getitem__(chunk)
+
+    own, plain = Encoder(tokenizer_path()), Encoder(tokenizer_path())
+    own.kept = Counted(own._chunk)
+    text = "One two, three\nfour ünder one two, x9"
+    assert own.encode(text) == plain._slow(text) and own.kept.seen == 8
+    assert own.encode("") == b"" and own.encode("two,") == plain._slow("two,")
+    assert {chr(i) for i in range(0x110000) if OTHER(chr(i))} == {chr(i) for i in range(0x110000) if chr(i).isspace()} - {" ", "\n"}
+
+
+
 def test_packing(table, coded):
     got = packing.pack(table).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and all(r["offset"] == 0 and r["length"] == 1 << r["bucket"] <= 1024 for r in got)
