@@ -159,6 +159,24 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), one)
 
 
+_CACHES: dict[str, list[dict]] = {}
+
+
+def cached(kind: str, cache: dict) -> None:
+    """cache is one of a Python worker's, for operators of this kind."""
+    _CACHES.setdefault(kind, []).append(cache)
+
+
+def keep_only(kind: str = "") -> None:
+    """A Python worker serves one operator after another and lives on between them: what it keeps for other kinds goes, as does the
+    memory that Arrow holds for later."""
+    for other, caches in _CACHES.items():
+        if other != kind:
+            for cache in caches:
+                cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately."""
 
@@ -172,7 +190,9 @@ class WordHashes(dict):
 @functools.cache
 def word_hashes() -> WordHashes:
     """One per Python worker."""
-    return WordHashes()
+    hashes = WordHashes()
+    cached("words", hashes)
+    return hashes
 
 
 def hashed_words(text: bytes) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, bytes_of, dropped, gram_hashes, hashed_words, kept_rows, normal_text, on_files, paired, stored, table, with_row_id
+from .common import ROW_ID, bytes_of, dropped, gram_hashes, hashed_words, keep_only, kept_rows, normal_text, on_files, paired, stored, table, with_row_id
 from .components import components
 
 GRAM = 5
@@ -67,6 +67,7 @@ def _bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, rows: in
 
 def _signer(bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("words")
         rng = np.random.default_rng(7)
         a = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
@@ -83,6 +84,7 @@ def _signer(bands: int, rows: int):
 
 
 def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only("words")
     for batch in batches:
         grams = [gram_set(t).view(np.int64) for t in bytes_of(batch["text"])]
         yield pa.RecordBatch.from_arrays([batch["key"], batch["large"], pa.array(grams, pa.list_(pa.int64()))], names=["key", "large", "grams"])
@@ -163,6 +165,7 @@ def forest(links: np.ndarray) -> tuple[list[int], list[int]]:
 def _tile(similar: float):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         """All links of a pair of blocks, or within one block."""
+        keep_only()
         within = rows["ti"].iloc[0] == rows["tj"].iloc[0]
         left = rows if within else rows[rows["block"] == rows["ti"].iloc[0]]
         right = rows if within else rows[rows["block"] == rows["tj"].iloc[0]]

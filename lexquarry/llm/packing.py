@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import normal_text, table, tokenizer_path
+from .common import keep_only, normal_text, table, tokenizer_path
 from .tokens import encoder
 
 MOST = 1024
@@ -29,6 +29,7 @@ def lengths_of(n: int, most: int = MOST) -> list[int]:
 
 def _packer(path: str, most: int, end: int, with_ids: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("chunks")
         code, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids")}

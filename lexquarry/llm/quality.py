@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_words, kept_rows, normal_text, on_files, portions, table, with_row_id
+from .common import hashed_words, keep_only, kept_rows, normal_text, on_files, portions, table, with_row_id
 
 LEAST_WORDS = 20
 COVERED = 30  # per cent
@@ -118,6 +118,7 @@ def measures(texts: list[bytes]) -> dict[str, list[int]]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only("words")
     for batch in batches:
         for a, b in portions(texts := [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]):
             kept = batch.slice(a, b - a).drop_columns(["text"])

@@ -9,7 +9,7 @@ from operator import itemgetter
 
 import numpy as np
 
-from .common import cpu_bound_python
+from .common import cached, cpu_bound_python
 
 #: Between two characters that are not white space, a single space or newline is always a boundary of the byte-level pattern: the
 #: space goes to the chunk after it, the newline is a token of its own. Texts with longer runs are cut by ODD_CHUNK instead.
@@ -113,4 +113,6 @@ class Encoder:
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary."""
-    return Encoder(path)
+    own = Encoder(path)
+    cached("chunks", own.kept)
+    return own

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import normal_text, shared_path, table, tokenizer_path
+from .common import keep_only, normal_text, shared_path, table, tokenizer_path
 from .tokens import encoder
 
 END = 2
@@ -158,6 +158,7 @@ class WaveletMatrix:
 
 def _writer(path: str, end: int, tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("chunks")
         code, last = encoder(path), np.array([end], "<u4").tobytes()
         ids, keys, starts, seq = [], [], [0], 0
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +397,26 @@ def test_a_text_is_looked_up_once():
     assert {chr(i) for i in range(0x110000) if OTHER(chr(i))} == {chr(i) for i in range(0x110000) if chr(i).isspace()} - {" ", "\n"}
 
 
+def test_workers_keep_for_one_operator():
+    """A worker that goes on with another operator drops what it kept for the one before."""
+    import pyarrow as pa
+
+    from lexquarry.llm import ngram_join, packing, quality
+    from lexquarry.llm.common import word_hashes
+    from lexquarry.llm.tokens import encoder
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"]})
+    chunks, words = encoder(tokenizer_path()).kept, word_hashes()
+    list(packing._packer(tokenizer_path(), 1024, 0, False)(iter([texts])))
+    assert chunks and not words
+    list(quality._measured(iter([texts])))
+    assert words and not chunks
+    row = {"bucket": 1, "key": b"a", "n": 2, "h": 2, "lacks": 0, "differ": np.empty(0, np.int64), "large": np.empty(0, np.int64), "block": 0, "ti": 0, "tj": 0}
+    links = ngram_join._tile(0.8)(pd.DataFrame([row, row | {"key": b"b"}]))
+    assert len(links) == 4 and not words
+
+
+
 
 def test_packing(table, coded):
     got = packing.pack(table).collect()
