@@ -158,25 +158,34 @@ class WaveletMatrix:
 
 def _writer(path: str, end: int, tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("chunks")
-        code, last = encoder(path), np.array([end], "<u4").tobytes()
-        ids, keys, starts, seq = [], [], [0], 0
+        keep_only("numbers")
+        code = encoder(path)
+        ids, keys, lengths, held, seq = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(ids), "<u4")
-            data = encoded(x, np.array(starts, np.uint64), keys)
+            x = np.concatenate(ids)
+            data = encoded(x, np.cumsum([0, *lengths], dtype=np.uint64), keys)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "tokens", "data"])
 
         for batch in batches:
             part = batch["part"][0].as_py() if batch.num_rows else None
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                x = code.encode(text) + last
-                ids.append(x)
-                keys.append(doc_id)
-                starts.append(starts[-1] + len(x) // 4)
-                if starts[-1] >= tokens:
-                    yield shard()
-                    ids, keys, starts, seq = [], [], [0], seq + 1
+            doc_ids, at = batch["doc_id"].to_pylist(), 0
+            for texts in code.encode_all(batch["text"]):
+                ends = texts.offsets.to_numpy().astype(np.int64)
+                x = np.insert(texts.values.to_numpy(), ends[1:], np.uint32(end))
+                ends += np.arange(len(ends))
+                a = 0
+                while a < len(texts):  # a shard ends with the document that fills it
+                    b = min(len(texts), max(a + 1, int(np.searchsorted(ends, ends[a] + tokens - held))))
+                    ids.append(x[ends[a] : ends[b]])
+                    lengths += np.diff(ends[a : b + 1]).tolist()
+                    keys += doc_ids[at + a : at + b]
+                    held += int(ends[b] - ends[a])
+                    a = b
+                    if held >= tokens:
+                        yield shard()
+                        ids, keys, lengths, held, seq = [], [], [], 0, seq + 1
+                at += len(texts)
         if keys:
             yield shard()
 

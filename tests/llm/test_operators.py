@@ -397,6 +397,66 @@ def test_a_text_is_looked_up_once():
     assert {chr(i) for i in range(0x110000) if OTHER(chr(i))} == {chr(i) for i in range(0x110000) if chr(i).isspace()} - {" ", "\n"}
 
 
+def test_ids_of_batches(monkeypatch, tmp_path):
+    """Whole batches against the library: odd texts beside plain ones, in slices, in small portions, as what is kept is dropped."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from lexquarry.llm import tokens
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), random.Random(4)
+    bits = ["<|endoftext|>", " ", " ", " ", " ", "\n", "\n", "  ", "\t", "\0", "\x1c", "\u00a0", "a", "Word", "don't", "'ll", "'", "née", "É", "×", "÷", "ſ", "¡", "日本", "яя", "1999", "-", "...", "e\u0301", "ĉ.", "Ġ", "😀", "<|"]
+    texts = ["", " ", "\n", ",", "a", *(" ".join(rng.choice(["", "Wort", "né", "×"]) + x + rng.choice(["", ",", "!?'", "\n"]) for x in rng.sample(bits[12:], 3)) for _ in range(3000))]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["", ""]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = pa.array(["x, y", *texts, "z"]).slice(1, len(texts))
+    for portion, kept in ((8 << 20, 1_500_000), (100, 300)):
+        monkeypatch.setattr(tokens, "PORTION", portion)
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        own = tokens.Encoder(tokenizer_path())
+        got = [x for _ in range(2) for part in own.encode_all(rows.cast(pa.large_string())) for x in part.to_pylist()]
+        bad = [(t, a, b) for t, a, b in zip(texts * 2, want * 2, got, strict=True) if a != b]
+        assert not bad, (len(bad), bad[:5])
+    for few in ([], [""], ["", ""], ["\t"], ["a\tb", "\t"]):
+        assert [x for part in own.encode_all(pa.array(few, pa.string())) for x in part.to_pylist()] == [whole.encode(t, add_special_tokens=False).ids for t in few]
+    small = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3}, [("a", "b")]))  # without most bytes
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    small.save(str(tmp_path / "small.json"))
+    texts = ["ab abc, é", "b\nab", "ccc"]
+    got = [x for part in tokens.Encoder(str(tmp_path / "small.json")).encode_all(pa.array(texts)) for x in part.to_pylist()]
+    assert got == [small.encode(t).ids for t in texts] and got[0]
+
+
+def test_wavelet_calls_the_library_for_many_words(monkeypatch):
+    """New words of a batch go to the library together: a call for each took most of op7's time."""
+    import pyarrow as pa
+
+    from lexquarry.llm.tokens import encoder
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            Counted.calls += 1
+            return getattr(self.inner, name)
+
+    own = encoder(tokenizer_path())
+    for name in ("whole", "model", "words"):
+        if hasattr(own, name):
+            monkeypatch.setattr(own, name, Counted(getattr(own, name)))
+    words = [f"{''.join(chr(97 + int(d)) for d in str(i))}qv" for i in range(10_000, 13_000)]
+    texts = [" ".join(words[i : i + 10]) + ", née." for i in range(0, len(words), 10)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(300), pa.int64()), "text": texts, "part": pa.array([0] * 300, pa.int32())})
+    (got,) = wavelet._writer(tokenizer_path(), 2, 1 << 21)(iter([batch]))
+    assert Counted.calls < 20
+    w = wavelet.WaveletMatrix(got["data"][0].as_py())
+    ids, starts = w.decode(), w.starts.astype(int).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [[*own.whole.inner.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_workers_keep_for_one_operator():
     """A worker that goes on with another operator drops what it kept for the one before."""
     import pyarrow as pa
