@@ -140,11 +140,127 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, floa
     return best.select(F.col("query").alias(query), *([F.col("grp").alias(group)] if group else []), F.col("doc").alias(doc), "score", "rank")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, group: Column, rows: int) -> DataFrame:
-    """Vectors in blocks of about `rows`, a block in one row."""
-    block = F.floor(F.monotonically_increasing_id() / rows)
-    held = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), group.cast("string").alias("g"), block.alias("block"))
-    return held.groupBy("block").agg(F.collect_list(F.struct("id", "v", "g")).alias("rows"))
+def _packed(df: DataFrame, key: str, vector: str, group: Column, blocks: int) -> DataFrame:
+    """Vectors in `blocks` blocks, a block in one row: ids and vectors as bytes, rows of one group (sizes, names) next to each other."""
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    v = F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>")
+    held = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"), group.cast("string").alias("g"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema) if (batches := list(batches)) and (schema := batches[0].schema) else None
+        for block in rows["block"].unique().to_pylist() if rows else []:
+            own = rows.filter(pc.equal(rows["block"], block)).sort_by("g").combine_chunks()
+            v = own["v"].combine_chunks().flatten().to_numpy().astype(kind).reshape(own.num_rows, -1)
+            sound = np.isfinite(v).all(1)  # others are never at a finite distance
+            g = own["g"].filter(pa.array(sound)).combine_chunks()
+            runs = g.value_counts()
+            sizes, names = runs.field("counts").cast(pa.int32()), runs.field("values")
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int32()), "dim": pa.array([v.shape[1]], pa.int32()), "ids": [own["id"].to_numpy()[sound].astype("<i8").tobytes()], "v": [v[sound].tobytes()],
+                "names": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "sizes": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), sizes)})
+
+    packed = held.mapInArrow(pack, "block int, dim int, ids binary, v binary, names array<string>, sizes array<int>")
+    return packed.select("block", F.struct("dim", F.lit(kind).alias("kind"), "ids", "v", "names", "sizes").alias("rows"))
+
+
+class _Side:
+    """An opened block: ids, vectors, and where each group's rows lie."""
+
+    def __init__(self, rows: dict):
+        self.ids = np.frombuffer(rows["ids"], "<i8")
+        self.v = np.frombuffer(rows["v"], rows["kind"]).reshape(len(self.ids), -1 if len(self.ids) else rows["dim"])
+        self.single, self.norm = self.v.astype("f4"), np.sqrt((self.v.astype("f8") ** 2).sum(1))
+        ends = np.cumsum(rows["sizes"], dtype=int)
+        self.groups = {g: (end - n, end) for g, n, end in zip(rows["names"], rows["sizes"], ends.tolist(), strict=True)}
+
+
+#: Rows of a product that are looked at together, and products' columns that share a bound.
+ROWS, LANES = 256, 64
+
+
+class _Best:
+    """The k best of every row of a left block, over the right blocks it has met: ties at nine digits to the smaller id."""
+
+    def __init__(self, left: _Side, k: int, skip_self: bool, same: bool | None):
+        self.left, self.k, self.skip_self, self.same = left, k, skip_self, same
+        self.cos, self.ids = np.full((len(left.ids), k), -np.inf), np.zeros((len(left.ids), k), np.int64)
+
+    def meet(self, right: _Side) -> None:
+        """Products in single precision tell which cells can be among the k best, with the error they can have; those are computed in
+        double precision. A row's bound is its k-th best so far, and the k-th largest of the maxima of this product's groups of columns."""
+        a, n = self.left, len(right.ids)
+        if not n or not len(a.ids):
+            return
+        most = right.norm.max()
+        coarse = a.norm.max() * most < 1e30
+        kind = np.dtype("f4") if coarse else np.dtype("f8")
+        slack = (a.v.shape[1] + 8) * float(np.finfo(kind).eps) * a.norm * most + 1e-8
+        wide = -(-n // LANES)
+        x, y = (a.single, right.single) if coarse else (a.v.astype("f8"), right.v.astype("f8"))
+        y = np.concatenate([y, np.zeros((wide * LANES - n, y.shape[1]), kind)]).T
+        order = np.argsort(right.ids, kind="stable")
+        lo, hi = (np.searchsorted(right.ids[order], a.ids, side) for side in ("left", "right"))
+        for at in range(0, len(a.ids), ROWS):
+            end = min(at + ROWS, len(a.ids))
+            c = x[at:end] @ y
+            c[:, n:] = -np.inf
+            self._mask(c, at, end, right)
+            if self.skip_self and (own := np.flatnonzero(hi[at:end] > lo[at:end])).size:
+                many = (hi - lo)[at:end][own]
+                c[np.repeat(own, many), order[np.repeat(lo[at:end][own] - (np.cumsum(many) - many), many) + np.arange(many.sum())]] = -np.inf
+            lanes = c.reshape(end - at, LANES, wide)
+            top = lanes.max(1)
+            bound = np.partition(top, wide - self.k, 1)[:, wide - self.k] - 2 * slack[at:end] if wide >= self.k else np.full(end - at, -np.inf)
+            bound = np.maximum(bound, np.maximum(self.cos[at:end, -1] - slack[at:end], np.finfo(kind).min))[:, None]
+            r, g = np.nonzero(top >= bound)
+            for i in range(0, len(r), 4096):
+                m, lane = np.nonzero(lanes[r[i : i + 4096], :, g[i : i + 4096]] >= bound[r[i : i + 4096]])
+                self._take(at + r[i + m], lane * wide + g[i + m], right)
+
+    def _mask(self, c: np.ndarray, at: int, end: int, right: _Side) -> None:
+        """With same, cells of one group stay only; without, cells of different ones. None counts as no group."""
+        if self.same is None:
+            return
+        for g, (first, last) in self.left.groups.items():
+            rows = slice(max(first - at, 0), max(min(last, end) - at, 0))
+            if rows.start >= rows.stop:
+                continue
+            lo, hi = right.groups.get(g, (0, 0))
+            if g is None:
+                c[rows] = -np.inf
+            elif self.same:
+                c[rows, :lo] = c[rows, hi:] = -np.inf
+            else:
+                c[rows, lo:hi] = -np.inf
+        if None in right.groups:
+            c[:, slice(*right.groups[None])] = -np.inf
+
+    def _take(self, rows: np.ndarray, columns: np.ndarray, right: _Side) -> None:
+        exact = np.concatenate([np.einsum("ij,ij->i", self.left.v[rows[i : i + 65536]].astype("f8"), right.v[columns[i : i + 65536]].astype("f8")) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+        some, back = np.unique(rows, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(some)), self.k), back])
+        ids, cos = np.concatenate([self.ids[some].ravel(), right.ids[columns]]), np.concatenate([self.cos[some].ravel(), exact])
+        order = np.lexsort((ids, -np.round(cos, 9), row))
+        first = np.searchsorted(row[order], np.arange(len(some)))
+        chosen = order[first[:, None] + np.arange(self.k)]
+        self.ids[some], self.cos[some] = ids[chosen], cos[chosen]
+
+
+def _kept(k: int, skip_self: bool, same: bool | None):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                no = batch["block"][i].as_py()
+                if no not in best:
+                    best[no] = _Best(_Side(batch["left"][i].as_py()), k, skip_self, same)
+                best[no].meet(_Side(batch["right"][i].as_py()))
+        for x in best.values():
+            rows, place = np.nonzero(np.isfinite(x.cos))
+            yield pa.RecordBatch.from_arrays([pa.array(x.left.ids[rows]), pa.array(x.ids[rows, place]), pa.array(x.cos[rows, place])], names=["a", "b", "cosine"])
+
+    return near
 
 
 def _nearest(k: int, skip_self: bool, same: bool | None):
@@ -168,16 +284,20 @@ def _nearest(k: int, skip_self: bool, same: bool | None):
     return near
 
 
-def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = True, group: str | None = None, same: bool | None = None, block: int = 2048) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, key: str, vector: str, k: int, skip_self: bool = True, group: str | None = None, same: bool | None = None, block: int = 8192) -> DataFrame:
     """(a, b, cosine, rank): exact nearest neighbours by cosine of unit vectors, ties by b. Filter right before, never after.
 
-    Rows are packed into blocks, and every pair of blocks is one matrix product, of which k rows per left vector leave the task: the
-    work is the product itself. With `group`, only neighbours of the same group (same) or of other groups count: the product's other
-    cells are masked before the cut to k; a row without a group has no such neighbours. The work grows with left times right; knn_probed() is for large tables."""
+    Rows are packed into blocks of about `block`. A task meets a left block with up to 16 right blocks, a matrix product each, and
+    returns the k best of each left row over all of them. With `group`, only neighbours of the same group (same) or of other groups
+    count: the product's other cells are masked before the cut to k; a row without a group has no such neighbours. The work grows with
+    left times right; knn_probed() is for large tables."""
     g = F.col(group) if group else F.lit(None)
-    a = _blocks(left, key, vector, g, block).select(F.col("rows").alias("left"))
-    b = _blocks(right, key, vector, g, block).select(F.col("rows").alias("right"))
-    near = a.crossJoin(b).mapInArrow(_nearest(k, skip_self, same), "a long, b long, cosine double")
+    spread = 2 * left.sparkSession.sparkContext.defaultParallelism
+    n, m = left.count(), right.count()
+    blocks = -(-m // block) or 1
+    a = _packed(left, key, vector, g, max(-(-n // block), min(spread, -(-n // ROWS)), 1)).withColumnRenamed("rows", "left")
+    b = _packed(right, key, vector, g, blocks).repartitionById(-(-blocks // 16), F.floor(F.col("block") / 16).cast("int")).select(F.col("rows").alias("right"))
+    near = a.crossJoin(b).mapInArrow(_kept(k, skip_self, same), "a long, b long, cosine double")
     return top_k(near, ["a"], [F.desc(F.round("cosine", 9)), F.col("b")], k)
 
 
