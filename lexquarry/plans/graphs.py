@@ -19,8 +19,8 @@ u as materialized (select a, b from g union select b, a from g)"""
 
 
 def near_graph(vectors: DataFrame, k: int = 2) -> DataFrame:
-    """A sparse graph: each vector with its nearest ones."""
-    return S.knn(vectors, vectors, "vec_id", "embedding", k).select("a", "b")
+    """A sparse graph: each vector with its nearest ones. It is searched once, whatever reads it later."""
+    return G.settled(S.knn(vectors, vectors, "vec_id", "embedding", k).select("a", "b"))
 
 
 @query("edge_degree_importance", "G6 G10 G25", "with " + EDGES + """,

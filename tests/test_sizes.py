@@ -4,6 +4,9 @@ import numpy as np
 import pyarrow as pa
 
 from lexquarry.operators import search as S
+from lexquarry.plans.graphs import near_graph
+
+from .conftest import SMALL
 
 
 def sides(v, ids, most):
@@ -36,3 +39,12 @@ def test_nearest_of_odd_vectors(spark):
     got = {(r["a"], r["b"], r["rank"]) for r in S.knn(df, df, "id", "v", 2).collect()}
     assert {(a, b) for a, b, k in got if k == 1 and a != 3} == {(0, 4), (1, 4), (2, 4), (4, 3)}
     assert not {7, 8, 9} & {x for r in got for x in r[:2]} and all(a != b for a, b, _ in got)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_nearest_graph_is_searched_once(spark):
+    """What reads it several times reads what was found, not the vectors."""
+    assert "MapInArrow" not in plan(near_graph(spark.read.parquet(f"{SMALL}/embeddings.parquet")))
