@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ordered as O
 from ..operators import ranking as R
 from ..operators import search as S
+from ..operators.graph import settled
 from .registry import Tables, query
 
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -112,7 +113,7 @@ def mapping_best_target(t: Tables) -> DataFrame:
 m as (select p.la, p.lb, p.a, p.b from k p join k q on p.b = q.a and q.b = p.a)
 select la, lb, count(*) as pairs from m group by la, lb""")
 def mutual_best_matrix(t: Tables) -> DataFrame:
-    best = S.knn(t.embeddings, t.embeddings, "vec_id", "embedding", 1).select("a", "b")
+    best = settled(S.knn(t.embeddings, t.embeddings, "vec_id", "embedding", 1).select("a", "b"))
     mutual = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     label = lambda s: t.embeddings.select(F.col("vec_id").alias(s), F.col("label").alias(f"l{s}"))
     return mutual.join(label("a"), "a").join(label("b"), "b").groupBy("la", "lb").agg(F.count("*").alias("pairs"))

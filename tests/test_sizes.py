@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from lexquarry.operators import search as S
+from lexquarry.plans.all import REGISTRY
 from lexquarry.plans.graphs import near_graph
 
 from .conftest import SMALL
@@ -48,3 +49,7 @@ def plan(df):
 def test_the_nearest_graph_is_searched_once(spark):
     """What reads it several times reads what was found, not the vectors."""
     assert "MapInArrow" not in plan(near_graph(spark.read.parquet(f"{SMALL}/embeddings.parquet")))
+
+
+def test_mutual_best_searches_once(spark):
+    assert "MapInArrow" not in plan(REGISTRY["mutual_best_matrix"].run(spark, SMALL))
