@@ -53,3 +53,21 @@ def test_the_nearest_graph_is_searched_once(spark):
 
 def test_mutual_best_searches_once(spark):
     assert "MapInArrow" not in plan(REGISTRY["mutual_best_matrix"].run(spark, SMALL))
+
+
+def test_groups_are_masked_before_the_cut():
+    """Neighbours of other groups, of the same group, and rows without a group, over several right blocks; k rows of each at most."""
+    rng = np.random.default_rng(6)
+    v, ids, g = rng.normal(size=(400, 8)), np.arange(400), np.sort(rng.integers(0, 4, 400))
+
+    def side(i):
+        names, sizes = np.unique(g[i], return_counts=True)
+        return {"dim": 8, "kind": "<f8", "ids": ids[i].astype("<i8").tobytes(), "v": v[i].tobytes(), "names": [None if n == 3 else str(n) for n in names], "sizes": sizes.tolist()}
+
+    blocks = [pa.RecordBatch.from_pylist([{"block": 0, "left": side(ids), "right": side(ids[at : at + 90])}]) for at in range(0, 400, 90)]
+    for same in (True, False):
+        cos = np.where(((g[:, None] == g[None, :]) == same) & (g < 3)[:, None] & (g < 3)[None, :], v @ v.T, -np.inf)
+        np.fill_diagonal(cos, -np.inf)
+        want = {(i, int(j)) for i in range(400) for j in np.argsort(-cos[i])[:5] if np.isfinite(cos[i, j])}
+        got = pa.Table.from_batches(S._kept(5, True, same)(iter(blocks))).to_pylist()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
