@@ -36,7 +36,8 @@ def name_pairs(names: DataFrame, kind: str, name: str, edits: int = 1) -> DataFr
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(F.col(name), F.lit(1), i - 1), F.substr(F.col(name), i + 1)))
     forms = names.select(kind, name).distinct().select(kind, name, F.explode(F.array_distinct(F.concat(F.array(name), cut))).alias("form"))
     a, b = forms.withColumnRenamed(name, "a"), forms.withColumnRenamed(name, "b")
-    met = a.join(b, [kind, "form"]).filter("a < b").select(kind, "a", "b").distinct()
+    # forms are many times what Spark estimates from the names' file, so a broadcast of them can take all of the driver's memory
+    met = a.hint("merge").join(b, [kind, "form"]).filter("a < b").select(kind, "a", "b").distinct()
     return met.filter(F.levenshtein("a", "b", edits) >= 0)
 
 

@@ -71,3 +71,9 @@ def test_groups_are_masked_before_the_cut():
         want = {(i, int(j)) for i in range(400) for j in np.argsort(-cos[i])[:5] if np.isfinite(cos[i, j])}
         got = pa.Table.from_batches(S._kept(5, True, same)(iter(blocks))).to_pylist()
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+
+
+def test_name_pairs_are_not_broadcast(spark):
+    """Forms are far more than the file that Spark judges them by."""
+    got = REGISTRY["levenshtein_pairs"].run(spark, SMALL)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
