@@ -158,11 +158,16 @@ def lexical_network(t: Tables) -> DataFrame:
     laws = R.top_k(t.part.select("p_brand", F.lit(1).alias("one")).distinct(), ["one"], [F.col("p_brand")], 3).select("p_brand")
     words = F.explode(F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " "))).alias("word")
     w = t.part.join(laws, "p_brand", "left_semi").select(F.col("p_brand").alias("law"), F.col("p_partkey").alias("node"), words)
-    n = w.groupBy("node").agg(F.count("*").alias("n"))
-    met = w.select("word", F.col("law").alias("la"), F.col("node").alias("a")).join(w.select("word", F.col("law").alias("lb"), F.col("node").alias("b")), "word").filter("la < lb").groupBy("a", "b").agg(F.count("*").alias("both"))
-    j = met.join(n.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    j = j.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard")).filter("jaccard >= 0.2")
-    return R.top_k(j, ["a"], [F.desc("jaccard"), F.col("b")], 3, "place")
+    kept = w.filter("node is not null").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("law", "word"))).alias("words"))
+    members = G.settled(kept.join(kept.groupBy("words").agg(F.min("node").alias("kind")), "words").select("kind", "node", "words"))
+    # nodes with the same words in the same laws are one kind: kinds meet, and each kind's first three nodes stand for it
+    kinds = members.filter("kind = node").select("kind", F.size("words").alias("n"), F.explode("words").alias("x")).select("kind", "n", "x.*")
+    side = lambda s: kinds.select("word", F.col("law").alias(f"l{s}"), F.col("kind").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
+    j = side("a").hint("merge").join(side("b"), "word").filter("la < lb").groupBy("ka", "kb", "na", "nb").agg(F.count("*").alias("both"))
+    j = j.select("ka", "kb", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard")).filter("jaccard >= 0.2")
+    first = R.top_k(members.select("kind", "node"), ["kind"], [F.col("node")], 3).select(F.col("kind").alias("kb"), F.col("node").alias("b"))
+    best = R.top_k(j.join(first, "kb"), ["ka"], [F.desc("jaccard"), F.col("b")], 3, "place")
+    return best.join(members.select(F.col("kind").alias("ka"), F.col("node").alias("a")), "ka").select("a", "b", "jaccard", "place")
 
 
 @query("gold_plan", "E9 W18", """

@@ -73,7 +73,38 @@ def test_groups_are_masked_before_the_cut():
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+def most_rows(df):
+    """The most rows that an operator of the finished plan has made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 def test_name_pairs_are_not_broadcast(spark):
     """Forms are far more than the file that Spark judges them by."""
     got = REGISTRY["levenshtein_pairs"].run(spark, SMALL)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexical_network_meets_kinds_of_parts(spark, tmp_path):
+    """Parts with the same words are met once, whatever their number; the rows are those of all pairs."""
+    names, kinds = ["red bolt", "blue bolt", "red ring", "big blue pin"], ["SMALL", "LARGE"]
+    rows = [(i, names[i % 4], f"Brand#{i % 5}", kinds[i % 7 % 2]) for i in range(3000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    df = REGISTRY["lexical_network"].run(spark, str(tmp_path))
+    assert most_rows(df) < 20_000
+    words = {i: (law, set(f"{n} {k.lower()}".split())) for i, n, law, k in rows if law in ("Brand#0", "Brand#1", "Brand#2")}
+    want = set()
+    for a, (la, wa) in list(words.items())[:60]:
+        near = sorted((-round(len(wa & wb) / len(wa | wb), 6), b) for b, (lb, wb) in words.items() if la < lb and len(wa & wb) / len(wa | wb) >= 0.2)
+        want |= {(a, b, -x, p + 1) for p, (x, b) in enumerate(near[:3])}
+    assert {tuple(r) for r in df.select("a", "b", "jaccard", "place").collect() if r["a"] in dict(list(words.items())[:60])} == want
