@@ -44,10 +44,17 @@ def next_pairs(df: DataFrame, by: Sequence[str], order: Sequence[Column], item:
 
 
 def overlap(before: Column, text: Column, least: int = 30, most: int = 170) -> Column:
-    """The longest k, least <= k <= most, for which text begins with the last k characters of before; 0 if none."""
+    """The longest k, least <= k <= most, for which text begins with the last k characters of before; 0 if none.
+
+    The text's first `least` characters are looked for in before's end: the first place they are found at is the longest k that can
+    be. All lengths are tried only where that one doesn't fit."""
     limit = F.least(F.length(before), F.length(text), F.lit(most))
+    tail = F.right(before, limit)
+    at = F.instr(tail, F.substr(text, F.lit(1), F.lit(least)))
     fits = F.filter(F.sequence(F.lit(least), F.greatest(limit, F.lit(least))), lambda k: (k <= limit) & (F.substr(text, F.lit(1), k) == F.right(before, k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+    every = F.coalesce(F.array_max(fits), F.lit(0))
+    found = F.when(F.startswith(text, F.substr(tail, at)), limit - at + 1).otherwise(every)
+    return F.when((limit < least) | (at == 0), 0).otherwise(found) if least > 0 else every
 
 
 def joined_text(df: DataFrame, by: Sequence[str], order: str, text: str, least: int = 30, most: int = 170) -> DataFrame:

@@ -1,8 +1,12 @@
 """What has to hold for large tables: what leaves a task is bounded, and nothing is done twice."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lexquarry.operators import ordered as O
 from lexquarry.operators import search as S
 from lexquarry.plans.all import REGISTRY
 from lexquarry.plans.graphs import near_graph
@@ -108,3 +112,18 @@ def test_lexical_network_meets_kinds_of_parts(spark, tmp_path):
         near = sorted((-round(len(wa & wb) / len(wa | wb), 6), b) for b, (lb, wb) in words.items() if la < lb and len(wa & wb) / len(wa | wb) >= 0.2)
         want |= {(a, b, -x, p + 1) for p, (x, b) in enumerate(near[:3])}
     assert {tuple(r) for r in df.select("a", "b", "jaccard", "place").collect() if r["a"] in dict(list(words.items())[:60])} == want
+
+
+def test_overlap_of_all_lengths(spark):
+    """Against trying every length; the lengths are tried only where the first place found doesn't fit."""
+    rng, rows = random.Random(1), []
+    for i in range(600):
+        letters = rng.choice(["a", "ab", "aé日", "abcdefgh"])
+        word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))  # noqa: B023, E731
+        before = word(40)
+        rows.append((before if i % 50 else None, before[len(before) - rng.randrange(len(before) + 1) :] + word(20) if i % 61 else None))
+    cut = O.overlap(F.col("b"), F.col("t"), 3, 12)
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", cut.alias("k")).collect()
+    for b, t, k in got:
+        assert k == max([n for n in range(3, 13) if b and t and n <= min(len(b), len(t)) and t[:n] == b[-n:]], default=0)
+    assert "instr" in str(cut)
