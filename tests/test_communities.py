@@ -130,3 +130,15 @@ def test_betweenness_in_blocks(spark):
         got = {r["node"]: r["betweenness"] for r in G.betweenness(df, sweep=sweep).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k] / ((n - 1) * (n - 2))) < 2e-9 for k in want)
     assert G.betweenness(df, samples=5).count() == n
+
+
+def test_betweenness_of_a_graph_that_tasks_hold(spark, monkeypatch):
+    """As by joins, of strings, several components and a sample, whatever the number of sources swept at once."""
+    df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in planted(4, 6) + [(100, 101), (101, 102), (102, 103), (103, 100)]], "a string, b string")
+    for samples in (None, 5):
+        want = {r["node"]: r["betweenness"] for r in G.betweenness(df, samples, held=0).collect()}
+        for at_once in (3, 64):
+            monkeypatch.setattr(G, "SOURCES", at_once)
+            got = {r["node"]: r["betweenness"] for r in G.betweenness(df, samples).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    assert G.betweenness(df.limit(0)).count() == 0
